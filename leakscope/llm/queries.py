@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leakscope.llm.leaks import leaks, reparameterised
 from leakscope.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
+from leakscope.llm.personal_data import personal_data, redacted
 from leakscope.llm.shared_spans import shared_share, shared_span_pairs
 from leakscope.session import table
 
@@ -47,6 +48,21 @@ def p3_reparameterised(spark, sf_dir):
     return found.withColumnRenamed("item_id", "instance_id")
 
 
+def personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = table(spark, sf_dir, "instances").select(F.lit("instances").alias("src"), F.col("instance_id").alias("key"), F.col("problem_statement").alias("text"))
+    two = table(spark, sf_dir, "evidence").select(F.lit("evidence").alias("src"), F.col("evidence_id").cast("string").alias("key"), F.col("evidence_snippet").alias("text"))
+    return one.union(two)
+
+
+def p4_found(spark, sf_dir):
+    found = personal_data(personal_texts(spark, sf_dir), name_list(spark, sf_dir))
+    return found.select(F.col("src").alias("src_table"), F.col("key").alias("rec_key"), F.col("kind").alias("pii_kind"), F.col("s").alias("start_pos"))
+
+
+def p4_redacted(spark, sf_dir):
+    return redacted(personal_texts(spark, sf_dir), name_list(spark, sf_dir)).withColumnsRenamed({"src": "src_table", "key": "rec_key"})
+
+
 def p5_found(spark, sf_dir):
     pairs = shared_span_pairs(table(spark, sf_dir, "instances"), "instance_id", "patch", 200)
     return pairs.select(F.col("id_a").alias("instance_id_a"), F.col("id_b").alias("instance_id_b"))
@@ -56,5 +72,5 @@ def p5_shared(spark, sf_dir):
     return shared_share(table(spark, sf_dir, "instances"), "instance_id", "patch", 200).withColumnRenamed("id", "instance_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_reparameterised, p5_found, p5_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_reparameterised, p4_found, p4_redacted, p5_found, p5_shared)}
 SQL: dict[str, str] = {}
