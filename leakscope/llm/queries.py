@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leakscope.llm.leaks import leaks, reparameterised
 from leakscope.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from leakscope.llm.personal_data import personal_data, redacted
+from leakscope.llm.sentences import sentences
 from leakscope.llm.shared_spans import shared_share, shared_span_pairs
 from leakscope.session import table
 
@@ -72,5 +73,17 @@ def p5_shared(spark, sf_dir):
     return shared_share(table(spark, sf_dir, "instances"), "instance_id", "patch", 200).withColumnRenamed("id", "instance_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_reparameterised, p4_found, p4_redacted, p5_found, p5_shared)}
+PROSE = ("guide", "release_notes", "forum_post", "issue_comment")
+
+
+def p8_found(spark, sf_dir):
+    found = sentences(table(spark, sf_dir, "documents").where(F.col("kind").isin(*PROSE)), "doc_id", "text")
+    return found.select(F.col("id").alias("doc_id"), "end_pos")
+
+
+def p8_sentences(spark, sf_dir):
+    return sentences(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_reparameterised, p4_found, p4_redacted, p5_found, p5_shared, p8_found, p8_sentences)}
 SQL: dict[str, str] = {}
