@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leakscope.llm.words import U, flat_lists, gram_hashes, mix, sliding_min, word_array
+from leakscope.llm.words import U, flat_binaries, flat_lists, gram_hashes, mix, sliding_min, word_array
 from leakscope.session import spread
 
 WINDOW = 5
@@ -60,22 +61,39 @@ def _word_codes(words) -> np.ndarray:
 _UNIT_WORDS = _word_codes(UNITS)
 
 
-def template_anchors(words: np.ndarray, names: np.ndarray, run: int) -> np.ndarray:
-    """Keys of windows of canonical words such that ``run`` consecutive windows hold one, the same in any text.
+def template_anchors(words: np.ndarray, offsets: np.ndarray, names: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, number of the text) of windows of canonical words of many texts, given as flat words and offsets.
 
-    The window with the most letters is preferred, since it is rarest, then the least hash. Where even that one has fewer
-    than LETTERS letters (fixed phrases, rows of numbers), the key is that of the run's words as they stand.
+    Any ``run`` consecutive windows hold one, the same in every text. The window with the most letters is preferred, since
+    it is rarest, then the least hash. Where even that one has fewer than LETTERS letters (fixed phrases, rows of numbers),
+    the key is that of the run's words as they stand. A text gives each key once.
     """
+    span = WINDOW + run - 1
+    starts = len(words) - span + 1
+    if starts < 1:
+        return np.empty(0, U), np.empty(0, np.int64)
     code, size = canonical(words, names)
     h = gram_hashes(code.astype(U), WINDOW)
-    if len(h) < run:
-        return np.unique(h)
     sums = np.concatenate([[0], np.cumsum(size)])
     rank = (U(511) - np.minimum(sums[WINDOW:] - sums[:-WINDOW], 511).astype(U)) << U(55) | h >> U(9)
     best = sliding_min(rank, run)
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    inside = owner[:starts] == owner[span - 1 :]
+    fresh = np.ones(starts, bool)
+    fresh[1:] = (best[1:] != best[:-1]) | (owner[1:starts] != owner[: starts - 1]) | ~inside[:-1]
     plain = best >> U(55) > U(511 - LETTERS)
-    rich = h[np.isin(rank, best[~plain])]
-    return np.unique(np.concatenate([rich, gram_hashes(words.astype(U), WINDOW + run - 1)[plain]]))
+    rich = np.flatnonzero(inside & fresh & ~plain)
+    poor = np.flatnonzero(inside & plain)
+    raw = mix(words.astype(U) + U(1))
+    poor_keys = raw[poor]
+    for k in range(1, span):
+        poor_keys = poor_keys * U(0xC2B2AE3D27D4EB4F) + raw[poor + k]
+    keys, owners = np.concatenate([best[rich], mix(poor_keys)]), np.concatenate([owner[rich], owner[poor]])
+    order = np.lexsort((keys, owners))
+    keys, owners = keys[order], owners[order]
+    once = np.ones(len(keys), bool)
+    once[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
+    return keys[once], owners[once]
 
 
 def _token_rows(least: int):
@@ -98,38 +116,68 @@ def _token_rows(least: int):
 def _anchor_rows(names: np.ndarray, run_length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hs = [template_anchors(np.frombuffer(t, np.uint32), names, run_length).view(np.int64) for t in b.column("tokens").to_pylist()]
-            if hs:
-                sizes = np.array([len(h) for h in hs])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), b.column("key").take(pa.array(np.repeat(np.arange(len(hs)), sizes)))], names=["h", "key"])
+            keys, owners = template_anchors(*flat_binaries(b.column("tokens"), np.uint32), names, run_length)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column("key").take(pa.array(owners))], names=["h", "key"])
 
     return run
 
 
-def compare(field: np.ndarray, doc: np.ndarray, names: np.ndarray, run: int, share: float, least: int) -> tuple[bool, float, float, int, bool]:
-    """(leaked, share of windows, share of template windows, changed slots, slots consistent) of one field in one document."""
-    f, d = gram_hashes(field.astype(U), WINDOW), gram_hashes(doc.astype(U), WINDOW)
-    kinds = np.unique(f)
-    part = float(np.isin(kinds, d).mean()) if len(kinds) else 0.0
-    leaked = len(field) >= least and part >= share
-    if not leaked and len(field) >= run:
-        there = np.isin(f, d)
-        need = run - WINDOW + 1
-        if there.sum() >= need and np.convolve(there, np.ones(need, np.int32), "valid").max() == need:
-            leaked = bool(np.isin(gram_hashes(field.astype(U), run), gram_hashes(doc.astype(U), run)).any())
-    cf, cd = canonical(field, names)[0], canonical(doc, names)[0]
-    tf, td = gram_hashes(cf.astype(U), WINDOW), gram_hashes(cd.astype(U), WINDOW)
-    both = np.isin(tf, td)
-    template = float(np.isin(np.unique(tf), td).mean()) if len(tf) else 0.0
+class Prepared:
+    """The windows of one text that comparisons need, each made once."""
+
+    def __init__(self, words: np.ndarray, names: np.ndarray):
+        self.words, self.names = words, names
+        self.code = canonical(words, names)[0]
+        self.windows = gram_hashes(self.code.astype(U), WINDOW)
+
+    @cached_property
+    def kinds(self) -> np.ndarray:
+        return np.unique(self.windows)
+
+    @cached_property
+    def plain(self) -> np.ndarray:
+        return gram_hashes(self.words.astype(U), WINDOW)
+
+    @cached_property
+    def plain_kinds(self) -> np.ndarray:
+        return np.unique(self.plain)
+
+
+def _member(x: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    return kinds[np.minimum(np.searchsorted(kinds, x), len(kinds) - 1)] == x if len(kinds) else np.zeros(len(x), bool)
+
+
+def _longest(flags: np.ndarray) -> int:
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
+    return int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
+
+
+def compare(field: Prepared, doc: Prepared, run: int, share: float, least: int) -> tuple[bool, float, float, int, bool]:
+    """(leaked, share of windows, share of template windows, changed slots, slots consistent) of one field in one document.
+
+    Equal windows have equal templates, so a pair whose templates reach neither bound is settled by these alone.
+    """
+    both = _member(field.windows, doc.kinds)
+    template = float(_member(field.kinds, doc.kinds).mean()) if len(field.kinds) else 0.0
+    need = run - WINDOW + 1
+    if template < share and _longest(both) < need:
+        # without placeholders template shares are those of the words; with some, the words' share is at most as many windows
+        if len(field.words) < least or both.sum() < share * len(field.plain_kinds):
+            return False, 0.0, template, 0, True
+    part = float(_member(field.plain_kinds, doc.plain_kinds).mean()) if len(field.plain_kinds) else 0.0
+    leaked = len(field.words) >= least and part >= share
+    if not leaked and len(field.words) >= run and _longest(_member(field.plain, doc.plain_kinds)) >= need:
+        leaked = bool(np.isin(gram_hashes(field.words.astype(U), run), gram_hashes(doc.words.astype(U), run)).any())
     changed, steady = 0, True
     if not leaked and template >= share:
-        order = np.argsort(td, kind="stable")
-        at = order[np.minimum(np.searchsorted(td[order], tf[both]), len(td) - 1)]
+        order = np.argsort(doc.windows, kind="stable")
+        found = np.flatnonzero(both)
+        at = order[np.searchsorted(doc.windows[order], field.windows[found])]
         slots: dict[int, int] = {}
-        for i, j in zip(np.flatnonzero(both), at):
+        for i, j in zip(found, at):
             for k in range(WINDOW):
-                if cf[i + k] < 8:
-                    x, y = int(field[i + k]), int(doc[j + k])
+                if field.code[i + k] < 8:
+                    x, y = int(field.words[i + k]), int(doc.words[j + k])
                     steady &= slots.setdefault(x, y) == y
         changed = sum(x != y for x, y in slots.items())
     return leaked, part, template, changed, steady
@@ -137,8 +185,18 @@ def compare(field: np.ndarray, doc: np.ndarray, names: np.ndarray, run: int, sha
 
 def _compared(names: np.ndarray, run_words: int, share: float, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple, Prepared] = {}
+
+        def prepared(side: str, key: int, tokens: bytes) -> Prepared:
+            if (side, key) not in kept:
+                if len(kept) >= 64:
+                    kept.clear()
+                kept[side, key] = Prepared(np.frombuffer(tokens, np.uint32), names)
+            return kept[side, key]
+
         for b in batches:
-            out = [compare(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), names, run_words, share, least) for x, y in zip(b.column("tf").to_pylist(), b.column("td").to_pylist())]
+            f, d = b.column("f").to_pylist(), b.column("d").to_pylist()
+            out = [compare(prepared("f", i, x), prepared("d", j, y), run_words, share, least) for i, j, x, y in zip(f, d, b.column("tf").to_pylist(), b.column("td").to_pylist())]
             cols = list(zip(*out)) or [[]] * 5
             arrays = [pa.array(c, t) for c, t in zip(cols, (pa.bool_(), pa.float64(), pa.float64(), pa.int32(), pa.bool_()))]
             t = pa.RecordBatch.from_arrays([b.column("f"), b.column("d"), *arrays], names=["f", "d", "leaked", "share", "template_share", "changed", "consistent"])

@@ -6,7 +6,6 @@ import numpy as np
 from pyspark.sql import functions as F
 
 U = np.uint64
-_MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=U)
 
 
 def word_array(text):
@@ -33,10 +32,11 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     if len(words) < n:
         return np.empty(0, U)
     size = len(words) - n + 1
-    out = np.zeros(size, U)
-    for k in range(n):
-        m = _MULT[k % len(_MULT)] + U(2 * (k // len(_MULT)))
-        out += mix(words[k : k + size] * m + U(k))
+    scrambled = mix(words + U(0x9E3779B97F4A7C15))
+    out = scrambled[:size].copy()
+    for k in range(1, n):
+        out *= U(0xC2B2AE3D27D4EB4F)
+        out += scrambled[k : k + size]
     return mix(out)
 
 
@@ -47,6 +47,17 @@ def flat_lists(column) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False), offsets
 
 
+def flat_binaries(column, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets (in values) of an Arrow binary column that holds packed numbers."""
+    width = np.dtype(dtype).itemsize
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    if data is None or len(column) == 0:
+        return np.empty(0, dtype), np.zeros(len(column) + 1, np.int64)
+    flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    return flat.view(dtype), (offsets.astype(np.int64) - offsets[0]) // width
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Least value of each w consecutive ones, by prefix and suffix minima of blocks."""
     n = len(x)
