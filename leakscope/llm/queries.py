@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakscope.llm.leaks import leaks, reparameterised
+from leakscope.llm.mixing import mix, mixture_report
 from leakscope.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
+from leakscope.llm.packing import pack, packing_report
 from leakscope.llm.personal_data import personal_data, redacted
 from leakscope.llm.sentences import sentences
 from leakscope.llm.shared_spans import shared_share, shared_span_pairs
+from leakscope.llm.tokens import token_counts
 from leakscope.session import table
 
 FIELDS = ("patch", "test_patch", "problem_statement")
@@ -73,6 +76,31 @@ def p5_shared(spark, sf_dir):
     return shared_share(table(spark, sf_dir, "instances"), "instance_id", "patch", 200).withColumnRenamed("id", "instance_id")
 
 
+def _bins(spark, sf_dir):
+    return table(spark, sf_dir, "bins").withColumnRenamed("capacity_tokens", "capacity")
+
+
+def _packed(spark, sf_dir):
+    return pack(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), _bins(spark, sf_dir))
+
+
+def p6_packed(spark, sf_dir):
+    return _packed(spark, sf_dir).withColumnRenamed("id", "doc_id")
+
+
+def p6_report(spark, sf_dir):
+    return packing_report(_packed(spark, sf_dir).persist(), _bins(spark, sf_dir))
+
+
+def p7_mixture(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark, sf_dir):
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixture_report(mix(table(spark, sf_dir, "documents"), targets).persist(), targets)
+
+
 PROSE = ("guide", "release_notes", "forum_post", "issue_comment")
 
 
@@ -85,5 +113,5 @@ def p8_sentences(spark, sf_dir):
     return sentences(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_reparameterised, p4_found, p4_redacted, p5_found, p5_shared, p8_found, p8_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_reparameterised, p4_found, p4_redacted, p5_found, p5_shared, p6_packed, p6_report, p7_mixture, p7_shares, p8_found, p8_sentences)}
 SQL: dict[str, str] = {}
