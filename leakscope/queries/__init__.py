@@ -1,7 +1,7 @@
 """Queries over the test tables, one for each operator, and their SQL."""
 
-from leakscope.queries import skewed
+from leakscope.queries import skewed, texts
 
-REGISTRY = {**skewed.QUERIES}
-SQL = {**skewed.SQL}
-FLAGSHIP = skewed.p2_repo_risk
+REGISTRY = {**skewed.QUERIES, **texts.Q}
+SQL = {**skewed.SQL, **texts.SQL}
+FLAGSHIP = texts.exposure_ngram8
