@@ -174,7 +174,7 @@ def boilerplate_lines(spark, sf_dir):
     return left.where(diff.parsed_boilerplate("line"))
 
 
-@query(f"WITH {_I}, l AS (SELECT instance_id, {lines_sql('patch')} AS l FROM i WHERE patch IS NOT NULL), p AS (SELECT instance_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS pos FROM l), g AS (SELECT instance_id, pos, line, sum(starts_with(line, 'diff --git ')::INT) OVER (PARTITION BY instance_id ORDER BY pos) AS grp FROM p), a AS (SELECT DISTINCT instance_id, grp, {strip_sql('substring(line, 2)')} AS t FROM g WHERE starts_with(line, '+') AND NOT starts_with(line, '+++')), s AS (SELECT instance_id, grp, count(*) AS n, max(length(t)) AS longest FROM a WHERE t <> '' GROUP BY ALL) SELECT instance_id, grp::BIGINT AS grp, n::BIGINT AS n_lines, CASE WHEN n = 1 THEN CASE WHEN longest >= 40 THEN 1 END WHEN n <= 3 THEN 2 ELSE greatest(3, (n + 1) // 2) END::BIGINT AS required FROM s")
+@query(f"WITH {_I}, l AS (SELECT instance_id, {lines_sql('patch')} AS l FROM i WHERE patch IS NOT NULL), p AS (SELECT instance_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS pos FROM l), g AS (SELECT instance_id, pos, line, sum(starts_with(line, 'diff --git ')::INT) OVER (PARTITION BY instance_id ORDER BY pos) AS grp FROM p), a AS (SELECT DISTINCT instance_id, grp, {strip_sql('substring(line, 2)')} AS t FROM g WHERE starts_with(line, '+') AND NOT starts_with(line, '+++')), s AS (SELECT instance_id, grp, count(*) AS n, max(length(t)) AS longest FROM a WHERE t <> '' GROUP BY ALL) SELECT instance_id, grp::BIGINT AS grp, n::BIGINT AS n_lines, coalesce(CASE WHEN n = 1 THEN CASE WHEN longest >= 40 THEN 1 END WHEN n <= 3 THEN 2 ELSE greatest(3, (n + 1) // 2) END, 0)::BIGINT AS required FROM s")
 def line_groups(spark, sf_dir):
     """Added lines by file of the diff, and how many of them a copy must hold; the group number runs within one patch."""
     ls = instances(spark, sf_dir, "patch").where("patch is not null").select("instance_id", text.lines("patch").alias("l"))
@@ -182,7 +182,7 @@ def line_groups(spark, sf_dir):
     start = F.struct(F.lit(0).alias("g"), F.array().cast("array<struct<grp:int,t:string>>").alias("out"))
     rows = ls.select("instance_id", F.explode(F.array_distinct(F.aggregate("l", start, step, lambda a: a["out"]))).alias("e")).select("instance_id", "e.*").where("t != ''")
     g = rows.groupBy("instance_id", F.col("grp").cast("long").alias("grp")).agg(F.count("*").alias("n_lines"), F.max(F.length("t")).alias("longest"))
-    return g.select("instance_id", "grp", "n_lines", diff.required_matches(F.col("n_lines"), F.col("longest")).cast("long").alias("required"))
+    return g.select("instance_id", "grp", "n_lines", F.coalesce(diff.required_matches(F.col("n_lines"), F.col("longest")), F.lit(0)).cast("long").alias("required"))
 
 
 _GEN = ", ".join(f"'{w}'" for w in dict.fromkeys(diff.GENERIC))
