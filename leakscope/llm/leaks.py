@@ -15,9 +15,8 @@ from leakscope.session import spread
 
 WINDOW = 5
 LETTERS = 32
-#: Fixed list of units that follow a number in running text.
+#: Fixed list of words for units.
 UNITS = "ms s sec secs second seconds min mins minute minutes h hour hours day days week weeks month months year years kb mb gb tb kib mib gib b byte bytes percent px km m cm mm kg g mg hz khz mhz ghz times lines rows records".split()
-NUM, UNIT, NAME = (U(x) for x in (0x1111111111111101, 0x2222222222222202, 0x3333333333333302))
 _NUM32, _UNIT32, _NAME32 = (np.uint32(x) for x in (3, 4, 6))
 
 
@@ -36,16 +35,21 @@ def _narrow(words: np.ndarray) -> np.ndarray:
     return ((words >> U(39)) << U(7) | (words & U(127))).astype(np.uint32)
 
 
+def _member(x: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    return kinds[np.minimum(np.searchsorted(kinds, x), len(kinds) - 1)] == x if len(kinds) else np.zeros(len(x), bool)
+
+
 def canonical(words: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(placeholders for numbers, units after numbers and listed names, else the words; lengths, 1 for a placeholder)."""
+    """(placeholders for numbers, units and listed names, else the words; lengths, 1 for a placeholder).
+
+    What becomes of a word depends on that word alone, so equal words give equal templates wherever they stand.
+    """
     number = (words & np.uint32(1)).astype(bool)
     out, size = words.copy(), ((words >> np.uint32(1)) & np.uint32(63)).astype(np.int64)
     out[number] = _NUM32
-    if len(words) > 1:
-        after = np.flatnonzero(number[:-1] & ~number[1:]) + 1
-        out[after[np.isin(words[after], _UNIT_WORDS)]] = _UNIT32
+    out[_member(words, _UNIT_WORDS)] = _UNIT32
     if len(names):
-        out[np.isin(words, names)] = _NAME32
+        out[_member(words, names)] = _NAME32
     size[out < 8] = 1
     return out, size
 
@@ -58,7 +62,7 @@ def _word_codes(words) -> np.ndarray:
     return _narrow(np.array(values, U)) if values else np.empty(0, np.uint32)
 
 
-_UNIT_WORDS = _word_codes(UNITS)
+_UNIT_WORDS = np.unique(_word_codes(UNITS))
 
 
 def template_anchors(words: np.ndarray, offsets: np.ndarray, names: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,10 +147,6 @@ class Prepared:
         return np.unique(self.plain)
 
 
-def _member(x: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    return kinds[np.minimum(np.searchsorted(kinds, x), len(kinds) - 1)] == x if len(kinds) else np.zeros(len(x), bool)
-
-
 def _longest(flags: np.ndarray) -> int:
     edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
     return int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
@@ -214,14 +214,14 @@ def leak_candidates(items: DataFrame, docs: DataFrame, names: list[str] = (), ru
     ``run`` consecutive words of the item, or ``share`` of its distinct five-word windows, the item having ``least`` words.
     ``changed`` counts placeholders filled differently, ``consistent`` says whether each value was always replaced alike.
 
-    Candidates share a template window (five words, numbers, units and ``names`` replaced by placeholders) that is first in
+    Candidates share a template window (five words, in which placeholders stand for numbers, units and ``names``) that is first in
     rank among four consecutive ones. Any copied stretch of eight words has such a window on both sides. At least half
     of an item of 40 words cannot be kept without a stretch of eight, whatever is replaced, inserted or moved.
 
     Null ids and texts and texts of under 20 words are ignored; repeated rows count once; hot copies are compared once per
     class. ``names`` is a bounded list given by the caller. Empty input gives empty results.
     """
-    codes = _word_codes({w for n in names for w in n.lower().split()})
+    codes = np.unique(_word_codes({w for n in names for w in n.lower().split()}))
     short = min(run, 20)
     f_rows = spread(items.select("item_id", "field", "text").where("item_id is not null and text is not null")).select("item_id", "field", coded_words(F.col("text")).alias("w"))
     d_rows = spread(docs.select("doc_id", "text").where("doc_id is not null and text is not null")).select("doc_id", coded_words(F.col("text")).alias("w"))
