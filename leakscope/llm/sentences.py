@@ -36,7 +36,7 @@ _HEADING = re.compile(r"\s{0,3}#{1,6}(?:\s|$)")
 _RULE = re.compile(r"\s*(?:=+|-{2,}|\*{3,}|_{3,})\s*$")
 _LAST_WORD = re.compile(r"[^\W_][\w’'.-]*\Z")
 _CODE = re.compile(r"`|[^\W\d]*[_\d][\w.]*|[^\W\d_]+\.\w|[^\W\d_]*[a-z][A-Z]|[^\W\d_]+\(")
-_GLUED_WORD = re.compile(r"[^\W\d_]+(?=[\s,’']|\Z)")
+_GLUED_WORD = re.compile(r"[^\W\d_]+(?=[\s,’'-]|\.\s|\Z)")
 _SPACE = re.compile(r"\s*")
 _WORD = re.compile(r"\S+")
 
@@ -99,7 +99,7 @@ def _glued(text: str, stop: int, nxt: int, end: int, opened: set[int]) -> bool:
     before, ch = text[stop - 1 : stop], text[nxt]
     if not (before.isalnum() or before in ")`%”’»"):
         return False
-    if ch in "¿¡«“‘„" or (ch in _PAIRS and ch in _QUOTES and nxt in opened):
+    if ch in "¿¡«“‘„`" or (ch == "(" and text[nxt + 1 : nxt + 2].isupper()) or (ch in _PAIRS and ch in _QUOTES and nxt in opened):
         return True
     word = _GLUED_WORD.match(text, nxt, end)
     if ch.isupper():
