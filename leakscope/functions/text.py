@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: the characters that count as white space.
@@ -21,6 +21,11 @@ def let(x: Column, f) -> Column:
     return F.element_at(F.transform(F.array(x), f), 1)
 
 
+def once(df: DataFrame, name: str, x: Column) -> DataFrame:
+    """Adds a column that later filters use as it is: the optimizer can't move them below and compute it again."""
+    return df.select("*", F.explode(F.array(x)).alias(name))
+
+
 def strip(x: Column | str) -> Column:
     return F.regexp_replace(_c(x), rf"^[{WS}]+|[{WS}]+$", "")
 

@@ -2,22 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leakscope.functions import text
+
 
-def exposures(pairs: DataFrame, cosine: bool = False) -> DataFrame:
+def exposures(pairs: DataFrame) -> DataFrame:
     """(id, total, matched) of rows (id, q, s): how many elements of the array ``q`` the array ``s`` holds too.
 
-    An element counts as often as both sides have it. With ``cosine`` also (dot, norm_q, norm_s) of the counts. Both
-    sides go through one exploded table and one aggregate by (id, element), summed in part before the shuffle; rows
+    An element counts as often as both sides have it. Both sides go through one exploded table and one aggregate by (id, element), summed in part before the shuffle; rows
     without elements stay, with zeros.
     """
     side = lambda c, a, b: F.transform(c, lambda x: F.struct(x.alias("g"), F.lit(a).alias("a"), F.lit(b).alias("b")))
     each = pairs.select("id", F.explode_outer(F.concat(side("q", 1, 0), side("s", 0, 1))).alias("e")).select("id", "e.*")
     counts = each.groupBy("id", "g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    columns = [zero(F.col("a")).alias("total"), zero(F.least("a", "b")).alias("matched")]
-    if cosine:
-        columns += [zero(F.col("a") * F.col("b")).alias("dot"), zero(F.col("a") * F.col("a")).alias("norm_q"), zero(F.col("b") * F.col("b")).alias("norm_s")]
-    return counts.groupBy("id").agg(*columns)
+    return counts.groupBy("id").agg(zero(F.col("a")).alias("total"), zero(F.least("a", "b")).alias("matched"))
+
+
+def _gram_counts(t: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct runs of n characters, packed 21 bits each, and their counts."""
+    c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(c) < n:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    packed = np.zeros(len(c) - n + 1, np.uint64)
+    for k in range(n):
+        packed = packed << np.uint64(21) | c[k : len(c) - n + 1 + k]
+    return np.unique(packed, return_counts=True)
+
+
+def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for q, s in zip(b.column("q").to_pylist(), b.column("s").to_pylist()):
+            (x, m), (y, n) = _gram_counts(q, 3), _gram_counts(s, 3)
+            if not len(x) or not len(y):
+                out.append(None)
+                continue
+            _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+            out.append(float((m[i] * n[j]).sum() / (np.sqrt(float((m * m).sum())) * np.sqrt(float((n * n).sum())))))
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.float64())], names=["id", "cosine"])
+
+
+def char_cosine(pairs: DataFrame, limit: int = 200_000) -> DataFrame:
+    """(id, cosine) of the counts of three-character runs of two texts ``q`` and ``s``, lower case, white space collapsed.
+
+    Only the first ``limit`` characters count, as the measure is defined. Null where a text has under three. The work is
+    local to the row and done on packed arrays: exploding thousands of runs a pair into a shuffle costs ten times as much.
+    """
+    form = lambda c: text.collapse(F.lower(F.substring(F.coalesce(c, F.lit("")), 1, limit))).alias(c)
+    return pairs.select("id", form("q"), form("s")).mapInArrow(_cosines, f"id {dict(pairs.dtypes)['id']}, cosine double")

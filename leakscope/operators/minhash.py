@@ -52,19 +52,30 @@ def estimate(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.arrays_zip(a.alias("x"), b.alias("y")), lambda z: z["x"] == z["y"])) / F.size(a)
 
 
-def content_matches(left: DataFrame, right: DataFrame, threshold: float = 0.3, least_tokens: int = 3, keep: int = 10) -> DataFrame:
+def fast_signature(tokens: Column, count: int = HASHES) -> Column:
+    """array<bigint> of the least xxHash64 under each of ``count`` seeds; row-local and without a shuffle. Null if empty."""
+    seeds = F.sequence(F.lit(1), F.lit(count))
+    return F.when(F.size(tokens) > 0, F.transform(seeds, lambda s: F.array_min(F.transform(tokens, lambda t: F.xxhash64(t, s)))))
+
+
+def fast_bands(sig: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice(sig, b * rows + 1, rows)))
+
+
+def content_matches(left: DataFrame, right: DataFrame, threshold: float = 0.3, least_tokens: int = 3, keep: int = 10, sha: bool = False) -> DataFrame:
     """(left_id, right_id, similarity, rank) of (id, tokens) sets that share a band and are alike enough.
 
     Candidates share a band hash; those with an estimate of half the threshold and an exact Jaccard of 0.1 stay, the
-    ``keep`` best of each left id by similarity, then id. Exact copies of a signature share all bands and are compared once.
+    ``keep`` best of each left id by similarity, then id. With ``sha`` the signatures are the reproducible ones, else fast
+    ones of the same shape; what is kept rests on the exact Jaccard either way.
     """
     def side(df, name):
         sets = df.where(F.size("tokens") >= least_tokens)
-        sig = signatures(sets, "id", "tokens")
-        return sets.join(sig, "id").select(F.col("id").alias(f"{name}_id"), F.col("tokens").alias(f"{name}_tokens"), F.col("sig").alias(f"{name}_sig"))
+        signed = sets.join(signatures(sets, "id", "tokens"), "id") if sha else sets.withColumn("sig", fast_signature(F.col("tokens")))
+        return signed.select(F.col("id").alias(f"{name}_id"), F.col("tokens").alias(f"{name}_tokens"), F.col("sig").alias(f"{name}_sig"))
 
     a, b = side(left, "left").persist(), side(right, "right").persist()
-    bands = lambda df, n: df.select(f"{n}_id", F.explode(band_hashes(F.col(f"{n}_sig"))).alias("band"))
+    bands = lambda df, n: df.select(f"{n}_id", F.explode((band_hashes if sha else fast_bands)(F.col(f"{n}_sig"))).alias("band"))
     pairs = bands(a, "left").join(bands(b, "right"), "band").select("left_id", "right_id").distinct()
     both = pairs.join(a, "left_id").join(b, "right_id").where(estimate(F.col("left_sig"), F.col("right_sig")) >= threshold / 2)
     inter = F.size(F.array_intersect("left_tokens", "right_tokens"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakscope.functions import diff, text
-from leakscope.functions.text import let
+from leakscope.functions.text import let, once
 
 #: Fixed value: identifiers too common to search by.
 BLOCKED = (
@@ -33,20 +33,18 @@ def search_identifiers(patches: DataFrame, n: int = 8, most: int = 5) -> DataFra
     plain = lambda w: w.rlike(r"^[a-z_][\p{L}\p{N}_]{3,}$")
 
     def sums(values: Column) -> Column:
-        """Sums of n consecutive values, from running totals."""
-        start = F.array(F.lit(0))
-        totals = F.aggregate(values, start, lambda acc, v: F.array_append(acc, F.element_at(acc, -1) + v))
-        return let(totals, lambda t: F.transform(F.sequence(F.lit(1), F.size(values) - (n - 1)), lambda i: F.element_at(t, i + n) - F.element_at(t, i)))
+        """Sums of n consecutive values."""
+        return let(values, lambda v: F.transform(F.sequence(F.lit(1), F.size(v) - (n - 1)), lambda i: F.aggregate(F.slice(v, i, n), F.lit(0), lambda x, y: x + y)))
 
     def best(t: Column, f) -> Column:
         found = let(sums(F.transform(t, f)), lambda s: F.slice(t, F.array_position(s, F.array_max(s)).cast("int"), n))
         return F.when(F.size(t) >= n, found).otherwise(F.array().cast("array<string>"))
 
-    tokens = patches.withColumn("_t", text.tokens(text.search_form("patch")))
+    tokens = once(patches, "_t", text.tokens(text.search_form("patch")))
     first = F.filter(best(F.col("_t"), score), plain)
     second = F.filter(best(F.col("_t"), lambda w: plain(w).cast("int")), plain)
     chosen = let(first, lambda a: F.when(F.size(a) >= 2, a).otherwise(second))
-    out = tokens.withColumn("_ids", F.filter(chosen, distinctive)).where(F.size("_ids") >= 2)
+    out = once(tokens, "_ids", F.filter(chosen, distinctive)).where(F.size("_ids") >= 2)
     return out.withColumn("ids", F.slice("_ids", 1, most)).drop("_t", "_ids")
 
 
@@ -70,14 +68,7 @@ def verified_files(patches: DataFrame, files: DataFrame, candidates: DataFrame)
     Lines are compared with white space collapsed. A group of added lines is proved by the number of its distinct lines
     that ``required_matches`` asks for; of the proved groups the first is reported, else the one with most lines found.
     """
-    start = F.struct(F.lit(0).alias("g"), F.array().cast("array<struct<grp:int,line:string>>").alias("out"))
-
-    def step(acc, x):
-        line = F.struct((acc["g"] + 0).alias("grp"), text.collapse(F.substring(x, 2, 1 << 30)).alias("line"))
-        added = x.startswith("+") & ~x.startswith("+++")
-        return F.struct((acc["g"] + x.startswith("diff --git ").cast("int")).alias("g"), F.when(added, F.array_append(acc["out"], line)).otherwise(acc["out"]).alias("out"))
-
-    groups = patches.select("instance_id", F.explode(F.array_distinct(F.aggregate(text.lines("patch"), start, step, lambda a: a["out"]))).alias("e")).select("instance_id", "e.*").where("line != ''")
+    groups = diff.file_groups(patches, "instance_id", "patch", text.collapse)
     sizes = groups.groupBy("instance_id", "grp").agg(diff.required_matches(F.count("*"), F.max(F.length("line"))).alias("required"))
     own = files.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode(text.lines("text")).alias("at", "l"))
     lines = own.groupBy("doc_id", text.collapse("l").alias("line")).agg((F.min("at") + 1).alias("at")).where("line != ''")

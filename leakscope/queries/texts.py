@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leakscope.functions import diff, text
 from leakscope.functions.repos import canonical_repo
 from leakscope.operators import bloom, minhash
-from leakscope.operators.exposure import exposures
+from leakscope.operators.exposure import char_cosine, exposures
 from leakscope.queries.sqltext import REPO, SQL_HELPERS, lines_sql, strip_sql
 from leakscope.session import spread, table
 
@@ -139,9 +139,8 @@ def shingle_jaccard(spark, sf_dir):
 
 @query(f"WITH {_P}, c AS (SELECT id, {_COLLAPSE % 'q'} AS q, {_COLLAPSE % 's'} AS s FROM p), t AS (SELECT id, list_transform(range(1, length(q) - 1), lambda i: substring(q, i::INT, 3)) AS q, list_transform(range(1, length(s) - 1), lambda i: substring(s, i::INT, 3)) AS s FROM c), a AS (SELECT id, g, count(*) AS n FROM (SELECT id, unnest(q) AS g FROM t) GROUP BY ALL), b AS (SELECT id, g, count(*) AS n FROM (SELECT id, unnest(s) AS g FROM t) GROUP BY ALL), x AS (SELECT id, sum(n * n) AS nn FROM a GROUP BY id), y AS (SELECT id, sum(n * n) AS nn FROM b GROUP BY id), d AS (SELECT id, sum(a.n * b.n) AS dot FROM a JOIN b USING (id, g) GROUP BY id) SELECT id, round(coalesce(dot, 0) / (sqrt(x.nn) * sqrt(y.nn)), 6) AS cosine FROM x JOIN y USING (id) LEFT JOIN d USING (id)")
 def char3_cosine(spark, sf_dir):
-    p = snippets(spark, sf_dir, "patch", "patch").select("id", text.char_grams("q").alias("q"), text.char_grams("s").alias("s"))
-    e = exposures(p, cosine=True).where("norm_q > 0 and norm_s > 0")
-    return e.select("id", F.round(F.col("dot") / (F.sqrt("norm_q") * F.sqrt("norm_s")), 6).alias("cosine"))
+    p = snippets(spark, sf_dir, "patch", "patch")
+    return char_cosine(p).where("cosine is not null").select("id", F.round("cosine", 6).alias("cosine"))
 
 
 for _name, _prefix, _field in (("text_exposure_statement", "problem_statement", "problem_statement"), ("text_exposure_tests", "test_patch", "test_patch")):
@@ -177,11 +176,8 @@ def boilerplate_lines(spark, sf_dir):
 @query(f"WITH {_I}, l AS (SELECT instance_id, {lines_sql('patch')} AS l FROM i WHERE patch IS NOT NULL), p AS (SELECT instance_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS pos FROM l), g AS (SELECT instance_id, pos, line, sum(starts_with(line, 'diff --git ')::INT) OVER (PARTITION BY instance_id ORDER BY pos) AS grp FROM p), a AS (SELECT DISTINCT instance_id, grp, {strip_sql('substring(line, 2)')} AS t FROM g WHERE starts_with(line, '+') AND NOT starts_with(line, '+++')), s AS (SELECT instance_id, grp, count(*) AS n, max(length(t)) AS longest FROM a WHERE t <> '' GROUP BY ALL) SELECT instance_id, grp::BIGINT AS grp, n::BIGINT AS n_lines, coalesce(CASE WHEN n = 1 THEN CASE WHEN longest >= 40 THEN 1 END WHEN n <= 3 THEN 2 ELSE greatest(3, (n + 1) // 2) END, 0)::BIGINT AS required FROM s")
 def line_groups(spark, sf_dir):
     """Added lines by file of the diff, and how many of them a copy must hold; the group number runs within one patch."""
-    ls = instances(spark, sf_dir, "patch").where("patch is not null").select("instance_id", text.lines("patch").alias("l"))
-    step = lambda acc, x: F.struct((acc["g"] + x.startswith("diff --git ").cast("int")).alias("g"), F.when(x.startswith("+") & ~x.startswith("+++"), F.array_append(acc["out"], F.struct((acc["g"] + 0).alias("grp"), text.strip(F.substring(x, 2, 1 << 30)).alias("t")))).otherwise(acc["out"]).alias("out"))
-    start = F.struct(F.lit(0).alias("g"), F.array().cast("array<struct<grp:int,t:string>>").alias("out"))
-    rows = ls.select("instance_id", F.explode(F.array_distinct(F.aggregate("l", start, step, lambda a: a["out"]))).alias("e")).select("instance_id", "e.*").where("t != ''")
-    g = rows.groupBy("instance_id", F.col("grp").cast("long").alias("grp")).agg(F.count("*").alias("n_lines"), F.max(F.length("t")).alias("longest"))
+    rows = diff.file_groups(instances(spark, sf_dir, "patch"), "instance_id", "patch", text.strip)
+    g = rows.groupBy("instance_id", F.col("grp").cast("long").alias("grp")).agg(F.count("*").alias("n_lines"), F.max(F.length("line")).alias("longest"))
     return g.select("instance_id", "grp", "n_lines", F.coalesce(diff.required_matches(F.col("n_lines"), F.col("longest")), F.lit(0)).cast("long").alias("required"))
 
 
@@ -191,7 +187,7 @@ _PT = f"l AS (SELECT instance_id, {lines_sql('patch')} AS l FROM i WHERE patch I
 
 @query(f"WITH {_I}, {_PT} SELECT instance_id, len(t)::BIGINT AS n_tokens, array_to_string(list_sort(t), ' ') AS tokens FROM tk WHERE len(t) > 0")
 def distinctive_tokens(spark, sf_dir):
-    t = instances(spark, sf_dir, "patch").where("patch is not null").select("instance_id", F.array_sort(diff.patch_tokens("patch")).alias("t")).where(F.size("t") > 0)
+    t = text.once(instances(spark, sf_dir, "patch").where("patch is not null"), "t", F.array_sort(diff.patch_tokens("patch"))).where(F.size("t") > 0)
     return t.select("instance_id", F.size("t").cast("long").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
@@ -204,12 +200,12 @@ def patch_content_hash(spark, sf_dir):
 
 
 def _patch_sets(spark, sf_dir):
-    return instances(spark, sf_dir, "patch").where("patch is not null").select(F.col("instance_id").alias("id"), diff.patch_tokens("patch").alias("tokens"))
+    return text.once(instances(spark, sf_dir, "patch").where("patch is not null"), "tokens", diff.patch_tokens("patch")).select(F.col("instance_id").alias("id"), "tokens")
 
 
 def _code_sets(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("kind = 'source_file' and text is not null").select("doc_id", "text")
-    return spread(d).select(F.col("doc_id").alias("id"), diff.distinctive_tokens(text.lines("text")).alias("tokens"))
+    return text.once(spread(d), "tokens", diff.distinctive_tokens(text.lines("text"))).select(F.col("doc_id").alias("id"), "tokens")
 
 
 _SALTS = "s AS (SELECT i, unhex(x) AS salt FROM (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(minhash.salts(16))) + ") v(i, x))"
