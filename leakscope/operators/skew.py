@@ -135,6 +135,8 @@ def fragment_replicate_join(big: DataFrame, other: DataFrame, key: str, how: str
     big.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     plan = plan or plan_shards(big, key)
     left = spread_by_load(big, key, plan, salt)
+    if how == "left_semi":  # an inner join with distinct keys, since the optimizer moves semi joins below the placement
+        other, how = other.select(key).distinct(), "inner"
     right = other.where(F.col(key).isNotNull()).withColumn("_route", F.explode(F.array_distinct(plan.routes(F.col(key))))).repartition(plan.tasks, "_route")
     joined = left.join(right, ["_route", key], how).drop("_route")
     if how == "left":
