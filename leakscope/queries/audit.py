@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from leakscope.functions import diff, links, risk, text
 from leakscope.functions.repos import canonical_repo
 from leakscope.operators.sampling import round_robin_sample
+from leakscope.functions import cutoffs
+from leakscope.operators.substring import substring_join
 from leakscope.operators.search import candidate_files, search_identifiers, verified_files
 from leakscope.queries.sqltext import REPO, lines_sql, strip_sql
 from leakscope.queries.texts import instances
@@ -370,3 +372,56 @@ def exposure_classes(spark, sf_dir):
     known = F.coalesce(rate, F.lit(0.0))
     match = F.when(F.col("verbatim_match"), "verbatim").when(F.col("normalized_match") | (known >= 0.95), "normalized").when(known >= 0.82, "near_duplicate").otherwise("none")
     return table(spark, sf_dir, "patch_exposure").select("instance_id", "line_overlap", F.round(rate, 6).alias("rate"), match.alias("match"), ((F.col("embedding_similarity") >= 0.85) & (F.col("ngram_overlap_8") < 0.5)).cast("int").alias("paraphrase"))
+
+
+_INNER = lambda c: f"len(regexp_extract_all(lower({c}), '{text.WORD}')) > 2"
+
+
+@query(f"WITH e AS (SELECT DISTINCT evidence_id, evidence_snippet AS p FROM evidence WHERE evidence_snippet <> '') SELECT evidence_id, doc_id FROM e JOIN documents ON contains(text, p) WHERE {_INNER('p')}")
+def snippet_hits(spark, sf_dir):
+    """Documents that hold a snippet verbatim."""
+    p = evidence(spark, sf_dir, F.col("evidence_snippet").alias("pattern")).withColumnRenamed("evidence_id", "id")
+    return substring_join(p, docs(spark, sf_dir)).select(F.col("id").alias("evidence_id"), F.col("text_id").alias("doc_id"))
+
+
+def docs(spark, sf_dir, *kinds: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    d = d.where(F.col("kind").isin(*kinds)) if kinds else d
+    return spread(d.select(F.col("doc_id").alias("text_id"), "text"))
+
+
+_PHRASE = "trim(substring(trim(regexp_replace(regexp_replace(regexp_replace(substring(problem_statement, 1, 200), '(?s)```.*?(```|$)', ' ', 'g'), 'https?://\\S+', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')), 1, 60))"
+_TALK = ("issue_comment", "forum_post", "mail_thread")
+
+
+@query(f"WITH i AS (SELECT DISTINCT instance_id, {_PHRASE} AS p FROM instances WHERE length(problem_statement) > 50) SELECT instance_id, doc_id FROM i JOIN documents ON contains(text, p) WHERE kind IN {_TALK} AND length(p) >= 30 AND {_INNER('p')}")
+def issue_phrase_hits(spark, sf_dir):
+    """Talk that quotes the beginning of a problem statement."""
+    x = F.regexp_replace(F.regexp_replace(F.substring("problem_statement", 1, 200), r"(?s)```.*?(```|$)", " "), r"https?://\S+", " ")
+    phrase = F.trim(F.substring(F.trim(F.regexp_replace(x, r"[ \t\r\n]+", " ")), 1, 60))
+    p = instances(spark, sf_dir, "problem_statement").where(F.length("problem_statement") > 50).select(F.col("instance_id").alias("id"), phrase.alias("pattern")).where(F.length("pattern") >= 30)
+    return substring_join(p, docs(spark, sf_dir, *_TALK)).select(F.col("id").alias("instance_id"), F.col("text_id").alias("doc_id"))
+
+
+_DENSE = "length(c) - length(translate(c, '(){}[];=<>+-*/|\\`', '')) <= 0.4 * length(c)"
+
+
+@query(f"WITH i AS (SELECT DISTINCT instance_id, {REPO} AS repo, {strip_sql('substring(problem_statement, 1, 200)')} AS c FROM instances WHERE length(problem_statement) > 50), d AS (SELECT doc_id, {REPO} AS drepo, text FROM documents) SELECT instance_id, count(DISTINCT doc_id)::BIGINT AS files FROM i JOIN d ON repo = drepo AND contains(text, c) WHERE length(c) > 30 AND {_DENSE} AND {_INNER('c')} GROUP BY instance_id")
+def statement_m4(spark, sf_dir):
+    """Files of an instance's own repository that hold the beginning of its statement, unless that is code."""
+    c = text.strip(F.substring("problem_statement", 1, 200))
+    i = instances(spark, sf_dir, canonical_repo("repo").alias("repo"), "problem_statement").where(F.length("problem_statement") > 50).select("instance_id", "repo", c.alias("c"))
+    prose = F.length("c") - F.length(F.translate("c", "(){}[];=<>+-*/|\\`", "")) <= 0.4 * F.length("c")
+    p = i.where((F.length("c") > 30) & prose)
+    hits = substring_join(p.select(F.col("instance_id").alias("id"), F.col("c").alias("pattern")), docs(spark, sf_dir))
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), canonical_repo("repo").alias("repo"))
+    return hits.join(own, "text_id").join(p.select(F.col("instance_id").alias("id"), "repo"), ["id", "repo"]).groupBy(F.col("id").alias("instance_id")).agg(F.count_distinct("text_id").alias("files"))
+
+
+@query("SELECT DISTINCT source AS name, CASE lower(source) WHEN 'forge_code' THEN '2024-03-15' WHEN 'web_captures' THEN '2024-06-01' END AS cutoff FROM documents WHERE source IS NOT NULL")
+def model_cutoff_lookup(spark, sf_dir):
+    """The cutoff of the corpus that each source of documents stands for."""
+    names = table(spark, sf_dir, "documents").where("source is not null").select(F.col("source").alias("name"))
+    dates = dict(cutoffs.CORPORA)
+    given = spark.createDataFrame([("Forge Code", dates["stack-v2"]), ("web-captures", dates["common-crawl"])], "name string, cutoff string")
+    return cutoffs.lookup(names, given).select("name", F.col("cutoff").cast("string").alias("cutoff"))
