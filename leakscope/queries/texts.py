@@ -51,7 +51,7 @@ _COLLAPSE = rf"regexp_replace(regexp_replace(lower(substring(%s, 1, 200000)), '[
 
 @query(f"WITH t AS (SELECT doc_id, {_COLLAPSE % 'text'} AS t FROM documents WHERE text IS NOT NULL), g AS (SELECT doc_id, t, unnest(range(1, length(t) - 1)) AS i FROM t) SELECT doc_id, count(*)::BIGINT AS n, count(DISTINCT substring(t, i::INT, 3))::BIGINT AS n_distinct FROM g GROUP BY doc_id")
 def char3_counts(spark, sf_dir):
-    g = docs(spark, sf_dir, "text").select("doc_id", text.char_grams("text").alias("g")).where(F.size("g") > 0)
+    g = text.once(docs(spark, sf_dir, "text"), "g", text.char_grams("text")).where(F.size("g") > 0)
     return g.select("doc_id", F.size("g").cast("long").alias("n"), F.size(F.array_distinct("g")).cast("long").alias("n_distinct"))
 
 
@@ -162,7 +162,7 @@ def diff_files(spark, sf_dir):
 
 @query(f"WITH {_I}, l AS (SELECT instance_id, unnest({_CH('patch')}) AS line FROM i) SELECT instance_id, count(*)::BIGINT AS n_changed, count(DISTINCT line)::BIGINT AS n_distinct FROM l GROUP BY instance_id")
 def changed_line_counts(spark, sf_dir):
-    c = instances(spark, sf_dir, "patch").select("instance_id", F.filter(diff.changed_lines("patch"), lambda s: F.length(s) >= 10).alias("l")).where(F.size("l") > 0)
+    c = text.once(instances(spark, sf_dir, "patch"), "l", F.filter(diff.changed_lines("patch"), lambda s: F.length(s) >= 10)).where(F.size("l") > 0)
     return c.select("instance_id", F.size("l").cast("long").alias("n_changed"), F.size(F.array_distinct("l")).cast("long").alias("n_distinct"))
 
 
