@@ -114,4 +114,15 @@ def p8_sentences(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_reparameterised, p4_found, p4_redacted, p5_found, p5_shared, p6_packed, p6_report, p7_mixture, p7_shares, p8_found, p8_sentences)}
-SQL: dict[str, str] = {}
+_W = r"regexp_extract_all(lower(%s), '[\p{L}\p{N}_]+')"
+
+
+def _grams(words: str, n: int) -> str:
+    return f"CASE WHEN len({words}) >= {n} THEN list_distinct(list_transform(range(1, len({words}) - {n - 2}), lambda i: array_to_string({words}[i:i + {n - 1}], ' '))) ELSE [] END"
+
+
+SQL: dict[str, str] = {
+    "p1_found": f"WITH i AS (SELECT DISTINCT instance_id, {_W % 'patch'} AS w FROM instances), s AS (SELECT instance_id, {_grams('w', 3)} AS g FROM i), n AS (SELECT instance_id, len(g) AS n FROM s), u AS (SELECT instance_id, unnest(g) AS g FROM s), c AS (SELECT a.instance_id AS x, b.instance_id AS y, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.instance_id < b.instance_id GROUP BY ALL) SELECT x AS instance_id_a, y AS instance_id_b FROM c JOIN n a ON a.instance_id = x JOIN n b ON b.instance_id = y WHERE k >= 0.6 * (a.n + b.n - k)",
+    "p3_found": "WITH i AS (" + " UNION ".join(f"SELECT DISTINCT instance_id, '{f}' AS field, {_W % f} AS w FROM instances" for f in FIELDS) + f"), d AS (SELECT doc_id, {_W % 'text'} AS w FROM documents), fi AS (SELECT instance_id, field, len(w) AS nw, {_grams('w', 5)} AS g, {_grams('w', 20)} AS h FROM i), fd AS (SELECT doc_id, {_grams('w', 5)} AS g, {_grams('w', 20)} AS h FROM d), a AS (SELECT instance_id, field, len(g) AS n, unnest(g) AS g FROM fi WHERE nw >= 40), b AS (SELECT doc_id, unnest(g) AS g FROM fd), x AS (SELECT doc_id, instance_id, field FROM a JOIN b USING (g) GROUP BY doc_id, instance_id, field, n HAVING 2 * count(*) >= n), y AS (SELECT DISTINCT doc_id, instance_id, field FROM (SELECT instance_id, field, unnest(h) AS h FROM fi) JOIN (SELECT doc_id, unnest(h) AS h FROM fd) USING (h)) SELECT * FROM x UNION SELECT * FROM y",
+    "p5_found": "WITH i AS (SELECT DISTINCT instance_id, patch FROM instances WHERE length(patch) >= 200), u AS (SELECT DISTINCT instance_id, md5(substring(patch, k::INT, 200)) AS h FROM (SELECT instance_id, patch, unnest(range(1, length(patch) - 198)) AS k FROM i)) SELECT DISTINCT a.instance_id AS instance_id_a, b.instance_id AS instance_id_b FROM u a JOIN u b ON a.h = b.h AND a.instance_id < b.instance_id",
+}
