@@ -261,7 +261,24 @@ def vendor_like(spark, sf_dir):
     return d.select("doc_id", links.vendor_like(F.col("path"), canonical_repo("repo")).cast("int").alias("vendor_like"))
 
 
-@query()
+from leakscope.operators.search import BLOCKED  # noqa: E402
+from leakscope.queries.texts import _FORM  # noqa: E402
+
+_IDENT = "'^[a-z_][\\p{L}\\p{N}_]{%s}$'"
+_SCORE = f"CASE WHEN regexp_matches(w, {_IDENT % '4,'}) THEN length(w) WHEN regexp_matches(w, {_IDENT % '1,'}) THEN 2 ELSE 0 END"
+_PLAIN = f"regexp_matches(w, {_IDENT % '3,'})"
+_DIST = "(w NOT IN (" + ", ".join(f"'{b}'" for b in dict.fromkeys(BLOCKED)) + ") AND (contains(w, '_') OR regexp_matches(w, '[0-9]') OR length(w) >= 12))"
+
+
+def _best(value: str) -> str:
+    sums = f"list_transform(range(1, len(t) - 6), lambda i: list_sum(list_transform(t[i:i + 7], lambda w: {value})))"
+    return f"list_filter(t[list_position({sums}, list_max({sums})):list_position({sums}, list_max({sums})) + 7], lambda w: {_PLAIN})"
+
+
+_IDS = f"i AS (SELECT DISTINCT instance_id, {REPO} AS repo, patch FROM instances WHERE patch IS NOT NULL), k AS (SELECT instance_id, repo, regexp_extract_all({_FORM}, '{text.TOKEN}') AS t FROM i), b AS (SELECT instance_id, repo, {_best(_SCORE)} AS one, {_best('(' + _PLAIN + ')::INT')} AS two FROM k WHERE len(t) >= 8), s AS (SELECT instance_id, repo, list_filter(CASE WHEN len(one) >= 2 THEN one ELSE two END, lambda w: {_DIST}) AS ids FROM b), q AS (SELECT instance_id, repo, ids[1:5] AS ids FROM s WHERE len(ids) >= 2)"
+
+
+@query(f"WITH {_IDS}, n AS (SELECT instance_id, repo, len(list_distinct(ids)) AS need, unnest(list_distinct(ids)) AS w FROM q), d AS (SELECT doc_id, {REPO} AS file_repo, unnest(list_distinct(regexp_extract_all(lower(text), '{text.WORD}'))) AS w FROM documents WHERE text IS NOT NULL AND kind IN ('source_file', 'diff')) SELECT instance_id, doc_id FROM n JOIN d USING (w) WHERE coalesce(file_repo <> repo, true) GROUP BY instance_id, doc_id, need HAVING count(*) = need")
 def candidate_hits(spark, sf_dir):
     """Source files of other repositories that hold all identifiers a patch is searched by."""
     return _candidates(spark, sf_dir).select("instance_id", "doc_id")
@@ -293,7 +310,7 @@ def replication_rollup(spark, sf_dir):
     return v.join(f, "doc_id").groupBy("instance_id").agg(F.count_distinct("file_repo").alias("repos"), F.count_if("vendor").alias("vendor_files"), F.sum("matched").alias("matched_lines"))
 
 
-@query()
+@query(f"WITH {_IDS} SELECT instance_id, array_to_string(ids, ' ') AS query FROM q")
 def search_queries(spark, sf_dir):
     return search_identifiers(_searched(spark, sf_dir)).select("instance_id", F.array_join("ids", " ").alias("query"))
 
@@ -340,7 +357,10 @@ def head_minus_base_m3(spark, sf_dir):
     return _head_minus_base(spark, sf_dir, "test_patch", lambda x: x)
 
 
-@query()
+_V = "SELECT instance_id, head_only > 0 AS hit, in_head / lines AS part FROM ({}) q"
+
+
+@query(f"WITH i AS (SELECT DISTINCT instance_id FROM instances), m1 AS ({_V.format(_head_sql('patch', 'x'))}), m2 AS ({_V.format(_head_sql('patch', _NORM2('x')))}), m3 AS ({_V.format(_head_sql('test_patch', 'x'))}), c AS (SELECT instance_id, coalesce(m1.hit, false)::INT + coalesce(m2.hit, false)::INT + coalesce(m3.hit, false)::INT AS detected, (m1.hit IS NOT NULL)::INT + (m2.hit IS NOT NULL)::INT + (m3.hit IS NOT NULL)::INT AS run, round(coalesce(m1.part, 0), 6) AS exposure FROM i LEFT JOIN m1 USING (instance_id) LEFT JOIN m2 USING (instance_id) LEFT JOIN m3 USING (instance_id)) SELECT *, CASE WHEN run = 0 THEN 'no_lines' WHEN detected >= 2 OR (detected = 1 AND exposure >= 0.5) THEN 'contaminated' WHEN detected = 1 THEN 'suspect' ELSE 'clean' END AS verdict FROM c")
 def consensus_verdict(spark, sf_dir):
     """How many of the line methods that could run found lines that appeared after the base, and the verdict on it."""
     ms = [f(spark, sf_dir).select("instance_id", (F.col("head_only") > 0).alias(f"m{k}"), *([(F.col("in_head") / F.col("lines")).alias("exposure")] if k == 1 else [])) for k, f in ((1, head_minus_base_m1), (2, head_minus_base_m2), (3, head_minus_base_m3))]
