@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -37,3 +38,23 @@ def probe(keys: DataFrame, key: str, bits: DataFrame, m: int, k: int) -> DataFra
 
 def false_positive_rate(n: int, m: int, k: int) -> float:
     return (1 - math.exp(-k * n / m)) ** k
+
+
+def save(bits: DataFrame, path: str, n: int, m: int, k: int) -> None:
+    """Store the positions of set bits beside a one-row header with the sizes."""
+    spark = bits.sparkSession
+    bits.select("pos").write.mode("overwrite").parquet(f"{path}/bits")
+    spark.createDataFrame([(json.dumps({"format": 1, "n": n, "m": m, "k": k}),)], "header string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
+
+
+def load(spark, path: str) -> tuple[DataFrame, int, int]:
+    """(bits, m, k) of a stored filter; sizes beyond the format's limits are refused."""
+    head = json.loads(spark.read.text(f"{path}/header").first()[0])
+    if head.get("format") != 1 or not 0 < head["m"] <= 10**9 or not 0 < head["k"] <= 20 or not 0 <= head["n"] <= head["m"]:
+        raise ValueError(f"not a usable filter: {head}")
+    return spark.read.parquet(f"{path}/bits"), head["m"], head["k"]
+
+
+def from_lines(spark, path: str) -> DataFrame:
+    """(repo) of a text file with an owner/name a line, trimmed and in lower case; other lines are left out."""
+    return spark.read.text(path).select(F.lower(F.trim("value")).alias("repo")).where(F.contains("repo", F.lit("/")))

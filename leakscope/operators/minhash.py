@@ -62,6 +62,30 @@ def fast_bands(sig: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice(sig, b * rows + 1, rows)))
 
 
+def index_table(sets: DataFrame, least_tokens: int = 3, sha: bool = False) -> DataFrame:
+    """(id, tokens, sig) of (id, tokens) sets that have enough tokens: all that later matching needs of one side."""
+    kept = sets.where(F.size("tokens") >= least_tokens).select("id", "tokens")
+    return kept.join(signatures(kept, "id", "tokens"), "id").select("id", "tokens", "sig") if sha else kept.withColumn("sig", fast_signature(F.col("tokens")))
+
+
+def write_index(sets: DataFrame, path: str, parts: int = 64, **how) -> None:
+    """Store an index as two Parquet tables: files by id, and bands in ``parts`` folders by band, so that probes read few."""
+    table = index_table(sets, **how).persist()
+    table.write.mode("overwrite").parquet(f"{path}/files")
+    bands = table.select("id", F.explode((band_hashes if how.get("sha") else fast_bands)(F.col("sig"))).alias("band"))
+    part = F.pmod(F.xxhash64("band"), F.lit(parts)).cast("int")
+    bands.withColumn("part", part).repartition(parts, "part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/bands")
+    table.unpersist()
+
+
+def match_index(left: DataFrame, path: str, **how) -> DataFrame:
+    """content_matches of (id, tokens) sets against a stored index, without signing the index again."""
+    spark = left.sparkSession
+    sha = how.pop("sha", False)
+    sides = index_table(left, how.pop("least_tokens", 3), sha), spark.read.parquet(f"{path}/files")
+    return _matched(*sides, spark.read.parquet(f"{path}/bands").select("id", "band"), sha, **how)
+
+
 def content_matches(left: DataFrame, right: DataFrame, threshold: float = 0.3, least_tokens: int = 3, keep: int = 10, sha: bool = False) -> DataFrame:
     """(left_id, right_id, similarity, rank) of (id, tokens) sets that share a band and are alike enough.
 
@@ -69,15 +93,15 @@ def content_matches(left: DataFrame, right: DataFrame, threshold: float = 0.3, l
     ``keep`` best of each left id by similarity, then id. With ``sha`` the signatures are the reproducible ones, else fast
     ones of the same shape; what is kept rests on the exact Jaccard either way.
     """
-    def side(df, name):
-        sets = df.where(F.size("tokens") >= least_tokens)
-        signed = sets.join(signatures(sets, "id", "tokens"), "id") if sha else sets.withColumn("sig", fast_signature(F.col("tokens")))
-        return signed.select(F.col("id").alias(f"{name}_id"), F.col("tokens").alias(f"{name}_tokens"), F.col("sig").alias(f"{name}_sig"))
-
-    a, b = side(left, "left").persist(), side(right, "right").persist()
-    bands = lambda df, n: df.select(f"{n}_id", F.explode((band_hashes if sha else fast_bands)(F.col(f"{n}_sig"))).alias("band"))
-    pairs = bands(a, "left").join(bands(b, "right"), "band").select("left_id", "right_id").distinct()
-    both = pairs.join(a, "left_id").join(b, "right_id").where(estimate(F.col("left_sig"), F.col("right_sig")) >= threshold / 2)
+    a, b = (index_table(x, least_tokens, sha).persist() for x in (left, right))
+    return _matched(a, b, b.select("id", F.explode((band_hashes if sha else fast_bands)(F.col("sig"))).alias("band")), sha, threshold, keep)
+
+
+def _matched(a: DataFrame, b: DataFrame, right_bands: DataFrame, sha: bool, threshold: float = 0.3, keep: int = 10) -> DataFrame:
+    left_bands = a.select(F.col("id").alias("left_id"), F.explode((band_hashes if sha else fast_bands)(F.col("sig"))).alias("band"))
+    pairs = left_bands.join(right_bands.withColumnRenamed("id", "right_id"), "band").select("left_id", "right_id").distinct()
+    named = lambda df, n: df.select(*[F.col(c).alias(f"{n}_{c}") for c in ("id", "tokens", "sig")])
+    both = pairs.join(named(a, "left"), "left_id").join(named(b, "right"), "right_id").where(estimate(F.col("left_sig"), F.col("right_sig")) >= threshold / 2)
     inter = F.size(F.array_intersect("left_tokens", "right_tokens"))
     exact = both.select("left_id", "right_id", (inter / (F.size("left_tokens") + F.size("right_tokens") - inter)).alias("similarity")).where("similarity >= 0.1")
     rank = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("similarity"), "right_id"))

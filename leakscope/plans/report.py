@@ -33,6 +33,32 @@ def build_report(risks: DataFrame, evidence: DataFrame, name: str) -> dict:
     }
 
 
+def findings(report: dict) -> list[dict]:
+    """What the numbers say, each with the section it belongs to and how sure it is (high, medium, low)."""
+    total, levels, kinds = report["total"], report["levels"], report["evidence"]
+    if not total:
+        return []
+    out: list[dict] = []
+    add = lambda section, sure, text: out.append({"section": section, "confidence": sure, "text": text})
+    if report["not_evaluated"]:
+        add("scope", "high", f"{report['not_evaluated']} of {total} instances had no source to compare with.")
+    grave = levels["critical"] + levels["high"]
+    if grave:
+        share = grave / total
+        add("risk", "high" if share >= 0.5 else "medium" if share >= 0.25 else "low", f"{grave} of {total} instances are of level high or critical.")
+    if n := kinds.get("patch_verbatim", 0):
+        add("source", "high", f"{n} patches stand in their source word for word.")
+    if n := kinds.get("repo_in_training_corpus", 0):
+        add("corpus", "medium", f"{n} instances belong to repositories of the corpus.")
+    if n := kinds.get("embedding_similarity_hit", 0):
+        add("paraphrase", "low", f"{n} patches resemble their source without sharing its wording.")
+    if n := kinds.get("test_patch_near_duplicate", 0):
+        add("tests", "medium", f"{n} test patches are close to the source.")
+    if levels["clean"] == total:
+        add("risk", "medium", "No instance bears a signal.")
+    return out
+
+
 def write_json(report: dict, path: str | Path) -> Path:
     path = Path(path)
     path.write_text(json.dumps(report, ensure_ascii=False, indent=1, sort_keys=True), encoding="utf-8")
@@ -62,6 +88,7 @@ def markdown(report: dict) -> str:
     out = [f"# {report['name']}", "", f"{report['total']} instances, of which {report['not_evaluated']} could not be evaluated. {report['flagged_rate']:.1%} bear a signal.", "", "| level | instances |", "|---|---|"]
     out += [f"| {k} | {n} |" for k, n in report["levels"].items()]
     out += ["", "## Evidence", "", "| kind | rows |", "|---|---|", *[f"| {_cell(k)} | {n} |" for k, n in report["evidence"].items()]]
+    out += ["", "## Findings", "", *[f"- {f['text']} ({f['confidence']})" for f in findings(report)]]
     out += ["", "## Most exposed", "", "| instance | repository | level | exposure |", "|---|---|---|---|"]
     out += [f"| {_cell(t['instance_id'])} | {_cell(t['repo'])} | {t['risk']} | {t['patch_exposure']:.3f} |" for t in report["top"]]
     out += ["", "Availability of a text is measured here; what a model remembers of it is not."]

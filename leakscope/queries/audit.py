@@ -445,3 +445,12 @@ def model_cutoff_lookup(spark, sf_dir):
     dates = dict(cutoffs.CORPORA)
     given = spark.createDataFrame([("Forge Code", dates["stack-v2"]), ("web-captures", dates["common-crawl"])], "name string, cutoff string")
     return cutoffs.lookup(names, given).select("name", F.col("cutoff").cast("string").alias("cutoff"))
+
+
+@query(f"WITH {_IDS}, n AS (SELECT instance_id, unnest(list_distinct(ids)) AS w FROM q), d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '{text.WORD}'))) AS w FROM documents WHERE text IS NOT NULL AND kind IN ('mail_thread', 'release_notes')) SELECT instance_id, doc_id, count(*)::BIGINT AS terms FROM n JOIN d USING (w) GROUP BY ALL HAVING count(*) >= 2")
+def message_hits(spark, sf_dir):
+    """Messages that mention at least two of the identifiers a patch is searched by."""
+    terms = search_identifiers(_searched(spark, sf_dir)).select("instance_id", F.explode(F.array_distinct("ids")).alias("w"))
+    d = docs(spark, sf_dir, "mail_thread", "release_notes").where("text is not null")
+    words = d.select(F.col("text_id").alias("doc_id"), F.explode(F.array_distinct(text.words("text"))).alias("w"))
+    return terms.join(words, "w").groupBy("instance_id", "doc_id").agg(F.count("*").alias("terms")).where("terms >= 2")

@@ -107,3 +107,13 @@ def normalise(df: DataFrame, declared: dict[str, str] | None = None) -> DataFram
         *[F.coalesce(get(k), F.lit("")).alias(k) for k in ("patch", "test_patch", "problem_statement")], get("created_at").alias("created_at"), number.alias("pr_number"), url.alias("pr_url"),
     )
     return out.where("instance_id is not null and instance_id != ''")
+
+
+def find_dataset(name: str, registry: dict[str, str]) -> str | None:
+    """The registered key a request means: the same name whatever its case, else the longest key that the name contains."""
+    wanted = name.strip().lower()
+    keys = {k.lower(): k for k in registry}
+    if wanted in keys:
+        return keys[wanted]
+    inside = [k for k in keys if k in wanted]
+    return keys[max(inside, key=len)] if inside else None

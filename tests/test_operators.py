@@ -127,6 +127,37 @@ def test_content_matches(spark, sha):
     assert got == [("p", 1, 1.0, 1), ("p", 2, round(18 / 22, 4), 2)]
 
 
+def test_stored_index_and_filter(spark, tmp_path):
+    words = [f"tok{i}" for i in range(40)]
+    left = spark.createDataFrame([("p", words[:20])], "id string, tokens array<string>")
+    right = spark.createDataFrame([(1, words[:20]), (2, words[2:22]), (3, words[30:40]), (4, words[:2])], "id int, tokens array<string>")
+    minhash.write_index(right, str(tmp_path / "lsh"), parts=4)
+    got = minhash.match_index(left, str(tmp_path / "lsh")).orderBy("rank").collect()
+    assert got == minhash.content_matches(left, right).orderBy("rank").collect() and [r.right_id for r in got] == [1, 2]
+    (tmp_path / "repos.txt").write_text("A/b \nnothing\n c/D\n")
+    keys = bloom.from_lines(spark, str(tmp_path / "repos.txt"))
+    assert sorted(r.repo for r in keys.collect()) == ["a/b", "c/d"]
+    m, k = bloom.sizing(100, 0.01)
+    bloom.save(bloom.build(keys, "repo", m, k), str(tmp_path / "bloom"), 100, m, k)
+    bits, m2, k2 = bloom.load(spark, str(tmp_path / "bloom"))
+    assert (m2, k2) == (m, k) and all(r.member for r in bloom.probe(keys, "repo", bits, m, k).collect())
+    bloom.save(bits, str(tmp_path / "bad"), 5, 2, 1)
+    with pytest.raises(ValueError):
+        bloom.load(spark, str(tmp_path / "bad"))
+
+
+def test_substrings(spark):
+    from leakscope.operators.substring import substring_join
+
+    patterns = {1: "e quick brown fox ju", 2: "brown", 3: "the lazy dog", 4: "", 5: None, 6: "Quick Brown Fox!", 7: "lazy, dog sleeps", 8: "e quick brown fox ju"}
+    texts = {1: "The quick brown fox jumps", 2: "the lazy dog sleeps", 3: None, 4: "", 5: "Quick Brown Fox! The quick brown fox jumps, so the lazy dog barks"}
+    p = spark.createDataFrame(list(patterns.items()), "id int, pattern string")
+    t = spark.createDataFrame(list(texts.items()) + [(1, texts[1])], "text_id int, text string")
+    want = {(i, j) for i, a in patterns.items() for j, b in texts.items() if a and b and a in b and len(a.split()) > 2}
+    assert {tuple(r) for r in substring_join(p, t).collect()} == want and (1, 1) in want
+    assert substring_join(p, t.limit(0)).count() == substring_join(p.limit(0), t).count() == 0
+
+
 def test_bloom(spark):
     keys = [f"o/r{i}" for i in range(300)]
     m, k = bloom.sizing(300, 0.01)

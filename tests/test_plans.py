@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from leakscope.plans import report as R
 from leakscope.plans.audit import AuditConfig, audit, evidence_rows
-from leakscope.sources.instances import normalise, read_rows, read_shards, resolve, whole_number
+from leakscope.sources.instances import find_dataset, normalise, read_rows, read_shards, resolve, whole_number
 from leakscope.streaming.replication import watch_files
 
 I = "instance_id string, repo string, patch string, test_patch string, problem_statement string, pr_number int"
@@ -60,6 +60,7 @@ def test_reports(spark, tmp_path):
     assert R.read_json(path) == json.loads(path.read_text()) == made
     assert "a\\|b" in R.markdown(made) and "t &lt;1&gt;" in R.page(made)
     assert R.read_facts(spark, str(path)).select("instance_id").first()[0] == "a|b"
+    assert [f["section"] for f in R.findings(made)][:2] == ["risk", "source"] and R.findings(made | {"total": 0}) == []
     assert "Nothing was audited" in R.markdown(made | {"total": 0})
     with pytest.raises(ValueError):
         path.write_text("{}") and R.read_json(path)
@@ -68,6 +69,8 @@ def test_reports(spark, tmp_path):
 def test_layouts(spark, tmp_path):
     assert resolve(["Task_ID", "Prompt", "canonical_solution", "test"]) == {"instance_id": "Task_ID", "patch": "canonical_solution", "test_patch": "test", "problem_statement": "Prompt"}
     assert resolve(["id", "instance_id"], {"instance_id": "id"})["instance_id"] == "id"
+    known = {"swe": "a", "swe-pro": "b"}
+    assert [find_dataset(x, known) for x in ("SWE", "org/swe-pro-v2", "x/swe", "none")] == ["swe", "swe-pro", "swe", None]
     rows = tmp_path / "a.jsonl"
     rows.write_text('{"task_id": 7, "text": "T", "code": "c", "test_list": ["a", "b"]}\n{"task_id": null}\n')
     got = normalise(read_rows(spark, str(rows))).collect()
