@@ -141,12 +141,10 @@ def near_duplicate_classes(texts: DataFrame, ident: str, text: str, words: int =
         .join(side(sketches, "b", nb="n", rb="regs"), "b")
         .mapInArrow(_estimated(threshold), "a long, b long")
     )
-    links = (
-        likely.join(side(reps, "a", ga="grams"), "a")
-        .join(side(reps, "b", gb="grams"), "b")
-        .select("a", "b", "ga", "gb")
-        .mapInArrow(_verified(threshold), "a long, b long, similarity double")
-    )
+    # the sets are far larger than the pairs, so they are moved once and met by both ends of each pair
+    ends = likely.select("a", "b", F.explode(F.array("a", "b")).alias("fp")).join(reps.select("fp", "grams"), "fp")
+    end = lambda s: F.max(F.when(F.col("fp") == F.col(s), F.col("grams"))).alias(f"g{s}")
+    links = ends.groupBy("a", "b").agg(end("a"), end("b")).mapInArrow(_verified(threshold), "a long, b long, similarity double")
     return rows.select("id", "fp").distinct(), links
 
 
