@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,7 +54,7 @@ class ShardPlan:
     def routes(self, key: Column) -> Column:
         """Column array<int>: all routes that hold rows of the key."""
         bucket = F.pmod(F.xxhash64(key), F.lit(len(self.light))).cast("int")
-        light = F.array(F.array(*[F.lit(r) for r in self.light])[bucket])
+        light = F.array(F.from_json(F.lit(json.dumps(self.light)), "array<int>")[bucket])  # folded into one constant
         if not self.heavy:
             return light
         pairs = [x for k, rs in self.heavy.items() for x in (F.lit(k), F.array(*[F.lit(r) for r in rs]))]
