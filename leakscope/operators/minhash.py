@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HASHES, BANDS, ROWS, SEED = 128, 32, 4, 42
+#: Tokens a side that a pair of blocks holds in memory, 32 MB as hashes.
+BLOCK_TOKENS = 4_000_000
 
 
 def salts(count: int = HASHES, seed: int = SEED, prefix: str = "leakscope") -> list[str]:
@@ -69,7 +74,10 @@ def index_table(sets: DataFrame, least_tokens: int = 3, sha: bool = False) -> Da
 
 
 def write_index(sets: DataFrame, path: str, parts: int = 64, **how) -> None:
-    """Store an index as two Parquet tables: files by id, and bands in ``parts`` folders by band, so that probes read few."""
+    """Store an index as two Parquet tables: files by id, and bands in ``parts`` folders by band for readers that probe by band.
+
+    match_index reads the files only, since bands miss most pairs of a low Jaccard.
+    """
     table = index_table(sets, **how).persist()
     table.write.mode("overwrite").parquet(f"{path}/files")
     bands = table.select("id", F.explode((band_hashes if how.get("sha") else fast_bands)(F.col("sig"))).alias("band"))
@@ -79,30 +87,64 @@ def write_index(sets: DataFrame, path: str, parts: int = 64, **how) -> None:
 
 
 def match_index(left: DataFrame, path: str, **how) -> DataFrame:
-    """content_matches of (id, tokens) sets against a stored index, without signing the index again."""
-    spark = left.sparkSession
-    sha = how.pop("sha", False)
-    sides = index_table(left, how.pop("least_tokens", 3), sha), spark.read.parquet(f"{path}/files")
-    return _matched(*sides, spark.read.parquet(f"{path}/bands").select("id", "band"), sha, **how)
+    """content_matches of (id, tokens) sets against a stored index."""
+    return content_matches(left, left.sparkSession.read.parquet(f"{path}/files"), **how)
 
 
-def content_matches(left: DataFrame, right: DataFrame, threshold: float = 0.3, least_tokens: int = 3, keep: int = 10, sha: bool = False) -> DataFrame:
-    """(left_id, right_id, similarity, rank) of (id, tokens) sets that share a band and are alike enough.
+def content_matches(left: DataFrame, right: DataFrame, least: float = 0.1, least_tokens: int = 3, keep: int = 10, sha: bool = False) -> DataFrame:
+    """(left_id, right_id, similarity, rank) of (id, tokens) sets whose Jaccard is ``least`` or more.
 
-    Candidates share a band hash; those with an estimate of half the threshold and an exact Jaccard of 0.1 stay, the
-    ``keep`` best of each left id by similarity, then id. With ``sha`` the signatures are the reproducible ones, else fast
-    ones of the same shape; what is kept rests on the exact Jaccard either way.
+    The ``keep`` best of each left id by similarity, then id, out of all pairs: nothing is left to bands or estimates, so
+    ``sha``, the kind of signatures of an index, makes no difference here. Tokens are compared as 64-bit hashes. Both sides
+    are cut into blocks of about BLOCK_TOKENS tokens, each pair of blocks is a group of its own that counts common tokens
+    through an inverted index, and only its best rows leave it. Work and, beyond a few blocks, what is shuffled grow with the
+    product of both sides, as the pairs at such a Jaccard do.
     """
-    a, b = (index_table(x, least_tokens, sha).persist() for x in (left, right))
-    return _matched(a, b, b.select("id", F.explode((band_hashes if sha else fast_bands)(F.col("sig"))).alias("band")), sha, threshold, keep)
-
-
-def _matched(a: DataFrame, b: DataFrame, right_bands: DataFrame, sha: bool, threshold: float = 0.3, keep: int = 10) -> DataFrame:
-    left_bands = a.select(F.col("id").alias("left_id"), F.explode((band_hashes if sha else fast_bands)(F.col("sig"))).alias("band"))
-    pairs = left_bands.join(right_bands.withColumnRenamed("id", "right_id"), "band").select("left_id", "right_id").distinct()
-    named = lambda df, n: df.select(*[F.col(c).alias(f"{n}_{c}") for c in ("id", "tokens", "sig")])
-    both = pairs.join(named(a, "left"), "left_id").join(named(b, "right"), "right_id").where(estimate(F.col("left_sig"), F.col("right_sig")) >= threshold / 2)
-    inter = F.size(F.array_intersect("left_tokens", "right_tokens"))
-    exact = both.select("left_id", "right_id", (inter / (F.size("left_tokens") + F.size("right_tokens") - inter)).alias("similarity")).where("similarity >= 0.1")
+    hashed = lambda df: df.where("id is not null").where(F.size("tokens") >= least_tokens).select("id", F.transform("tokens", lambda t: F.xxhash64(t)).alias("h")).persist()
+    a, b = hashed(left), hashed(right)
+    least_blocks = math.ceil(math.sqrt(2 * left.sparkSession.sparkContext.defaultParallelism))
+    n, m = (max(least_blocks, math.ceil((x.agg(F.sum(F.size("h"))).first()[0] or 0) / BLOCK_TOKENS)) for x in (a, b))
+    of = lambda count: F.pmod(F.xxhash64("id", F.lit(7)), F.lit(count))
+    cells = lambda df, cell, count: df.select("id", "h", F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), cell)).alias("cell"))
+    x = cells(a, lambda j: of(n) * m + j, m).groupBy("cell")
+    y = cells(b, lambda i: i.cast("long") * m + of(m), n).groupBy("cell")
+    ids = dict(left.dtypes)["id"], dict(right.dtypes)["id"]
+    best = x.cogroup(y).applyInArrow(_best_of_cell(least, keep), f"left_id {ids[0]}, right_id {ids[1]}, similarity double")
     rank = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("similarity"), "right_id"))
-    return exact.withColumn("rank", rank).where(F.col("rank") <= keep)
+    return best.withColumn("rank", rank).where(F.col("rank") <= keep)
+
+
+def _lists(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    column = table.column("h").combine_chunks()
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _best_of_cell(least: float, keep: int):
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        rows, cols, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        if a.num_rows and b.num_rows:
+            b = b.sort_by("id")  # so that places in the block are in the order of ids
+            (left, cut), (right, ends) = _lists(a), _lists(b)
+            size = np.diff(ends)
+            order = np.argsort(right, kind="stable")
+            holder = np.repeat(np.arange(len(size)), size)[order]
+            kinds, first = np.unique(right[order], return_index=True)
+            last = np.append(first[1:], len(right))
+            at = np.minimum(np.searchsorted(kinds, left), len(kinds) - 1)
+            known = kinds[at] == left
+            begin, end = first[at].tolist(), last[at].tolist()
+            for i in range(a.num_rows):
+                runs = [holder[begin[k] : end[k]] for k in range(cut[i], cut[i + 1]) if known[k]]
+                if not runs:
+                    continue
+                both = np.bincount(np.concatenate(runs), minlength=len(size))
+                alike = both / (cut[i + 1] - cut[i] + size - both)
+                j = np.flatnonzero(alike >= least)
+                j = j[np.lexsort((j, -alike[j]))[:keep]]
+                rows.append(np.full(len(j), i))
+                cols.append(j)
+                found.append(alike[j])
+        return pa.table({"left_id": a.column("id").take(pa.array(np.concatenate(rows))), "right_id": b.column("id").take(pa.array(np.concatenate(cols))), "similarity": np.concatenate(found)})
+
+    return run

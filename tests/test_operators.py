@@ -127,6 +127,26 @@ def test_content_matches(spark, sha):
     assert got == [("p", 1, 1.0, 1), ("p", 2, round(18 / 22, 4), 2)]
 
 
+@pytest.mark.parametrize("block", [4_000_000, 50])
+def test_content_matches_are_those_of_brute_force(spark, monkeypatch, tmp_path, block):
+    monkeypatch.setattr(minhash, "BLOCK_TOKENS", block)
+    random.seed(5)
+    sets = lambda n, mark: {f"{mark}{i}": random.sample([f"tok{k}" for k in range(90)], random.randint(2, 25)) for i in range(n)}
+    left, right = sets(25, "p"), sets(40, "d")
+    want = {}
+    for i, x in left.items():
+        alike = {j: len({*x} & {*y}) / len({*x} | {*y}) for j, y in right.items() if min(len(x), len(y)) >= 3}
+        best = sorted((-s, j) for j, s in alike.items() if s >= 0.1)[:10]
+        want |= {(i, j): (-s, r) for r, (s, j) in enumerate(best, 1)}
+    a, b = (spark.createDataFrame(list(x.items()), "id string, tokens array<string>") for x in (left, right))
+    got = {(r.left_id, r.right_id): (r.similarity, r["rank"]) for r in minhash.content_matches(a, b).collect()}
+    assert got == want and sum(s < 0.2 for s, _ in want.values()) > 50
+    if block == 50:
+        minhash.write_index(b, str(tmp_path / "lsh"), parts=2)
+        assert {(r.left_id, r.right_id): (r.similarity, r["rank"]) for r in minhash.match_index(a, str(tmp_path / "lsh")).collect()} == want
+    assert minhash.content_matches(a.limit(0), b).count() == minhash.content_matches(a, b.limit(0)).count() == 0
+
+
 def test_stored_index_and_filter(spark, tmp_path):
     words = [f"tok{i}" for i in range(40)]
     left = spark.createDataFrame([("p", words[:20])], "id string, tokens array<string>")
