@@ -17,6 +17,8 @@ WINDOW = 5
 LETTERS = 32
 #: Fixed list of words for units.
 UNITS = "ms s sec secs second seconds min mins minute minutes h hour hours day days week weeks month months year years kb mb gb tb kib mib gib b byte bytes percent px km m cm mm kg g mg hz khz mhz ghz times lines rows records".split()
+#: Lists looked at before the search for consistent slots of one pair gives up and calls them inconsistent.
+SEARCH = 5_000_000
 _NUM32, _UNIT32, _NAME32 = (np.uint32(x) for x in (3, 4, 6))
 
 
@@ -152,6 +154,107 @@ def _longest(flags: np.ndarray) -> int:
     return int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
 
 
+def filled_slots(field: Prepared, doc: Prepared, found: np.ndarray) -> tuple[dict[int, int], bool]:
+    """(value of the document for each value in a slot of the field, whether each is always replaced alike).
+
+    ``found`` are the field's windows whose templates the document has. They are consistent if values can be replaced alike
+    so that each window stands somewhere in the document. Where a template recurs, its places are those of the longest
+    matching runs that agree with each other. A window that fits nowhere doesn't count if it continues neither of the runs
+    beside it, nor lies in a longer run that was refused: the copy was cut there, and its template stands in the document for
+    other reasons. Otherwise all places of all windows are tried.
+    """
+    slotted = field.code < 8
+    order = np.argsort(doc.windows, kind="stable")
+    ranked = doc.windows[order]
+    low, high = (np.searchsorted(ranked, field.windows[found], side) for side in ("left", "right"))
+    places = {int(i): order[a:b] for i, a, b in zip(found, low, high) if slotted[i : i + WINDOW].any()}
+    first: dict[int, int] = {}
+    if all([_agrees(first, field, doc, i, int(j[0])) for i, j in places.items()]):
+        return first, True
+    offset = np.zeros(len(field.windows) + len(doc.windows), bool)
+    for i, j in places.items():
+        offset[j - i + len(field.windows)] = True
+    runs = []
+    for d in (np.flatnonzero(offset) - len(field.windows)).tolist():
+        a, b = max(0, -d), min(len(field.windows), len(doc.windows) - d)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], (field.windows[a:b] == doc.windows[a + d : b + d]).view(np.int8), [0]]))) + a
+        runs += [(int(x - y), int(x), d) for x, y in zip(edges[::2], edges[1::2])]
+    runs.sort()
+    slots: dict[int, int] = {}
+    put: dict[int, int] = {}
+    longest, reach = 0, np.zeros(len(field.windows), np.int64)
+    for size, start, d in runs:
+        reach[start : start - size] = np.maximum(reach[start : start - size], -size)
+        mine = [i for i in range(start, start - size) if i in places and i not in put]
+        if mine:
+            trial = dict(slots)
+            if all(_agrees(trial, field, doc, i, i + d) for i in mine):
+                slots, longest = trial, max(longest, -size)
+                put |= dict.fromkeys(mine, d)
+    for i in places.keys() - put.keys():
+        for j in places[i].tolist():
+            trial = dict(slots)
+            if _agrees(trial, field, doc, i, j):
+                slots = trial
+                put[i] = j - i
+                break
+    known = np.array(sorted(put), np.int64)
+    cut = True
+    for i in places.keys() - put.keys():
+        k = int(np.searchsorted(known, i))
+        beside = {put[int(x)] for x in known[max(0, k - 1) : k + 1]}
+        cut &= reach[i] <= longest and bool(beside) and not any(0 <= i + d < len(doc.windows) and doc.windows[i + d] == field.windows[i] for d in beside)
+    if cut:
+        return slots, True
+    rows: dict[tuple, list] = {}
+    for i, js in places.items():
+        at = np.flatnonzero(slotted[i : i + WINDOW])
+        xs = (int(field.windows[i]), *field.words[i + at].tolist())
+        if xs not in rows:
+            ys = np.unique(doc.words[js[:, None] + at], axis=0).tolist()
+            rows[xs] = [y for y in ys if len(set(zip(xs[1:], y))) == len(set(xs[1:]))]
+    solved = _alike([(xs[1:], ys) for xs, ys in rows.items()])
+    return (first, False) if solved is None else (solved, True)
+
+
+def _agrees(slots: dict[int, int], field: Prepared, doc: Prepared, i: int, j: int) -> bool:
+    """Adds the slots of the field's window at ``i``, put at ``j`` of the document; whether none was filled differently before."""
+    same = True
+    for k in range(WINDOW):
+        if field.code[i + k] < 8:
+            y = int(doc.words[j + k])
+            same &= slots.setdefault(int(field.words[i + k]), y) == y
+    return same
+
+
+def _alike(rows: list[tuple[tuple, list]], steps: int = SEARCH) -> dict[int, int] | None:
+    """One value for each value so that every row (values, lists that may replace them) gets one of its lists, or None.
+
+    Lists that no other row can agree with are struck out until none is left to strike; only then one is tried.
+    """
+    stack = [rows]
+    while stack:
+        rows, before = stack.pop(), -1
+        while (total := sum(len(ys) for _, ys in rows)) != before:
+            before, steps = total, steps - total
+            may: dict[int, set] = {}
+            for xs, ys in rows:
+                for k, x in enumerate(xs):
+                    seen = {y[k] for y in ys}
+                    may[x] = may[x] & seen if x in may else seen
+            rows = [(xs, [y for y in ys if all(y[k] in may[x] for k, x in enumerate(xs))]) for xs, ys in rows]
+        if not all(ys for _, ys in rows):
+            continue
+        free = min((k for k in range(len(rows)) if len(rows[k][1]) > 1), key=lambda k: len(rows[k][1]), default=None)
+        if free is None:
+            return {x: y for xs, ys in rows for x, y in zip(xs, ys[0])}
+        if steps < 0:
+            return None
+        xs, ys = rows[free]
+        stack += [[*rows[:free], (xs, [y]), *rows[free + 1 :]] for y in reversed(ys)]
+    return None
+
+
 def compare(field: Prepared, doc: Prepared, run: int, share: float, least: int) -> tuple[bool, float, float, int, bool]:
     """(leaked, share of windows, share of template windows, changed slots, slots consistent) of one field in one document.
 
@@ -170,15 +273,7 @@ def compare(field: Prepared, doc: Prepared, run: int, share: float, least: int)
         leaked = bool(np.isin(gram_hashes(field.words.astype(U), run), gram_hashes(doc.words.astype(U), run)).any())
     changed, steady = 0, True
     if not leaked and template >= share:
-        order = np.argsort(doc.windows, kind="stable")
-        found = np.flatnonzero(both)
-        at = order[np.searchsorted(doc.windows[order], field.windows[found])]
-        slots: dict[int, int] = {}
-        for i, j in zip(found, at):
-            for k in range(WINDOW):
-                if field.code[i + k] < 8:
-                    x, y = int(field.words[i + k]), int(doc.words[j + k])
-                    steady &= slots.setdefault(x, y) == y
+        slots, steady = filled_slots(field, doc, np.flatnonzero(both))
         changed = sum(x != y for x, y in slots.items())
     return leaked, part, template, changed, steady
 

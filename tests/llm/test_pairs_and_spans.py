@@ -1,11 +1,11 @@
 import random
 import re
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pytest
 
-from leakscope.llm.leaks import canonical, leak_candidates, leaks, reparameterised, template_anchors
+from leakscope.llm.leaks import Prepared, _word_codes, canonical, filled_slots, leak_candidates, leaks, reparameterised, template_anchors
 from leakscope.llm.near_duplicates import REGISTERS, bands, estimate, near_duplicate_groups, near_duplicate_pairs, sketch
 from leakscope.llm.shared_spans import anchors, char_hashes, code_points, relative_spans, shared_share, shared_span_pairs
 from leakscope.llm.words import U, gram_hashes, mix, sliding_min
@@ -189,6 +189,41 @@ def test_reparameterised_questions(spark):
     assert {x.doc_id for x in leaks(i, d).collect()} >= {3}
 
 
+def prepared(text):
+    return Prepared(_word_codes(W.findall(text.lower())), np.empty(0, np.uint32))
+
+
+def test_slots_of_repeated_templates(spark):
+    rows = [(3, 14), (14, 25), (25, 8), (8, 77), (77, 4), (4, 3)]
+    line = lambda x, y: f"assertion requires parameter {x} returning measurement {y} afterwards"
+    field = "\n".join(line(*x) for x in rows)
+    new = {v: v * 3 + 500 for x in rows for v in x}
+    copy = [line(new[x], new[y]) for x, y in rows]
+    twisted = [*copy[:5], line(new[4], 999)]
+    i = spark.createDataFrame([("q", "patch", field)], "item_id string, field string, text string")
+    d = spark.createDataFrame([(1, "\n".join(copy)), (2, "\n".join(["before 1 2 3", *copy[:3], "an added line", *copy[3:], "after"])), (3, "\n".join(twisted))], "doc_id long, text string")
+    assert {(x.doc_id, x.changed) for x in reparameterised(i, d).collect()} == {(1, len(new)), (2, len(new))}
+
+
+def test_no_consistent_slots_are_lost():
+    r = random.Random(8)
+    lines = ["set {} to {} now please", "then add {} there again", "row {} {} end of it"]
+    seen = set()
+    for _ in range(300):
+        make = lambda n: " ".join(r.choice(lines).format(r.randrange(3), r.randrange(3)) for _ in range(n))
+        f, d = prepared(make(r.randrange(2, 5))), prepared(make(r.randrange(2, 9)))
+        found = np.flatnonzero(np.isin(f.windows, d.windows))
+        values = np.unique(f.words[f.code < 8]).tolist()
+        there = {(int(d.windows[j]), *d.words[j : j + 5].tolist()) for j in range(len(d.windows))}
+        want = False
+        for ys in product(np.unique(d.words[d.code < 8]).tolist(), repeat=len(values)):
+            to = dict(zip(values, ys))
+            want |= all((int(f.windows[i]), *(to[int(w)] if c < 8 else int(w) for w, c in zip(f.words[i : i + 5], f.code[i : i + 5]))) in there for i in found)
+        assert filled_slots(f, d, found)[1] or not want
+        seen.add(want)
+    assert seen == {True, False}
+
+
 def test_templates_depend_on_words_alone():
     r = np.random.default_rng(3)
     words = r.integers(0, 2**32, 200).astype(np.uint32) | np.uint32(2)
