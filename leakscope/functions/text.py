@@ -65,12 +65,12 @@ def word_shingles(x: Column | str, n: int = 4) -> Column:
     return let(tokens(F.lower(_c(x))), of)
 
 
-def char_grams(x: Column | str, n: int = 3, limit: int = 200_000) -> Column:
-    """Runs of n characters of the lower-cased text with white space collapsed, of its first ``limit`` characters."""
+def char_grams(x: Column | str, n: int = 3) -> Column:
+    """Runs of n characters of the lower-cased text with white space collapsed, of the whole text."""
     def of(c):  # an array of characters, since a substring of a long text counts characters from its start each time
         return F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - (n - 1)), lambda i: F.array_join(F.slice(c, i, n), ""))).otherwise(F.array().cast("array<string>"))
 
-    return let(F.regexp_extract_all(collapse(F.lower(F.substring(_c(x), 1, limit))), F.lit("(?s)."), F.lit(0)), of)
+    return let(F.regexp_extract_all(collapse(F.lower(_c(x))), F.lit("(?s)."), F.lit(0)), of)
 
 
 def search_form(x: Column | str) -> Column:

@@ -49,11 +49,11 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.float64())], names=["id", "cosine"])
 
 
-def char_cosine(pairs: DataFrame, limit: int = 200_000) -> DataFrame:
+def char_cosine(pairs: DataFrame) -> DataFrame:
     """(id, cosine) of the counts of three-character runs of two texts ``q`` and ``s``, lower case, white space collapsed.
 
-    Only the first ``limit`` characters count, as the measure is defined. Null where a text has under three. The work is
+    Whole texts count. Null where a text has under three characters. The work is
     local to the row and done on packed arrays: exploding thousands of runs a pair into a shuffle costs ten times as much.
     """
-    form = lambda c: text.collapse(F.lower(F.substring(F.coalesce(c, F.lit("")), 1, limit))).alias(c)
+    form = lambda c: text.collapse(F.lower(F.coalesce(c, F.lit("")))).alias(c)
     return pairs.select("id", form("q"), form("s")).mapInArrow(_cosines, f"id {dict(pairs.dtypes)['id']}, cosine double")

@@ -42,10 +42,9 @@ def exposure_table(pairs: DataFrame) -> DataFrame:
     )
     long = lambda c: F.filter(diff.changed_lines(c), lambda s: F.length(s) >= 10)
     by_line = exposures(rest.select("id", long("q").alias("q"), long("s").alias("s"))).select("id", F.col("matched").alias("exposed_changed_lines"), F.col("total").alias("total_changed_lines"))
-    head = F.substring("s", 1, 1_000_000)
-    by_gram = exposures(rest.select("id", text.grams(text.tokens("q"), 8).alias("q"), text.grams(text.tokens(head), 8).alias("s")))
+    by_gram = exposures(rest.select("id", text.grams(text.tokens("q"), 8).alias("q"), text.grams(text.tokens("s"), 8).alias("s")))
     by_char = char_cosine(rest)
-    norm = rest.select("id", ((text.collapse("q") != "") & F.contains(text.collapse("s"), text.collapse("q"))).alias("normalized_match"), text.jaccard(text.word_shingles("q"), text.word_shingles(head)).alias("jaccard_similarity"))
+    norm = rest.select("id", ((text.collapse("q") != "") & F.contains(text.collapse("s"), text.collapse("q"))).alias("normalized_match"), text.jaccard(text.word_shingles("q"), text.word_shingles("s")).alias("jaccard_similarity"))
     part = (
         norm.join(by_line, "id").join(by_gram.select("id", F.when(F.col("total") > 0, F.col("matched") / F.col("total")).otherwise(0.0).alias("ngram_overlap_8")), "id")
         .join(by_char.select("id", F.coalesce("cosine", F.lit(0.0)).alias("embedding_similarity")), "id")

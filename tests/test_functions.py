@@ -82,6 +82,11 @@ def test_dates(spark):
     assert [str(x) for x in column(spark, ["2024-03-15T01:02:03Z", "2024-04-01", "07/12/2025", "2024-13-45", None, "2024-4-1"], risk.to_date)] == ["2024-03-15", "2024-04-01", "None", "None", "None", "None"]
 
 
+def test_char_grams_of_long_texts(spark):
+    long = "ab " * 70_000 + "xyz"
+    assert column(spark, [long], lambda c: F.array(F.size(text.char_grams(c)), F.array_contains(text.char_grams(c), "xyz").cast("int"))) == [[len(long) - 2, 1]]
+
+
 def test_link_gate(spark):
     rows = [("", "", "", "missing_url"), ("http://h.example/a/b", "", "", "foreign_host"), ("https://h.example/dummy/b", "", "", "placeholder"), ("https://h.example/a/test-b", "", "", "placeholder"), ("https://h.example/a/b#x", "code_search_x", "", "eligible"), ("https://h.example/a/b", None, None, "not_evidence")]
     df = spark.createDataFrame(rows, "u string, k string, v string, want string")

@@ -104,6 +104,11 @@ def test_exposure_counts(spark):
     assert got[1] == pytest.approx(1) and got[2] is None and got[3] is None and got[4] == 0 and got[5] == pytest.approx(0.5**0.5)
 
 
+def test_cosine_of_long_texts(spark):
+    t = spark.createDataFrame([(1, "pqrs", "ab " * 70_000 + "pqrs")], "id int, q string, s string")
+    assert char_cosine(t).first().cosine > 0
+
+
 def test_minhash_definition(spark):
     sets = {"a": ["x", "yy", "zzz"], "b": ["x", "yy"], "c": ["é汉"]}
     df = spark.createDataFrame(list(sets.items()), "id string, tokens array<string>")

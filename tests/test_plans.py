@@ -46,6 +46,13 @@ def test_signals(spark):
     assert ("a", "patch_verbatim") in kinds and ("a", "repo_in_training_corpus") in kinds and not {k for k in kinds if k[0] == "d"}
 
 
+def test_copies_behind_the_first_megabyte(spark):
+    spaced = BODY.replace("    ", "  \t ")
+    i, d, m = frames(spark, [("a", "o/r", BODY, "", "", 1)], [("o/r", 1, "+ab\n" * 260_000 + spaced)])
+    r = audit(i, d, m).first()
+    assert not r.verbatim_match and r.ngram_overlap_8 == 1 and r.jaccard_similarity > 0.5
+
+
 def test_threshold_is_checked():
     for bad in (0.05, 1.5):
         with pytest.raises(ValueError):
