@@ -109,3 +109,15 @@ def test_stream_of_files(spark, tmp_path):
     q = watch_files(spark, str(tmp_path / "in"), rows.schema, patches, str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert [(r.instance_id, r.doc_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("i1", 1)]
+
+
+def test_older_files_of_later_batches_are_searched(spark, tmp_path):
+    code = ["    total_exposure = compute_total(weighted_values, instance_weights)", "    return normalise_result(total_exposure, weighted_values)"]
+    patches = spark.createDataFrame([("i1", "o/r", "diff --git a/m.py b/m.py\n+++ b/m.py\n" + "".join(f"+{c}\n" for c in code))], "instance_id string, repo string, patch string")
+    text = "import x\n" + "\n".join(code) + "\n"
+    where = [str(tmp_path / x) for x in ("in", "out", "ck")]
+    for day, new in (("2024-06-01", [1, 2]), ("2023-01-01", [2, 3, 4]), ("2025-01-01", [1, 4, 5]), (None, [6])):
+        rows = spark.createDataFrame([(k, "p/q", text) for k in new], "doc_id long, file_repo string, text string").withColumn("crawled_at", F.lit(day).cast("timestamp"))
+        rows.coalesce(1).write.mode("append").parquet(where[0])
+        watch_files(spark, where[0], rows.schema, patches, *where[1:]).awaitTermination(120)
+    assert sorted((r.doc_id, r.batch) for r in spark.read.parquet(where[1]).collect()) == [(1, 0), (2, 0), (3, 1), (4, 1), (5, 2), (6, 3)]
