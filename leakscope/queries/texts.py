@@ -27,8 +27,8 @@ def query(sql: str | None = None):
 
 
 def instances(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    """Instances without re-delivered rows, evenly spread."""
-    return spread(table(spark, sf_dir, "instances").select("instance_id", *cols).where("instance_id is not null").dropDuplicates(["instance_id"]))
+    """The given columns of the instances, without re-delivered rows."""
+    return table(spark, sf_dir, "instances").select("instance_id", *cols).where("instance_id is not null").dropDuplicates(["instance_id"])
 
 
 def docs(spark, sf_dir, *cols):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -26,12 +27,18 @@ def get_spark(app: str = "leakscope", cores: str = "*") -> SparkSession:
 
 
 def use_shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session: the cluster's setting if there is one, a temporary one otherwise."""
+    """The checkpoint folder of the session: the cluster's setting if there is one, a temporary one in a local session.
+
+    A cluster without the setting is refused, since its executors share no temporary folder.
+    """
     sc = spark.sparkContext
     known = sc.getCheckpointDir()
     if known:
         return known
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leakscope-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="leakscope-"))
     return sc.getCheckpointDir()
 
 
@@ -40,7 +47,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Shuffle the rows evenly only if the scan gives fewer partitions than there are cores."""
+    """Shuffle the rows of a scan evenly, only if it gives fewer partitions than there are cores.
+
+    The plan is looked at, never run. One that already shuffles stays as it is: the adaptive planner sizes its partitions
+    by what they hold, and asking for their number would execute it.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
