@@ -1,9 +1,11 @@
 """Personal data in free text, by bootstrapped contextual extraction.
 
-Candidates are cut out of the texts by shape. Seeds are the candidates whose shape leaves no doubt, and persons whose names
-are listed. The words beside a candidate are its patterns. Rounds over the graph of patterns and values score each pattern
-by the share of trusted values among all values it stands beside, trust the values beside good patterns, and learn the
-parts of trusted names; a weak candidate counts if a good pattern or two learned name parts vouch for it.
+Candidates are cut out of the texts by loose shapes. Seeds are the few whose shape leaves no doubt (a plain mailbox, an
+international telephone number, a number with its own check letters, an address with its town, a listed name). The words
+beside a candidate are its outer patterns; its digit mask or its name parts are its inner ones. Rounds over the graph of
+patterns and values score each pattern by how surely trusted values make up what it stands beside, and trust each value by
+the share of its occurrences that stand beside good patterns. All evidence is a share, never a count, so that more text
+makes it surer and not looser.
 """
 
 from __future__ import annotations
@@ -12,14 +14,23 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakscope.session import spread, use_shared_dir
 
-ROUNDS, SUPPORT = 3, 3
-#: Least share of trusted values beside a good pattern. Numbers have few sure shapes, so a smaller share says as much.
-PRECISION = {"person": 0.5, "phone": 0.5, "id_number": 0.15}
+ROUNDS = 4
+#: Least lower confidence bound of a good pattern beside a value, and of a digit mask, which must be surer to stand alone.
+CERTAIN, MASK = 0.5, 0.8
+#: Standard deviations of the bound (Wilson's, one-sided, 90 %).
+Z = 1.28
+#: Trust in shapes of national telephone numbers, of mailboxes with other signs, of boxes without a town and of names with
+#: one listed part. It lets their contexts be learned but doesn't do by itself. Numbers cut like a social security number
+#: get half.
+LIKELY = 0.75
+#: Least share of a value's occurrences beside good patterns.
+SHARE = 0.5
 KINDS = ("email", "address", "id_number", "phone", "person")
 
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
@@ -29,6 +40,10 @@ _EMAIL = re.compile(
     rf"{_LOCAL}(?:\s?[@＠]\s?{_LABEL}(?:[.．]{_LABEL})*[.．][A-Za-z]{{2,}}|\s?[\[({{]\s?(?:at|AT|At|@)\s?[\])}}]\s?{_LABEL}(?:(?:{_DOTS}|\.){_LABEL})*(?:{_DOTS}|\.)[A-Za-z]{{2,}}"
     rf"|\s(?:at|AT)\s{_LABEL}(?:\s(?:dot|DOT)\s{_LABEL})*\s(?:dot|DOT)\s[A-Za-z]{{2,}})(?![\w-])"
 )
+_PLAIN = re.compile(r"[\w.+-]+@[\w.-]+")
+_AT = r"(?:\s?[\[({<]\s?(?i:at|ät|arroba|@)\s?[\])}>]\s?|_(?i:at)_)"
+_DOT = r"(?:\s?[\[({<]\s?(?i:dot|punkt|punto|point|\.)\s?[\])}>]\s?|_(?i:dot)_|\s(?i:dot|punkt|punto|point)\s|[.．。])"
+_EMAIL_LOOSE = re.compile(rf"(?<![\w.+@-])[A-Za-z0-9][A-Za-z0-9.+-]*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}(?![\w-])")
 _TOWN = r"[A-ZÄÖÜÉ][\w’'-]+(?:-[A-Z]\w+)*"
 _W = r"[A-ZÄÖÜÉ][\w’'-]*"
 _WAYS = r"(?:Street|St|Avenue|Ave|Court|Ct|Lane|Ln|Road|Rd|Boulevard|Blvd|Drive|Dr|Way|Place|Pl|Close|Terrace|Square|Crescent|Row|Walk|Gardens|Mews|Hill|Park)\b\.?"
@@ -41,16 +56,23 @@ _ADDRESS = re.compile(
     rf"|(?:(?:Am|An der|An dem|Im|In der|Zum|Zur|Auf der|Unter den)\s{_W}|(?:{_W}\s)?{_W}(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer|steig|pfad))\s\d+\s?[a-z]?,\s\d{{5}}\s{_TOWN}"
     rf")"
 )
+_BOX_ONLY = re.compile(r"\D+\d+\Z")
+_PLACE = r"(?:\d{4,6}\s)?[^\W\d_a-z][\w’'-]+(?:\s[^\W\d_a-z][\w’'-]+){0,2}(?:\s\d{4,6})?"
+_CAPS = r"[^\W\d_a-z][\w’'-]*(?:\s[^\W\d_a-z][\w’'-]*){0,3}"
+_ADDRESS_LOOSE = re.compile(rf"(?<![\w.,-])(?:\d{{1,5}}\s?[A-Za-z]?,?\s{_CAPS}|{_CAPS},?\s\d{{1,5}}[A-Za-z]?)(?:,\s{_PLACE}){{1,2}}(?![\w-])")
 _ID_STRONG = re.compile(r"(?<![\w-])(?:[A-Z]{2}\s?\d\d\s?\d\d\s?\d\d\s?[A-D]|\d{17}[\dX]|[XYZ]\d{7}[A-Z]|\d{8}[A-Z])(?![\w-])")
 _ID_WEAK = re.compile(r"(?<![\w.,+-])(?:\d{3}([- ])\d\d\1\d{4}|[A-Z]{0,2}\d{7,14}[A-Z]?)(?![\w-]|[.,]\d)")
 _PHONE_STRONG = re.compile(
     r"(?<![\w+(.-])(?:\+\d{1,3}[\s.-]?(?:\(0\)\s?)?(?:\(\d{1,4}\)\s?)?\d{1,5}(?:[\s.-]\d{2,6}){1,5}|\(\d{3}\)\s?\d{3}[-.\s]\d{4}|00\d{1,2}[-.\s]\d{2,4}(?:[-.\s]\d{3,4}){1,3}|\d{3}[.-]\d{3}[.-]\d{4}|0\d(?:[\s.]\d\d){4})(?:\s?(?:ext\.?|x)\s?\d+)?(?![\w-])"
 )
 _PHONE_WEAK = re.compile(r"(?<![\w+(.,-])[+(]?\d[\d ()./-]{5,18}\d(?![\w-])")
-_NAME = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:[’'-][A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)*"
-_RUN = re.compile(rf"(?<![\w.@`/-])(?:[A-Z]\.(?: |\r?\n))?{_NAME}(?:(?: |\r?\n)(?:[A-Z]\.(?: |\r?\n))?{_NAME})+(?![\w@`(]|\.\w|-\w)")
-_PART = re.compile(rf"({_NAME})(?:(?: |\r?\n)([A-Z]\.))?")
+_NAME = r"[\p{Lu}\p{Lt}][\p{Ll}\p{M}]+(?:[’'-]\p{Lu}[\p{Ll}\p{M}]+)*"
+_RUN = regex.compile(rf"(?<![\w.@`/-])(?:\p{{Lu}}\.(?: |\r?\n))?{_NAME}(?:(?: |\r?\n)(?:\p{{Lu}}\.(?: |\r?\n))?{_NAME})+(?![\w@`(]|\.\w|-\w)")
+_PART = regex.compile(rf"({_NAME})(?:(?: |\r?\n)(\p{{Lu}}\.))?")
+#: Scripts without letter case that part words by blanks. Two to four words between other signs may be a name.
+_CASELESS = regex.compile("|".join(rf"(?<!\p{{{s}}}\s?)\p{{{s}}}[\p{{{s}}}\p{{M}}]*(?: \p{{{s}}}[\p{{{s}}}\p{{M}}]*){{1,3}}(?![\p{{{s}}}\p{{M}}]|\s\p{{{s}}})" for s in "Arabic Hebrew Devanagari Bengali Tamil Hangul Georgian".split()))
 _CJK = r"[㐀-鿿぀-ヿ々]"
+_CJK_ALONE = re.compile(rf"(?<!{_CJK})(?<![：:])({_CJK}{{2,5}})(?!{_CJK})")
 _CJK_NAME = re.compile(rf"(?<=[：:は為])({_CJK}{{2,8}}?)(?=さん|様|氏|先生|女士|[\s。、，,.)）]|$)")
 #: Fixed list of titles and forms of address, which are not part of a name.
 TITLES = frozenset("Mr Mrs Ms Miss Mx Dr Prof Sir Madam Frau Herr Fräulein Mme Mlle Monsieur Madame Sr Sra Srta Señor Señora Don Doña Dott Signor Signora".split())
@@ -96,6 +118,14 @@ def _cjk_patterns(text: str, start: int, end: int) -> list[str]:
     return ["L " + text[max(0, start - 3) : start]] + (["R " + after] if len(after) == 2 and after.isalpha() else [])
 
 
+def _mask_of(kind: str, value: str) -> str:
+    """Inner pattern: the value with its digits alike or, of a mailbox, with its words alike."""
+    if kind == "email":
+        words = re.sub(r"[a-z0-9]+", lambda m: m.group() if m.group() in ("at", "dot") else "w", value)
+        return "S " + re.sub(r"(\W*dot\W*w)+", r"\1", re.sub(r"w(?:[.+_-]*w)+", "w", words))
+    return "S " + re.sub(r"[a-z]", "a", re.sub(r"\d", "0", value))
+
+
 def candidates(text: str, given: frozenset, family: frozenset, full: frozenset) -> list[tuple]:
     """(kind, start, end, value, trust, first part, last part, patterns) of everything in the text that may be personal."""
     found, mails = [], []
@@ -103,7 +133,10 @@ def candidates(text: str, given: frozenset, family: frozenset, full: frozenset)
 
     def add(kind, start, end, trust, value=None, first=None, last=None):
         patterns = _patterns(text, start, end, kind == "person", mails)
-        found.append((kind, start, end, value or re.sub(r"\s+", " ", text[start:end]).lower(), trust, first, last, patterns))
+        value = value or re.sub(r"\s+", " ", text[start:end]).lower()
+        if kind in ("email", "id_number", "phone"):
+            patterns.append(_mask_of(kind, value))
+        found.append((kind, start, end, value, trust, first, last, patterns))
 
     if "@" in text or "＠" in text or "at" in text or "AT" in text:
         for m in _EMAIL.finditer(text):
@@ -112,25 +145,30 @@ def candidates(text: str, given: frozenset, family: frozenset, full: frozenset)
                 mails.append(m.span())
                 taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
         for s, e in mails:
-            add("email", s, e, 1.0)
-    for kind, trust, shape in (("address", 1.0, _ADDRESS), ("id_number", 1.0, _ID_STRONG), ("phone", 1.0, _PHONE_STRONG), ("id_number", 0.0, _ID_WEAK), ("phone", 0.0, _PHONE_WEAK)):
+            add("email", s, e, 1.0 if _PLAIN.fullmatch(text, s, e) else 0.0 if "@" in text[s:e] and "[" not in text[s:e] else LIKELY)
+        for m in _EMAIL_LOOSE.finditer(text):
+            if not any(taken[m.start() : m.end()]):
+                add("email", *m.span(), 0.0)
+    shapes = ((_ADDRESS, "address", 1.0), (_ID_STRONG, "id_number", 1.0), (_PHONE_STRONG, "phone", 1.0), (_ID_WEAK, "id_number", 0.0), (_PHONE_WEAK, "phone", 0.0), (_ADDRESS_LOOSE, "address", 0.0))
+    for shape, kind, known in shapes:
         for m in shape.finditer(text):
-            s, e = m.span()
-            if trust == 0.0 and kind == "phone" and not 7 <= sum(c.isdigit() for c in m.group()) <= 15:
-                continue
-            if kind == "phone" and trust and sum(c.isdigit() for c in m.group()) < 9:
+            trust, (s, e) = known, m.span()
+            item = m.group()
+            digits = sum(c.isdigit() for c in item)
+            if any(taken[s:e]) or (kind == "phone" and not (9 if trust else 7) <= digits <= (25 if trust else 15)):
                 continue
-            if not any(taken[s:e]):
-                if trust or kind == "id_number":
-                    taken[s:e] = b"\1" * (e - s)
-                add(kind, s, e, trust)
+            if trust or kind == "id_number":
+                taken[s:e] = b"\1" * (e - s)
+            if trust and ((kind == "phone" and item[0] != "+") or (kind == "address" and _BOX_ONLY.match(item))):
+                trust = LIKELY
+            add(kind, s, e, 0.5 if kind == "id_number" and m.groups() and m.group(1) else trust)
     for m in _RUN.finditer(text):
         parts = list(_PART.finditer(text, m.start(), m.end()))
         for x, y in zip(parts, parts[1:]):
             one, two = x.group(1), y.group(1)
             if one in TITLES or two in TITLES or y.start() - x.end() > 2:
                 continue
-            trust = ((one in given) + (two in family)) / 2
+            trust = (0.0, LIKELY, 1.0)[(one in given) + (two in family)]
             add("person", x.start(), y.end(1), trust, f"{one} {two}", one, two)
     if not text.isascii():
         for name in full:
@@ -141,6 +179,11 @@ def candidates(text: str, given: frozenset, family: frozenset, full: frozenset)
         for m in _CJK_NAME.finditer(text):
             if m.group(1) not in full:
                 found.append(("person", *m.span(1), m.group(1), 0.0, None, None, _cjk_patterns(text, *m.span(1))))
+        for m in _CJK_ALONE.finditer(text):
+            if m.group(1) not in full:
+                add("person", *m.span(1), 0.0, m.group(1))
+        for m in _CASELESS.finditer(text):
+            add("person", *m.span(), 0.0, m.group())
     return found
 
 
@@ -171,28 +214,63 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()))], names=["src", "key", "kind", "s", "e"])
 
 
-def learn(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, pattern, precision) of the good patterns of a graph of distinct (kind, pattern, value, trust) rows.
+def _bound(trusted, values, weighted, rows):
+    """Column: Wilson's lower bound of the trusted share, of values or of occurrences, whichever is less."""
+    p, n = F.least(trusted / values, weighted / rows, F.lit(1.0)), values.cast("double")
+    return (p + Z * Z / (2 * n) - Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
+
 
-    A pattern is good if trusted values make up its kind's PRECISION of the values beside it, at least SUPPORT of them fully. In each
-    round the values beside good patterns become trusted. A pattern of any number of values is one aggregate with partial
-    sums; nothing is collected.
+def _scored(edges: DataFrame, *keys: str) -> DataFrame:
+    """(keys, precision) of each pattern of (keys, value, n, trust) rows: one aggregate with partial sums."""
+    sums = edges.groupBy(*keys).agg(F.sum("trust").alias("t"), F.count("*").alias("v"), F.sum(F.col("n") * F.col("trust")).alias("tn"), F.sum("n").alias("r"))
+    return sums.select(*keys, _bound(*(F.col(c) for c in ("t", "v", "tn", "r"))).alias("precision"))
+
+
+def learn(contexts: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(patterns, values) of a graph of distinct (kind, value, first, last, patterns, trust, n) rows.
+
+    ``patterns``: (kind, pattern, precision) of the good ones. A pattern is good if the lower bound of the trusted share of
+    the values beside it, and of their occurrences, reaches CERTAIN (MASK for a digit mask). ``values``: (kind, value,
+    first, last, seed, n, share, trust); a value is trusted by its seed or by the share of its occurrences beside good patterns.
+    A pattern or value of any number of rows is an aggregate with partial sums; nothing is collected. Each round's trust
+    is written to the checkpoint folder, which cuts the lineage.
     """
-    trusted = edges
-    good = None
-    least = F.create_map(*[F.lit(x) for kv in PRECISION.items() for x in kv])[F.col("kind")]
-    for i in range(rounds):
-        good = (
-            trusted.groupBy("kind", "pattern")
-            .agg((F.sum("trust") / F.count("*")).alias("precision"), F.count_if(F.col("trust") >= 1).alias("support"))
-            .where((F.col("precision") >= least) & (F.col("support") >= SUPPORT))
-            .select("kind", "pattern", "precision")
-        )
-        if i == rounds - 1:
-            break
-        vouched = edges.join(good, ["kind", "pattern"]).groupBy("kind", "value").agg(F.max("precision").alias("vouched"))
-        trusted = edges.join(vouched, ["kind", "value"], "left").select("kind", "pattern", "value", F.when(F.col("vouched").isNotNull(), 1.0).otherwise(F.col("trust")).alias("trust")).checkpoint()
-    return good
+    rows = contexts.withColumn("c", F.xxhash64("patterns")).persist()
+    values = rows.groupBy("kind", "value").agg(F.max("trust").alias("seed"), F.sum("n").alias("n"), F.max("first").alias("first"), F.max("last").alias("last")).persist()
+    exploded = rows.select("kind", "value", "c", "n", F.explode("patterns").alias("pattern")).persist()
+    edges = exploded.groupBy("kind", "pattern", "value").agg(F.sum("n").alias("n")).persist()
+    trust, good = values.withColumn("trust", F.col("seed")), None
+    for _ in range(rounds):
+        good = _scored(edges.join(trust.select("kind", "value", "trust"), ["kind", "value"]), "kind", "pattern")
+        good = good.where(F.col("precision") >= F.when(F.col("pattern").startswith("S "), MASK).otherwise(CERTAIN)).checkpoint()
+        hits = exploded.join(good, ["kind", "pattern"]).select("kind", "value", "c", "n").distinct().groupBy("kind", "value").agg(F.sum("n").alias("hit"))
+        share = F.coalesce(F.col("hit") / F.col("n"), F.lit(0.0))
+        trust = values.join(hits, ["kind", "value"], "left").select(*values.columns, share.alias("share"), F.greatest("seed", share).alias("trust")).checkpoint()
+    for x in (rows, values, exploded, edges):
+        x.unpersist()
+    return good, trust
+
+
+def accepted_values(values: DataFrame) -> DataFrame:
+    """(kind, value, score) of the values that count: trusted ones, and names both of whose parts belong to trusted names.
+
+    A part counts in its place if the lower bound of the trusted share of all candidates that hold it reaches CERTAIN, so a
+    part of mixed use never does, however often it stands in a good place.
+    """
+    names = values.where("kind = 'person' and first is not null")
+    firsts, lasts = (_scored(names.select(p, "value", "n", "trust"), p).where(F.col("precision") >= CERTAIN).select(p) for p in ("first", "last"))
+    learned = names.where(F.col("trust") < 1).join(firsts, "first", "left_semi").join(lasts, "last", "left_semi").select("kind", "value", F.lit(1.5).alias("score"))
+    sure = values.where((F.col("seed") >= 1) | (F.col("share") >= SHARE)).select("kind", "value", (F.floor("seed") * 2 + F.col("share")).alias("score"))
+    return sure.union(learned).groupBy("kind", "value").agg(F.sum("score").alias("score"))
+
+
+def personal_candidates(texts: DataFrame, names: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """(candidates, contexts): everything in the texts that may be personal, and the distinct (value, patterns) with counts."""
+    use_shared_dir(texts.sparkSession)
+    src = spread(texts.select("src", "key", "text").where("src is not null and key is not null and text != ''").distinct())
+    found = src.mapInArrow(_scan(names), "src string, key string, kind string, s int, e int, value string, trust double, first string, last string, patterns array<string>").persist()
+    contexts = found.groupBy("kind", "value", "patterns").agg(F.max("trust").alias("trust"), F.count("*").alias("n"), F.max("first").alias("first"), F.max("last").alias("last"))
+    return found, contexts
 
 
 def personal_data(texts: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
@@ -202,21 +280,10 @@ def personal_data(texts: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
     nothing, texts are read whole. ``names`` is a bounded list of (name, part), part being given, family or full. Kinds:
     email, phone, id_number, address, person. Items don't overlap. Other columns are ignored.
     """
-    use_shared_dir(texts.sparkSession)
-    src = spread(texts.select("src", "key", "text").where("src is not null and key is not null and text != ''").distinct())
-    found = src.mapInArrow(_scan(names), "src string, key string, kind string, s int, e int, value string, trust double, first string, last string, patterns array<string>").persist()
-    edges = found.select("kind", F.explode("patterns").alias("pattern"), "value", "trust").groupBy("kind", "pattern", "value").agg(F.max("trust").alias("trust")).persist()
-    good = learn(edges).persist()
-    weak = found.where("trust < 1").withColumn("row", F.struct("src", "key", "kind", "s", "e"))
-    vouched = weak.select("row", "kind", "value", "first", "last", F.explode("patterns").alias("pattern")).join(good, ["kind", "pattern"]).groupBy("row", "value", "first", "last").agg(F.max("precision").alias("score"))
-    # a name part is learned in its place if two different names that patterns vouch for, or listed ones, hold it
-    named = found.where("kind = 'person' and first is not null and trust = 1").select("first", "last").union(vouched.where("first is not null").select("first", "last")).distinct().persist()
-    firsts = named.groupBy("first").agg(F.count("*").alias("n")).where("n > 1").select("first")
-    lasts = named.groupBy("last").agg(F.count("*").alias("n")).where("n > 1").select("last")
-    learned = weak.where("kind = 'person'").join(firsts, "first", "left_semi").join(lasts, "last", "left_semi").select("row", F.lit(1.5).alias("score"))
-    sure = found.where("trust >= 1").select(F.struct("src", "key", "kind", "s", "e").alias("row"), F.lit(2.0).alias("score"))
-    rows = sure.union(vouched.select("row", "score")).union(learned).groupBy("row").agg(F.sum("score").alias("score"))
-    return rows.groupBy("row.src", "row.key").agg(F.collect_list(F.struct("row.kind", "row.s", "row.e", "score")).alias("items")).mapInArrow(_resolve, "src string, key string, kind string, s int, e int")
+    found, contexts = personal_candidates(texts, names)
+    _, values = learn(contexts)
+    rows = found.select("src", "key", "kind", "value", "s", "e").join(accepted_values(values), ["kind", "value"])
+    return rows.groupBy("src", "key").agg(F.collect_list(F.struct("kind", "s", "e", "score")).alias("items")).mapInArrow(_resolve, "src string, key string, kind string, s int, e int")
 
 
 def redacted(texts: DataFrame, names: list[tuple[str, str]]) -> DataFrame:

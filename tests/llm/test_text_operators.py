@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leakscope.llm.mixing import BUCKETS, fit_classifier, mix, mixture_report
 from leakscope.llm.packing import best_fit_decreasing, lower_bound, pack, packing_report
-from leakscope.llm.personal_data import candidates, personal_data, redacted
+from leakscope.llm.personal_data import LIKELY, candidates, learn, personal_candidates, personal_data, redacted
 from leakscope.llm.sentences import sentence_ends, sentences
 from leakscope.llm.tokens import default_tokenizer, encoding, token_counts
 
@@ -84,6 +84,46 @@ def test_unlisted_names_are_learned(spark):
     assert got == want
 
 
+def found_in(spark, rows, names=NAMES):
+    df = spark.createDataFrame(rows, "src string, key string, text string")
+    return {(r.key, r.kind, r.s) for r in personal_data(df, names).collect()}
+
+
+def test_same_text_at_any_size(spark):
+    rows, want = corpus()
+    rows += [("t", f"d{i}", f"{x} has failed in row {i % 7}.") for i in range(90) for x in ["Quarrix Inc" if i % 3 else "Die Anfrage"]]
+    # names of things now and then stand where names of persons do
+    rows += [("t", f"m{i}", x) for i, x in enumerate(["Reported by Build Server.", "Please ask Quarrix Inc about it.", "Thanks to Die Anfrage for the trace."])]
+    for times in (1, 10, 100):
+        got = found_in(spark, [(s, f"{k}/{j}", t) for j in range(times) for s, k, t in rows])
+        assert got == {(f"{k}/{j}", kind, at) for j in range(times) for k, kind, at in want}
+
+
+def test_contexts_find_what_no_sure_shape_does(spark):
+    r = random.Random(3)
+    rows = [("t", f"a{i}", f"Address on file: {r.randrange(1, 99)} Larch Road, Quarrow {r.randrange(10000, 99999)} (old)") for i in range(20)]
+    rows += [("t", f"p{i}", f"Call me on +49 30 {r.randrange(100000, 999999)} if it breaks.") for i in range(20)]
+    rows += [("t", f"e{i}", f"Replies go to jo{i}@mail.example please.") for i in range(20)]
+    rows += [("t", f"n{i}", f"still has the SSN {r.randrange(10**7, 10**8)}K in it.") for i in range(20)]
+    rows += [("t", f"r{i}", f"Reported by {r.choice(['Ada', 'Berta', 'Carlo', 'Dina'])} {r.choice(['Stone', 'Rivers', 'Marsh', 'Holt'])}.") for i in range(30)]
+    new = [("x1", "Address on file: 7 Upper Meadow, Quarrow (old)", "address", 17), ("x2", "Call me on 555 12-34 77 if it breaks.", "phone", 11), ("x3", "Replies go to jo_at_mail(dot)example please.", "email", 14), ("x4", "still has the SSN AB1234567 in it.", "id_number", 18),
+           ("x5", "Reported by Иван Петров.", "person", 12), ("x6", "Reported by محمد علي.", "person", 12), ("x7", "Reported by Łucja Šimková.", "person", 12)]
+    decoys = [("y1", "Row 8 Lower Meadow, Quarrow is full"), ("y2", "Build 555 98-76 54 took long"), ("y3", "Order AB7654321 is late"), ("y4", "Город Старый Оскол красив")]
+    got = found_in(spark, rows + [("t", k, t) for k, t, *_ in new] + [("t", k, t) for k, t in decoys])
+    assert {x for x in got if x[0][0] in "xy"} == {(k, kind, at) for k, _, kind, at in new}
+    assert len(got) == len(rows) + len(new)
+
+
+def test_most_persons_and_numbers_stand_in_good_patterns(spark):
+    rows, _ = corpus()
+    rows += [("t", f"i{i}", f"still has the SSN {100 + i}-22-{3000 + i} in it." if i % 2 else f"still has the SSN {10**7 + i}K in it.") for i in range(60)]
+    found, contexts = personal_candidates(spark.createDataFrame(rows, "src string, key string, text string"), NAMES)
+    good, values = learn(contexts)
+    beside = found.select("kind", "value", "s", "key", F.explode("patterns").alias("pattern")).where("pattern not like 'S %'").join(good, ["kind", "pattern"]).select("kind", "key", "s").distinct()
+    got, all_of = ({r[0]: r[1] for r in x.groupBy("kind").count().collect()} for x in (beside, found))
+    assert got["person"] == 200 and got["id_number"] == 60 == all_of["id_number"]
+
+
 SHAPES = [
     ("mail bob.x+y@a-b.example now", "email", "bob.x+y@a-b.example"), ("to JO@MAIL.EXAMPLE.", "email", "JO@MAIL.EXAMPLE"), ("at jo [at] mail [dot] example ok", "email", "jo [at] mail [dot] example"),
     ("x jo_k AT uni-lab DOT test", "email", "jo_k AT uni-lab DOT test"), ("jo＠mail.example", "email", "jo＠mail.example"), ("call (627) 555-0168 now", "phone", "(627) 555-0168"),
@@ -97,13 +137,13 @@ SHAPES = [
 
 @pytest.mark.parametrize("text,kind,item", SHAPES)
 def test_sure_shapes(text, kind, item):
-    sure = [(k, text[s:e]) for k, s, e, _, trust, *_ in candidates(text, frozenset(), frozenset(), frozenset()) if trust >= 1]
+    sure = [(k, text[s:e]) for k, s, e, _, trust, *_ in candidates(text, frozenset(), frozenset(), frozenset()) if trust >= LIKELY]
     assert sure == [(kind, item)]
 
 
 @pytest.mark.parametrize("text", ["git@forge.example:a/b.git", "Use @decorator on it", "user@${9} here", "ISSN-like tag 0000-0012", "Range 10-20-6", "Build 2024-3266-3", "Ticket +155 moved", "Job 2024.13.05 took", "Lot 8 Queue Drive, the loose disk", "v1.2.3 and 3.10"])
 def test_decoys(text):
-    assert not [c for c in candidates(text, frozenset(), frozenset(), frozenset()) if c[4] >= 1]
+    assert not [c for c in candidates(text, frozenset(), frozenset(), frozenset()) if c[4] >= LIKELY]
 
 
 def test_redaction_changes_nothing_else(spark):
