@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leakscope.llm.words import U, flat_binaries, flat_lists, gram_hashes, mix, sliding_min, word_array
+from leakscope.llm.words import U, flat_binaries, flat_lists, gram_hashes, mix, power_tables, sliding_min, word_array
 from leakscope.session import spread
 
 WINDOW = 5
-LETTERS = 32
+#: Letters that make a window of five words telling, words that do so in a wide template, and its greatest length.
+LETTERS, REAL, WIDEST = 32, 5, 40
 #: Fixed list of words for units.
 UNITS = "ms s sec secs second seconds min mins minute minutes h hour hours day days week weeks month months year years kb mb gb tb kib mib gib b byte bytes percent px km m cm mm kg g mg hz khz mhz ghz times lines rows records".split()
 #: Lists looked at before the search for consistent slots of one pair gives up and calls them inconsistent.
@@ -67,12 +68,31 @@ def _word_codes(words) -> np.ndarray:
 _UNIT_WORDS = np.unique(_word_codes(UNITS))
 
 
+def wide_templates(code: np.ndarray, offsets: np.ndarray, span: int) -> np.ndarray:
+    """For each word the hash of the template that begins there and is as long as it takes to hold REAL words, no less than ``span``.
+
+    A window of little but placeholders says nothing, so it is widened until it does. At WIDEST words it ends in any case.
+    No window (all bits set) where the text ends before.
+    """
+    n = len(code)
+    real = np.concatenate([[0], np.cumsum(code >= 8)])
+    end = np.searchsorted(real, real[:-1] + REAL)
+    end = np.minimum(np.maximum(end, np.arange(n) + span), np.arange(n) + WIDEST)
+    last = np.repeat(offsets[1:], np.diff(offsets))
+    up, down = power_tables(n)
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(code.astype(U) + U(1)) * up[:n], dtype=U)])
+    inside = end <= last
+    stop = np.where(inside, end, np.arange(n))
+    return np.where(inside, mix((sums[stop] - sums[:-1]) * down[:n] + (stop - np.arange(n)).astype(U)), ~U(0))
+
+
 def template_anchors(words: np.ndarray, offsets: np.ndarray, names: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
     """(keys, number of the text) of windows of canonical words of many texts, given as flat words and offsets.
 
     Any ``run`` consecutive windows hold one, the same in every text. The window with the most letters is preferred, since
     it is rarest, then the least hash. Where even that one has fewer than LETTERS letters (fixed phrases, rows of numbers),
-    the key is that of the run's words as they stand. A text gives each key once.
+    there are two keys instead: that of the run's words as they stand, for verbatim copies, and, where a placeholder is
+    among them, the least hash of four neighbouring wide templates, for copies with other values. A text gives each key once.
     """
     span = WINDOW + run - 1
     starts = len(words) - span + 1
@@ -94,7 +114,15 @@ def template_anchors(words: np.ndarray, offsets: np.ndarray, names: np.ndarray,
     poor_keys = raw[poor]
     for k in range(1, span):
         poor_keys = poor_keys * U(0xC2B2AE3D27D4EB4F) + raw[poor + k]
-    keys, owners = np.concatenate([best[rich], mix(poor_keys)]), np.concatenate([owner[rich], owner[poor]])
+    slotted = np.concatenate([[0], np.cumsum(code < 8)])
+    slotted = slotted[span:] > slotted[:-span]
+    each = np.where(inside & plain & slotted, wide_templates(code, offsets, span)[:starts], ~U(0))
+    wide = each.copy()
+    for k in range(1, min(4, starts)):
+        wide[:-k] = np.where(owner[: starts - k] == owner[k:starts], np.minimum(wide[:-k], each[k:]), wide[:-k])
+    wide_at = np.flatnonzero((each != ~U(0)) & (wide != ~U(0)))
+    keys = np.concatenate([best[rich], mix(poor_keys), wide[wide_at]])
+    owners = np.concatenate([owner[rich], owner[poor], owner[wide_at]])
     order = np.lexsort((keys, owners))
     keys, owners = keys[order], owners[order]
     once = np.ones(len(keys), bool)

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from leakscope.llm.tokens import token_counts
 
 #: Hashed tokens of the classifier. Its model is sources x BUCKETS numbers, whatever the data.
-BUCKETS, MAX_SOURCES, STEPS, PASSES, TRIES, TOPUPS = 4096, 1000, 12, 4, 65, 2
+BUCKETS, MAX_SOURCES, STEPS, PASSES, TRIES, TOPUPS = 4096, 1000, 12, 2, 1025, 2
+#: Each document is judged by a classifier that was fitted on the other halves.
+FOLDS = 2
 
 
 def _unpack(feats: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -21,18 +23,18 @@ def _unpack(feats: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bucket_sums(labels: list[str]):
-    """Counts of hashed tokens and of documents by label, summed in each task before they are sent."""
+    """Counts of hashed tokens and of documents by fold and label, summed in each task before they are sent."""
     index = {x: i for i, x in enumerate(labels)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, docs = np.zeros((len(labels), BUCKETS)), np.zeros(len(labels))
+        total, docs = np.zeros((FOLDS * len(labels), BUCKETS)), np.zeros(FOLDS * len(labels))
         for b in batches:
-            for s, x in zip(b.column("source").to_pylist(), b.column("feats").to_pylist()):
+            for s, f, x in zip(b.column("source").to_pylist(), b.column("fold").to_pylist(), b.column("feats").to_pylist()):
                 kinds, n = _unpack(x)
-                total[index[s], kinds] += np.log1p(n)
-                docs[index[s]] += 1
+                total[f * len(labels) + index[s], kinds] += np.log1p(n)
+                docs[f * len(labels) + index[s]] += 1
         i, j = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([i, np.arange(len(labels))])), pa.array(np.concatenate([j, np.full(len(labels), -1)])), pa.array(np.concatenate([total[i, j], docs]))], names=["label", "bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([i, np.arange(len(docs))])), pa.array(np.concatenate([j, np.full(len(docs), -1)])), pa.array(np.concatenate([total[i, j], docs]))], names=["label", "bucket", "n"])
 
     return run
 
@@ -54,22 +56,38 @@ class Classifier:
         return p / p.sum()
 
 
-def fit_classifier(rows: DataFrame, labels: list[str]) -> Classifier:
-    """The classifier from all rows whose source is a label; sums are merged per (label, bucket), whose number is bounded."""
-    sums = rows.where(F.col("source").isin(labels)).select("source", "feats").mapInArrow(_bucket_sums(labels), "label long, bucket long, n double").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts, docs = np.zeros((len(labels), BUCKETS)), np.zeros(len(labels))
+def _fold(ident: str = "id"):
+    return F.pmod(F.xxhash64(ident, F.lit("fold")), F.lit(FOLDS)).cast("int")
+
+
+def fit_classifiers(rows: DataFrame, labels: list[str]) -> list[Classifier]:
+    """A classifier for each fold from the labelled rows of the others, and at the end one from all.
+
+    Sums are merged per (fold, label, bucket), whose number is bounded.
+    """
+    known = rows.where(F.col("source").isin(labels)).select("source", _fold().alias("fold"), "feats")
+    sums = known.mapInArrow(_bucket_sums(labels), "label long, bucket long, n double").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts, docs = np.zeros((FOLDS * len(labels), BUCKETS)), np.zeros(FOLDS * len(labels))
     label, bucket, n = (sums.column(i).to_numpy() for i in range(3))
     docs[label[bucket < 0]] = n[bucket < 0]
     counts[label[bucket >= 0], bucket[bucket >= 0]] = n[bucket >= 0]
-    return Classifier(labels, counts, docs)
+    counts, docs = counts.reshape(FOLDS, len(labels), BUCKETS), docs.reshape(FOLDS, len(labels))
+    others = [Classifier(labels, counts.sum(axis=0) - counts[f], docs.sum(axis=0) - docs[f]) for f in range(FOLDS)]
+    return [*others, Classifier(labels, counts.sum(axis=0), docs.sum(axis=0))]
+
+
+def fit_classifier(rows: DataFrame, labels: list[str]) -> Classifier:
+    """The classifier from all rows whose source is a label."""
+    return fit_classifiers(rows, labels)[-1]
 
 
-def _members(model: Classifier, caps: np.ndarray):
-    index = {x: i for i, x in enumerate(model.labels)}
+def _members(models: list[Classifier]):
+    labels = models[0].labels
+    index = {x: i for i, x in enumerate(labels)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = np.array([model.posterior(x) for x in b.column("feats").to_pylist()]).reshape(len(b), len(model.labels)).astype(np.float32)
+            p = np.array([models[f].posterior(x) for f, x in zip(b.column("fold").to_pylist(), b.column("feats").to_pylist())]).reshape(len(b), len(labels)).astype(np.float32)
             known = np.array([index.get(s, -1) for s in b.column("source").to_pylist()], np.int64)
             label = np.where(known >= 0, known, p.argmax(axis=1) if len(b) else known)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tokens"), pa.array(label.astype(np.int32)), pa.array([r.tobytes() for r in p], pa.binary())], names=["id", "tokens", "label", "p"])
@@ -147,7 +165,7 @@ class Uses:
         for b in batches:
             rate, t, label, cap, u = self.rows(b)
             n = self.fixed(rate, t, label, cap, u).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), b.column("tokens"), pa.array(n), pa.array(rate)], names=["id", "label", "tokens", "repeats", "rate"]).filter(pa.array(n > 0))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), b.column("tokens"), pa.array(n), pa.array(rate), b.column("p")], names=["id", "label", "tokens", "repeats", "rate", "p"]).filter(pa.array(n > 0))
 
 
 def _search(sums, make, want: np.ndarray, top: float) -> tuple[np.ndarray, np.ndarray]:
@@ -167,8 +185,8 @@ def mix(documents: DataFrame, targets: DataFrame, ident: str = "doc_id", text: s
     """(id, source, tokens, repeats, rate): documents of one mixture whose token shares meet the targets.
 
     ``targets`` has (source, target_share, max_repeats), at most MAX_SOURCES rows. ``total`` is the size of the mixture in
-    tokens, by default the largest that no source's cap forbids. A naive Bayes classifier fitted on all labelled rows gives
-    each document its domain posteriors. Projected gradient steps, preconditioned by the matrix of shared memberships,
+    tokens, by default the largest that no source's cap forbids. Naive Bayes classifiers fitted on all labelled rows give
+    each document its domain posteriors, each from the rows of the other fold. Projected gradient steps, preconditioned by the matrix of shared memberships,
     find rates between 0 and the cap whose expected domain totals match the targets in least squares; each step is one
     pass of sums. The rates are then rounded to whole uses, scaled per source so that real shares just don't pass the
     targets, and topped up with documents small enough for what is missing. Sources without a document, and a target that no scale reaches, leave a smaller share.
@@ -177,21 +195,26 @@ def mix(documents: DataFrame, targets: DataFrame, ident: str = "doc_id", text: s
     repeated rows count once, empty texts have no size and are not used, shares are normalised to sum to 1. Other columns
     are ignored. Empty tables give an empty result.
     """
+    return _mixture(documents, targets, ident, text, source, tokenizer, total)[0].select("id", "source", "tokens", "repeats", "rate")
+
+
+def _mixture(documents: DataFrame, targets: DataFrame, ident: str, text: str, source: str, tokenizer: str | None, total: int | None) -> tuple[DataFrame, list[str], np.ndarray]:
+    """The mixture with the posteriors of its documents, the domains in order, and their expected tokens at the fitted rates."""
     spark = documents.sparkSession
     goal = targets.select("source", F.col("target_share").cast("double"), F.col("max_repeats").cast("int")).where("source is not null and target_share > 0 and max_repeats > 0").orderBy("source").limit(MAX_SOURCES + 1).collect()
     if len(goal) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     id_type = dict(documents.dtypes)[ident]
-    schema = f"id {id_type}, label int, tokens long, repeats int, rate double"
+    schema = f"id {id_type}, label int, tokens long, repeats int, rate double, p binary"
     labels = [g[0] for g in goal]
     docs = documents.select(F.col(ident).alias("id"), F.col(source).alias("source"), F.col(text).alias("text"))
     rows = token_counts(docs, "id", "text", tokenizer, ("source",), BUCKETS).where("tokens > 0").dropDuplicates(["id"]).persist()
     if not labels or rows.isEmpty():
-        return spark.createDataFrame([], schema).select("id", F.lit("").alias("source"), "tokens", "repeats", "rate")
+        return spark.createDataFrame([], schema).select("id", F.lit("").alias("source"), "tokens", "repeats", "rate", "p"), labels, np.zeros(len(labels))
     caps = np.array([g[2] for g in goal], np.float64)
     share = np.array([g[1] for g in goal]) / sum(g[1] for g in goal)
-    model = fit_classifier(rows, labels)
-    members = rows.mapInArrow(_members(model, caps), f"id {id_type}, tokens long, label int, p binary").withColumn("u", (F.pmod(F.xxhash64("id", F.lit("use")), F.lit(1 << 30)) + 0.5) / (1 << 30)).persist()
+    models = fit_classifiers(rows, labels)
+    members = rows.withColumn("fold", _fold()).mapInArrow(_members(models), f"id {id_type}, tokens long, label int, p binary").withColumn("u", (F.pmod(F.xxhash64("id", F.lit("use")), F.lit(1 << 30)) + 0.5) / (1 << 30)).persist()
     have = np.zeros(len(labels))
     for k, t in members.groupBy("label").agg(F.sum("tokens")).collect():
         have[k] = t
@@ -205,13 +228,20 @@ def mix(documents: DataFrame, targets: DataFrame, ident: str = "doc_id", text: s
     last = 0.0
     sums = lambda f: np.array([r[1] for r in sorted(members.mapInArrow(f, "i long, x double").groupBy("i").agg(F.sum("x")).collect())])
     n = len(labels)
+    fitted = np.zeros(n)
     for _ in range(STEPS):
         x = sums(_expected(n, caps, start, moves))
         off, matrix = x[:n] - want, x[n:].reshape(n, n)
+        if moves and np.square(off).sum() > last:
+            moves.pop()  # the last step led away
+            break
+        fitted = x[:n]
         if np.abs(off).max() <= 1e-3 * size or (moves and np.square(off).sum() > 0.99 * last):
             break
         last = np.square(off).sum()
         moves.append(0.7 * np.linalg.solve(matrix + np.eye(n) * (1e-3 * np.trace(matrix) / n + 1e-9), off))
+    else:
+        moves = moves[:-1]
     uses = Uses(n, caps, start, moves)
     uses.scale, reached = _search(sums, uses.totals, want, 4096.0)
     for _ in range(TOPUPS):
@@ -219,13 +249,43 @@ def mix(documents: DataFrame, targets: DataFrame, ident: str = "doc_id", text: s
         threshold, reached = _search(sums, lambda grid: uses.totals(grid, limit), want, 1.0)
         uses.topups.append((limit, threshold))
     name = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("label") + 1)
-    return members.mapInArrow(uses.chosen, schema).select("id", name.alias("source"), "tokens", "repeats", "rate")
+    return members.mapInArrow(uses.chosen, schema).select("id", name.alias("source"), "tokens", "repeats", "rate", "p"), labels, fitted
 
 
-def mixture_report(mixture: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, actual_share, tokens, documents, most_repeats) for each source of the targets."""
+def _expected_uses(labels: int):
+    """Expected tokens by domain of whole uses, summed in each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(labels)
+        for b in batches:
+            p = np.frombuffer(b"".join(b.column("p").to_pylist()), np.float32).reshape(-1, labels).astype(np.float64)
+            total += (b.column("tokens").to_numpy().astype(np.float64) * b.column("repeats").to_numpy()) @ p
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(labels)), pa.array(total)], names=["i", "x"])
+
+    return run
+
+
+def mixture_report(documents: DataFrame, targets: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source", tokenizer: str | None = None, total: int | None = None) -> DataFrame:
+    """(source, target_share, actual_share, fitted_share, expected_share, tokens, documents, most_repeats) of each target.
+
+    ``actual_share`` counts tokens under the label of each document; ``fitted_share`` is the expected share under the
+    posteriors at the rates of the least squares, before they were rounded to whole uses; ``expected_share`` that of the
+    uses themselves. What the last two are away from the target is the residual before and after rounding.
+    """
+    spark = documents.sparkSession
+    mixture, labels, fitted = _mixture(documents, targets, ident, text, source, tokenizer, total)
+    mixture = mixture.persist()
+    shares = targets.select("source", "target_share").distinct()
+    soft = np.zeros(len(labels))
+    if labels:
+        for i, x in mixture.mapInArrow(_expected_uses(len(labels)), "i long, x double").groupBy("i").agg(F.sum("x")).collect():
+            soft[i] = x
+    part = lambda x: (x / (x.sum() or 1.0)).tolist()
+    known = spark.createDataFrame(list(zip(labels, part(fitted), part(soft))), "source string, fitted_share double, expected_share double")
     used = mixture.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("documents"), F.max("repeats").alias("most_repeats"))
-    whole = mixture.agg(F.sum(F.col("tokens") * F.col("repeats"))).first()[0] or 1
-    shares = targets.select("source", "target_share").distinct().join(used, "source", "left")
+    whole = used.agg(F.sum("tokens")).first()[0] or 1
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return shares.select("source", "target_share", F.round(zero("tokens") / F.lit(whole), 6).alias("actual_share"), zero("tokens").alias("tokens"), zero("documents").alias("documents"), zero("most_repeats").alias("most_repeats"))
+    return shares.join(used, "source", "left").join(known, "source", "left").select(
+        "source", "target_share", F.round(zero("tokens") / F.lit(whole), 6).alias("actual_share"), F.round(zero("fitted_share"), 6).alias("fitted_share"), F.round(zero("expected_share"), 6).alias("expected_share"),
+        zero("tokens").alias("tokens"), zero("documents").alias("documents"), zero("most_repeats").alias("most_repeats"),
+    )

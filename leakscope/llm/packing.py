@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 GROUP = 50_000
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """Fewest containers that sizes of at most ``capacity`` can take, by three families of dual-feasible functions."""
-    sizes = sizes[sizes > 0]
-    if not len(sizes):
+def lower_bound(sizes: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
+    """Fewest containers that sizes of at most ``capacity`` can take, by three families of dual-feasible functions.
+
+    With ``counts`` each size stands for that many items, so that the capacity bounds the input, whatever the data.
+    """
+    if not (sizes > 0).any():
         return 0
-    count = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
+    count = np.zeros(capacity + 1, np.int64)
+    np.add.at(count, sizes, 1 if counts is None else counts)
+    count[0] = 0
     size = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((count * size).sum()) // capacity)
     # large sizes count as a container, sizes below a threshold as nothing
@@ -72,14 +76,15 @@ def _pack(table: pa.Table) -> pa.Table:
     return table.append_column("k", pa.array(place)).append_column("fill", pa.array(fills[place])).append_column("gap", pa.array(np.full(len(place), gap, np.int64)))
 
 
-def pack(items: DataFrame, bins: DataFrame, rounds: int = 3, group: int = GROUP) -> DataFrame:
+def pack(items: DataFrame, bins: DataFrame, rounds: int = 3, group: int = GROUP, trace: list | None = None) -> DataFrame:
     """(bin_name, container, id, piece, size, first_token): every item in a container of each kind in ``bins``.
 
     ``items`` has (id, tokens), ``bins`` (bin_name, capacity), a short table. An item above the capacity is cut into full
     pieces, which are containers of their own, and a rest; no other is cut. The rest is packed in groups of about ``group``
     items, placed by hash, best fit first, larger items first. A dual-feasible lower bound certifies each group; the items
     of the containers with room left in groups above their bound are exchanged (hashed anew into fewer groups) and packed
-    again, up to ``rounds`` times. No group grows with the data; what one leaves open, the next one closes.
+    again, up to ``rounds`` times. No group grows with the data; what one leaves open, the next one closes. ``trace``
+    receives a table per round: (round, bin_name, part, items, containers, lower_bound) of each group.
 
     Null ids and tokens are ignored, repeated rows (equal id and tokens) count once, an item of 0 tokens goes where a
     container is, and a capacity that is null or below 1 is ignored. Empty tables give an empty result.
@@ -114,6 +119,8 @@ def pack(items: DataFrame, bins: DataFrame, rounds: int = 3, group: int = GROUP)
         groups = F.create_map(*[x for n, c in per_kind.items() for x in (F.lit(n), F.lit(max(1, -(-c // group))))])[F.col("bin_name")]
         part = F.pmod(F.xxhash64("id", "piece", F.lit(r)), groups.cast("long")).cast("int")
         packed = left.withColumn("part", part).groupBy("bin_name", "part").applyInArrow(_pack, schema + ", k long, fill long, gap long").persist()
+        if trace is not None:
+            trace.append(packed.groupBy("bin_name", "part").agg(F.max("k").alias("k"), F.max("gap").alias("gap"), F.count("*").alias("items")).select(F.lit(r).alias("round"), "bin_name", "part", "items", (F.col("k") + 1).alias("containers"), (F.col("k") + 1 - F.col("gap")).alias("lower_bound")))
         closed = (F.col("gap") <= 0) | (F.col("fill") >= F.col("capacity")) | F.lit(r == rounds - 1) | (groups <= 1)
         result = result.union(
             packed.where(closed).select("bin_name", F.concat_ws("-", F.lit(f"r{r}"), "part", "k").alias("container"), "id", "piece", "size", ((F.col("piece") - 1) * F.col("capacity")).cast("long").alias("first_token"))
@@ -128,12 +135,31 @@ def packing_report(packed: DataFrame, bins: DataFrame) -> DataFrame:
     The bound is computed from the histogram of sizes, whose length the capacity bounds.
     """
     def bound(table: pa.Table) -> pa.Table:
-        c = table.column("capacity")[0].as_py()
-        sizes = np.repeat(table.column("size").to_numpy(), table.column("n").to_numpy())
-        return pa.table({"bin_name": table.column("bin_name")[:1], "lower_bound": pa.array([lower_bound(sizes.astype(np.int64), c)])})
+        sizes, counts = (table.column(x).to_numpy().astype(np.int64) for x in ("size", "n"))
+        return pa.table({"bin_name": table.column("bin_name")[:1], "lower_bound": pa.array([lower_bound(sizes, table.column("capacity")[0].as_py(), counts)])})
 
     caps = bins.select("bin_name", F.col("capacity").cast("int").alias("capacity")).distinct()
     hist = packed.groupBy("bin_name", "size").agg(F.count("*").alias("n")).join(caps, "bin_name")
     bounds = hist.groupBy("bin_name").applyInArrow(bound, "bin_name string, lower_bound long")
     used = packed.groupBy("bin_name", "container").agg(F.sum("size").alias("t")).groupBy("bin_name").agg(F.count("*").alias("containers"), F.sum("t").alias("tokens"))
     return used.join(caps, "bin_name").join(bounds, "bin_name").select("bin_name", "capacity", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6).alias("fill"), "lower_bound")
+
+
+def exchange_report(items: DataFrame, bins: DataFrame, group: int, rounds: int = 3) -> DataFrame:
+    """(bin_name, round, groups, items, containers, certified, gap) of a packing in groups of about ``group`` items.
+
+    For each round of the exchange: how many groups and items it packed, into how many containers, how many groups their own
+    lower bound certifies, and by how many containers the others exceed theirs. The containers of the last round count
+    the final ones of what was still open.
+    """
+    trace: list[DataFrame] = []
+    pack(items, bins, rounds, group, trace)
+    if not trace:
+        return items.sparkSession.createDataFrame([], "bin_name string, round int, groups long, items long, containers long, certified long, gap long")
+    each = trace[0]
+    for t in trace[1:]:
+        each = each.union(t)
+    excess = F.col("containers") - F.col("lower_bound")
+    return each.groupBy("bin_name", "round").agg(
+        F.count("*").alias("groups"), F.sum("items").alias("items"), F.sum("containers").alias("containers"), F.count_if(excess <= 0).alias("certified"), F.sum(excess).alias("gap")
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leakscope.llm.leaks import leaks, reparameterised
 from leakscope.llm.mixing import mix, mixture_report
 from leakscope.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
-from leakscope.llm.packing import pack, packing_report
+from leakscope.llm.packing import exchange_report, pack, packing_report
 from leakscope.llm.personal_data import personal_data, redacted
 from leakscope.llm.sentences import sentences
 from leakscope.llm.shared_spans import shared_share, shared_span_pairs
@@ -92,13 +92,17 @@ def p6_report(spark, sf_dir):
     return packing_report(_packed(spark, sf_dir).persist(), _bins(spark, sf_dir))
 
 
+def p6_exchange(spark, sf_dir):
+    """The rounds of the exchange where groups are small: about 200 items each, so that many stay above their bound."""
+    return exchange_report(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), _bins(spark, sf_dir), 200)
+
+
 def p7_mixture(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).withColumnRenamed("id", "doc_id")
 
 
 def p7_shares(spark, sf_dir):
-    targets = table(spark, sf_dir, "mix_targets")
-    return mixture_report(mix(table(spark, sf_dir, "documents"), targets).persist(), targets)
+    return mixture_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
 PROSE = ("guide", "release_notes", "forum_post", "issue_comment")
@@ -113,7 +117,7 @@ def p8_sentences(spark, sf_dir):
     return sentences(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_reparameterised, p4_found, p4_redacted, p5_found, p5_shared, p6_packed, p6_report, p7_mixture, p7_shares, p8_found, p8_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_reparameterised, p4_found, p4_redacted, p5_found, p5_shared, p6_packed, p6_report, p6_exchange, p7_mixture, p7_shares, p8_found, p8_sentences)}
 _W = r"regexp_extract_all(lower(%s), '[\p{L}\p{N}_]+')"
 
 

@@ -9,21 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leakscope.llm.words import U, mix, sliding_min
+from leakscope.llm.words import U, mix, power_tables, sliding_min
 from leakscope.operators.pairs import key_pairs
 from leakscope.session import spread
 
-_BASE, _CHUNK = 0x9E3779B97F4A7C15, 1 << 24
-_powers = {"up": np.ones(1, U), "down": np.ones(1, U)}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, kept and doubled as texts get longer."""
-    while len(_powers["up"]) < n + 1:
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            old = _powers[name]
-            _powers[name] = np.concatenate([old, old * U(pow(base, len(old), 1 << 64))])
-    return _powers["up"], _powers["down"]
+_CHUNK = 1 << 24
 
 
 def code_points(text: str) -> np.ndarray:
@@ -35,7 +25,7 @@ def char_hashes(chars: np.ndarray, k: int) -> np.ndarray:
     n = len(chars)
     if n < k:
         return np.empty(0, U)
-    up, down = _power_tables(n)
+    up, down = power_tables(n)
     sums = np.concatenate([np.zeros(1, U), np.cumsum((chars.astype(U) + U(1)) * up[:n], dtype=U)])
     return mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
 

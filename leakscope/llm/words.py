@@ -6,6 +6,17 @@ import numpy as np
 from pyspark.sql import functions as F
 
 U = np.uint64
+_BASE = 0x9E3779B97F4A7C15
+_powers = {"up": np.ones(1, U), "down": np.ones(1, U)}
+
+
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, kept and doubled as texts get longer."""
+    while len(_powers["up"]) < n + 1:
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            old = _powers[name]
+            _powers[name] = np.concatenate([old, old * U(pow(base, len(old), 1 << 64))])
+    return _powers["up"], _powers["down"]
 
 
 def word_array(text):

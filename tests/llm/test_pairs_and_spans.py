@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from itertools import combinations, product
@@ -189,6 +190,39 @@ def test_reparameterised_questions(spark):
     assert {x.doc_id for x in leaks(i, d).collect()} >= {3}
 
 
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_recall_of_refilled_fields(spark):
+    """Every field of 40 or more words with all its numbers replaced, each always alike, put into a document of its own."""
+    import pyarrow.parquet as pq
+
+    names = pq.read_table(f"{SF}/known_names.parquet").column("name").to_pylist()
+    r, items, docs = random.Random(5), [], []
+    number = re.compile(r"(?<![^\W_])\d\w*")
+    for row in pq.read_table(f"{SF}/instances.parquet").to_pylist():
+        for f in ("patch", "test_patch", "problem_statement"):
+            t = row[f] or ""
+            if len(W.findall(t)) >= 40 and len(number.findall(t)) >= 3:
+                to = {}
+                other = number.sub(lambda m: to.setdefault(m.group().lower(), str(r.randrange(10**6, 10**7))), t)
+                items.append((row["instance_id"], f, t))
+                docs.append((len(docs), "see below\n" + other + "\nthe end", f"{row['instance_id']} {f}"))
+    # the densest kind: short words, units and numbers only
+    for k in range(30):
+        t = " ".join(f"{r.choice(['at', 'in', 'a', 'of'])} {r.randrange(99)} {r.choice(['ms', 'kb', 'x', 'to'])}" for _ in range(30))
+        to = {}
+        items.append((f"dense{k}", "patch", t))
+        docs.append((len(docs), number.sub(lambda m: to.setdefault(m.group(), str(r.randrange(10**6, 10**7))), t), f"dense{k} patch"))
+    i = spark.createDataFrame(items, "item_id string, field string, text string").distinct()
+    d = spark.createDataFrame([x[:2] for x in docs], "doc_id long, text string")
+    got = {(x.doc_id, f"{x.item_id} {x.field}") for x in reparameterised(i, d, names).collect()} | {(x.doc_id, f"{x.item_id} {x.field}") for x in leaks(i, d, names).collect()}
+    want = {(n, key) for n, _, key in docs}
+    print(len(got & want), len(want))
+    assert len(got & want) >= 0.98 * len(want)
+
+
 def prepared(text):
     return Prepared(_word_codes(W.findall(text.lower())), np.empty(0, np.uint32))
 

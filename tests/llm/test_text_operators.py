@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leakscope.llm.mixing import BUCKETS, fit_classifier, mix, mixture_report
-from leakscope.llm.packing import best_fit_decreasing, lower_bound, pack, packing_report
+from leakscope.llm.packing import best_fit_decreasing, exchange_report, lower_bound, pack, packing_report
 from leakscope.llm.personal_data import LIKELY, candidates, learn, personal_candidates, personal_data, redacted
 from leakscope.llm.sentences import sentence_ends, sentences
 from leakscope.llm.tokens import default_tokenizer, encoding, token_counts
@@ -161,6 +161,8 @@ def test_bounds_and_packing_alone():
             place, fills = best_fit_decreasing(sizes, cap)
             assert (np.bincount(place, sizes, len(fills)) == fills).all() and (fills <= cap).all()
             assert -(-int(sizes.sum()) // cap) <= lower_bound(sizes, cap) <= len(fills) or not len(sizes)
+            values, counts = np.unique(sizes, return_counts=True)
+            assert lower_bound(values, cap, counts) == lower_bound(sizes, cap)
     assert lower_bound(np.array([6, 6, 6]), 10) == 3 and lower_bound(np.array([4, 4, 4, 4]), 10) == 2
 
 
@@ -186,6 +188,18 @@ def test_pack(spark):
     assert pack(items.limit(0), bins).count() == pack(items, bins.limit(0)).count() == 0
 
 
+def test_exchange(spark):
+    r = random.Random(2)
+    items = spark.createDataFrame([(k, r.randrange(1, 100)) for k in range(1500)], "id long, tokens long")
+    bins = spark.createDataFrame([("b", 100)], "bin_name string, capacity int")
+    rounds = sorted(exchange_report(items, bins, 50).collect(), key=lambda x: x.round)
+    assert rounds[0]["items"] == 1500 and rounds[0].groups == 30 and all(x.gap >= 0 and x.certified <= x.groups for x in rounds)
+    assert len(rounds) > 1 and all(y["items"] < x["items"] for x, y in zip(rounds, rounds[1:]))
+    used = {n: pack(items, bins, rounds=n, group=50).select("container").distinct().count() for n in (1, 3)}
+    assert used[3] <= used[1] == rounds[0].containers
+    assert exchange_report(items.limit(0), bins, 50).count() == 0
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "Hello world, naïve 汉字 <|endoftext|>"), (2, ""), (3, None), (None, "x")], "id long, text string")
     got = {r.id: r.tokens for r in token_counts(df, "id", "text").collect()}
@@ -212,8 +226,12 @@ def test_mixture(spark):
     caps = {"code": 1, "mail": 3, "docs": 2}
     rows = m.collect()
     assert len({r.id for r in rows}) == len(rows) and all(1 <= r.repeats <= caps[r.source] for r in rows)
-    for r in mixture_report(m, targets).collect():
-        assert abs(r.actual_share - r.target_share) < 0.01
+    report = mixture_report(docs, targets).collect()
+    sizes = {r.source: r.tokens for r in m.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens")).collect()}
+    for r in report:
+        assert abs(r.actual_share - r.target_share) < 0.01 and r.tokens == sizes[r.source]
+        assert abs(r.fitted_share - r.target_share) < 0.02 and abs(r.expected_share - r.target_share) < 0.05
+    assert {(x.source, x.actual_share) for x in mixture_report(docs.limit(0), targets).collect()} == {(k, 0.0) for k in caps}
     assert mix(docs.limit(0), targets).count() == mix(docs, targets.limit(0)).count() == 0
 
 
