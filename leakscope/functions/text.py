@@ -40,6 +40,14 @@ def lines(x: Column | str) -> Column:
     return let(F.split(_c(x), LINE_END, -1), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 
+def long_lines(ls: Column, least: int = 10) -> Column:
+    """The lines of at least so many characters; all filled ones if there is none."""
+    def of(v):
+        return let(F.filter(v, lambda s: F.length(s) >= least), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(F.filter(v, lambda s: s != "")))
+
+    return let(ls, of)
+
+
 def tokens(x: Column | str) -> Column:
     """Words and single other signs."""
     return F.regexp_extract_all(_c(x), F.lit(TOKEN), F.lit(0))

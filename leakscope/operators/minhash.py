@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,24 +33,60 @@ def signature(tokens: Column, count: int = HASHES) -> Column:
     return F.transform(table, lambda s: F.coalesce(F.array_min(F.transform(tokens, lambda t: token_hash(s, t))), F.lit("0" * 16)))
 
 
+#: Distinct tokens whose hashes a task keeps: 128 hashes of 8 bytes each, 64 MB.
+KEPT_TOKENS = 65_536
+
+
+def _signature_rows(count: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bases = [hashlib.sha256(bytes.fromhex(x)) for x in salts(count)]
+        known: dict[str, np.ndarray] = {}
+
+        def hashes(token: str) -> np.ndarray:
+            if token not in known:
+                if len(known) >= KEPT_TOKENS:
+                    known.clear()
+                data, out = token.encode("utf-8", "surrogatepass"), bytearray()
+                for base in bases:
+                    h = base.copy()
+                    h.update(data)
+                    out += h.digest()[:8]
+                known[token] = np.frombuffer(bytes(out), "<u8")
+            return known[token]
+
+        for b in batches:
+            sets = [[t for t in ts or () if t is not None] for ts in b.column("tokens").to_pylist()]
+            keep = pa.array([i for i, ts in enumerate(sets) if ts], pa.int64())
+            sigs = [np.min([hashes(t) for t in ts], axis=0).view(np.int64) for ts in sets if ts]
+            flat = pa.array(np.concatenate(sigs) if sigs else np.empty(0, np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * count), flat)
+            yield pa.RecordBatch.from_arrays([b.column("id").take(keep), b.column("tokens").take(keep), lists], names=["id", "tokens", "sig"])
+
+    return run
+
+
 def signatures(sets: DataFrame, ident: str, tokens: str, count: int = HASHES) -> DataFrame:
-    """(id, sig): each distinct token is hashed once per salt, whatever the number of sets that hold it.
+    """(id, tokens, sig): the least hash under each salt as 64 bits in an array<bigint>; local to the row, without a shuffle.
 
-    Token hashes are joined back to the sets' tokens and minimised with partial aggregation. Sets without tokens have none.
+    The hashes of a token are computed once per task as long as it stays among the last KEPT_TOKENS. Sets that are null or
+    without tokens have no row.
     """
-    pairs = sets.select(F.col(ident).alias("id"), F.explode(tokens).alias("t"))
-    table = F.array(*[F.lit(s) for s in salts(count)])
-    hashed = pairs.select("t").distinct().select("t", F.transform(table, lambda s: token_hash(s, F.col("t"))).alias("h"))
-    joined = pairs.join(hashed, "t")
-    return joined.groupBy("id").agg(F.array(*[F.min(F.col("h")[i]) for i in range(count)]).alias("sig"))
+    src = sets.select(F.col(ident).alias("id"), F.col(tokens).alias("tokens"))
+    return src.mapInArrow(_signature_rows(count), f"id {dict(src.dtypes)['id']}, tokens array<string>, sig array<bigint>")
+
+
+def hex_hashes(sig: Column) -> Column:
+    """array<string> of 16 hex digits each."""
+    return F.transform(sig, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0"))
 
 
 def band_hashes(sig: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
-    """array<string> of one hash per band: SHA-256 of the tuple of its numbers in decimal, 16 hex digits."""
-    number = lambda i: F.conv(F.element_at(sig, i + 1), 16, 10)
-    return F.array(
-        *[F.substring(F.sha2(F.concat(F.lit("("), F.concat_ws(", ", *[number(b * rows + r) for r in range(rows)]), F.lit(")")), 256), 1, 16) for b in range(bands)]
-    )
+    """array<string> of one hash per band of an array<bigint>: SHA-256 of the tuple of its unsigned numbers in decimal, 16 hex digits."""
+    def band(b):
+        numbers = F.transform(F.slice(sig, b * rows + 1, rows), lambda x: F.conv(F.hex(x), 16, 10))
+        return F.substring(F.sha2(F.concat(F.lit("("), F.array_join(numbers, ", "), F.lit(")")), 256), 1, 16)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), band)
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -70,7 +107,7 @@ def fast_bands(sig: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
 def index_table(sets: DataFrame, least_tokens: int = 3, sha: bool = False) -> DataFrame:
     """(id, tokens, sig) of (id, tokens) sets that have enough tokens: all that later matching needs of one side."""
     kept = sets.where(F.size("tokens") >= least_tokens).select("id", "tokens")
-    return kept.join(signatures(kept, "id", "tokens"), "id").select("id", "tokens", "sig") if sha else kept.withColumn("sig", fast_signature(F.col("tokens")))
+    return signatures(kept, "id", "tokens") if sha else kept.withColumn("sig", fast_signature(F.col("tokens")))
 
 
 def write_index(sets: DataFrame, path: str, parts: int = 64, **how) -> None:

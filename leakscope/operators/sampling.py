@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 SALTS = 64
 
 
+def first_of_each(rows: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of each group. Each of SALTS parts of a group is cut to n first, so no task sorts a whole hot group."""
+    part = F.pmod(F.xxhash64(*order), F.lit(SALTS))
+    cut = lambda df, *by: df.withColumn("_k", F.row_number().over(Window.partitionBy(group, *by).orderBy(*order))).where(F.col("_k") <= n).drop("_k")
+    return cut(cut(rows, part))
+
+
 def round_robin_sample(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
     """``n`` rows, one of each group per round, in the order of each group's first row; with a column ``round`` from 1.
 
-    No group can give more than n rows, so each of SALTS parts of a group is cut to n before the group itself is ranked: no
-    task sorts a whole hot group. Null groups are a group.
+    No group can give more than n rows. Null groups are a group.
     """
-    part = F.pmod(F.xxhash64(order), F.lit(SALTS))
-    first = F.row_number().over(Window.partitionBy(group, part).orderBy(order))
-    kept = rows.withColumn("_cut", first).where(F.col("_cut") <= n).drop("_cut")
-    ranked = kept.withColumn("round", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("round") <= n)
+    kept = first_of_each(rows, group, [order], n)
+    ranked = kept.withColumn("round", F.row_number().over(Window.partitionBy(group).orderBy(order)))
     firsts = rows.groupBy(group).agg(F.min(order).alias("_first")).withColumnRenamed(group, "_group")
     both = ranked.join(firsts, F.col(group).eqNullSafe(F.col("_group")))
     return both.orderBy("round", "_first", order).limit(n).drop("_first", "_group")

@@ -78,3 +78,9 @@ def verified_files(patches: DataFrame, files: DataFrame, candidates: DataFrame)
     rank = F.struct(ok.cast("int"), F.when(ok, F.lit(0)).otherwise(F.col("matched")), -F.col("grp"))
     best = per.groupBy("instance_id", "doc_id").agg(F.max_by(F.struct(ok.alias("verified"), "grp", "matched", "required", "first_line", "last_line"), rank).alias("b"))
     return best.select("instance_id", "doc_id", "b.*")
+
+
+def line_anchor(first: Column, last: Column) -> Column:
+    """#L3 or #L3-L9, as forges mark lines in a link; empty without lines."""
+    end = F.when(last > first, F.concat(F.lit("-L"), last.cast("string"))).otherwise("")
+    return F.coalesce(F.concat(F.lit("#L"), first.cast("string"), end), F.lit(""))

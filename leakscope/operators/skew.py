@@ -44,21 +44,30 @@ def route_values(n: int) -> list[int]:
 
 @dataclass(frozen=True)
 class ShardPlan:
-    """Which tasks hold which keys: ``heavy`` maps a key to the routes of its shards, ``light`` a bucket to its route."""
+    """Which tasks hold which keys: ``heavy`` maps a key, as text, to the routes of its shards, ``light`` a bucket to its route."""
 
     tasks: int
     heavy: dict
     light: list[int]
     loads: list[int]
+    hashes: dict
 
     def routes(self, key: Column) -> Column:
-        """Column array<int>: all routes that hold rows of the key."""
+        """Column array<int>: all routes that hold rows of the key.
+
+        The plan is a folded constant; a heavy key is looked up in a hash table of twice as many slots as there are such
+        keys, so the cost of a row doesn't grow with their number.
+        """
         bucket = F.pmod(F.xxhash64(key), F.lit(len(self.light))).cast("int")
-        light = F.array(F.from_json(F.lit(json.dumps(self.light)), "array<int>")[bucket])  # folded into one constant
+        light = F.array(F.from_json(F.lit(json.dumps(self.light)), "array<int>")[bucket])
         if not self.heavy:
             return light
-        pairs = [x for k, rs in self.heavy.items() for x in (F.lit(k), F.array(*[F.lit(r) for r in rs]))]
-        return F.coalesce(F.create_map(*pairs)[key], light)
+        slots: list[list] = [[] for _ in range(2 * len(self.heavy))]
+        for k, routes in self.heavy.items():
+            slots[self.hashes[k] % len(slots)].append({"k": str(k), "r": routes})
+        table = F.from_json(F.lit(json.dumps(slots)), "array<array<struct<k:string,r:array<int>>>>")
+        slot = table[F.pmod(F.xxhash64(key), F.lit(len(slots))).cast("int")]
+        return F.coalesce(F.get(F.filter(slot, lambda x: x["k"] == key.cast("string")), F.lit(0))["r"], light)
 
 
 def plan_shards(rows: DataFrame, key: str, tasks: int | None = None) -> ShardPlan:
@@ -75,7 +84,8 @@ def plan_shards(rows: DataFrame, key: str, tasks: int | None = None) -> ShardPla
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).persist()
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     limit = max(1, total // (SHARDS_PER_TASK * tasks))
-    heavy = {r[0]: r[1] for r in counts.where(F.col("n") > limit).collect()}
+    named = counts.where(F.col("n") > limit).select(F.col(key).cast("string"), "n", F.xxhash64(key)).collect()
+    heavy, hashes = {r[0]: r[1] for r in named}, {r[0]: r[2] for r in named}
     light = dict(
         counts.where(F.col("n") <= limit).groupBy(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("b")).agg(F.sum("n")).collect()
     )
@@ -94,7 +104,7 @@ def plan_shards(rows: DataFrame, key: str, tasks: int | None = None) -> ShardPla
         n, t = heapq.heappop(heap)
         buckets_at[b] = route[t]
         heapq.heappush(heap, (n + load, t))
-    return ShardPlan(tasks, placed, buckets_at, [n for n, _ in sorted(heap, key=lambda x: x[1])])
+    return ShardPlan(tasks, placed, buckets_at, [n for n, _ in sorted(heap, key=lambda x: x[1])], hashes)
 
 
 def spread_by_load(rows: DataFrame, key: str, plan: ShardPlan, salt: list[str] | None = None) -> DataFrame:

@@ -7,19 +7,23 @@ from pyspark.sql import functions as F
 
 from leakscope.functions import text as T
 
+#: Characters of the keys of patterns without a whole word inside.
+CHARS = 4
+
 
 def substring_join(patterns: DataFrame, texts: DataFrame, words: int = 3) -> DataFrame:
     """(id, text_id) for each (id, pattern) that stands verbatim in a (text_id, text).
 
     A pattern is keyed by one window of whole words inside it, the one with most letters, and meets only texts that
     have this window; ``contains`` decides. The first and last word of a pattern may be parts of longer ones, so they
-    aren't used; a pattern with fewer inner words is keyed by all it has, one without any is left out (it says too little to
-    be searched for). Equal patterns and texts are compared once. Nulls and empty strings match nothing.
+    aren't used; a pattern with fewer inner words is keyed by all it has. One without any, such as a phrase in a script
+    that doesn't part words, is keyed by one run of CHARS of its characters, or by all of them if it is shorter; texts are cut into
+    such runs only if there are such patterns. Equal patterns and texts are compared once. Nulls and empty strings
+    match nothing.
     """
     p = patterns.select("id", F.col("pattern").alias("p")).where("p != ''").distinct()
-    q = p.select("p").distinct()
-    inner = T.once(q, "w", T.let(T.words("p"), lambda w: F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))))).where(F.size("w") > 0)
-    sized = inner.withColumn("n", F.least(F.size("w"), F.lit(words)))
+    q = T.once(p.select("p").distinct(), "w", T.let(T.words("p"), lambda w: F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))))
+    sized = q.where(F.size("w") > 0).withColumn("n", F.least(F.size("w"), F.lit(words)))
     windows = sized.select("p", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))).alias("k"))
     best = Window.partitionBy("p").orderBy(F.desc(F.length("k")), "k")
     keyed = windows.withColumn("r", F.row_number().over(best)).where("r = 1").select("p", "n", F.xxhash64("k").alias("k"))
@@ -28,5 +32,15 @@ def substring_join(patterns: DataFrame, texts: DataFrame, words: int = 3) -> Dat
     lengths = F.explode(F.sequence(F.lit(1), F.lit(words)))
     grams = every.select("text_id", "w", lengths.alias("n")).where(F.size("w") >= F.col("n"))
     keys = grams.select("text_id", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.col("n")), " "))))).alias("k"))
-    pairs = keys.join(keyed, ["n", "k"]).select("text_id", "p").distinct()
+    by_word = keys.join(keyed, ["n", "k"]).select("text_id", "p")
+
+    chars = lambda c: F.split(c, "")  # noqa: E731  an array, since a substring of a long text counts from its start each time
+    run = lambda a, n: F.transform(F.sequence(F.lit(1), F.size(a) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(a, i, n), "")))
+    bare = q.where(F.size("w") == 0).select("p", F.least(F.length("p"), F.lit(CHARS)).alias("n"))
+    marks = bare.select("p", "n", F.array_min(run(chars("p"), F.col("n"))).alias("k"))
+    sizes = bare.agg(F.collect_set("n").alias("sizes"))  # one row of at most CHARS numbers
+    cut = T.once(t.join(F.broadcast(sizes), F.size("sizes") > 0), "a", chars("t")).select("text_id", "a", F.explode("sizes").alias("n")).where(F.size("a") >= F.col("n"))
+    by_char = cut.select("text_id", "n", F.explode(F.array_distinct(run(F.col("a"), F.col("n")))).alias("k")).join(marks, ["n", "k"]).select("text_id", "p")
+
+    pairs = by_word.union(by_char).distinct()
     return pairs.join(t, "text_id").where(F.contains("t", "p")).join(p, "p").select("id", "text_id").distinct()

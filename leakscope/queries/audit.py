@@ -10,7 +10,8 @@ from leakscope.functions.repos import canonical_repo
 from leakscope.operators.sampling import round_robin_sample
 from leakscope.functions import cutoffs
 from leakscope.operators.substring import substring_join
-from leakscope.operators.search import candidate_files, search_identifiers, verified_files
+from leakscope.operators.search import candidate_files, search_identifiers
+from leakscope.plans.consensus import squeezed
 from leakscope.queries.sqltext import REPO, lines_sql, strip_sql
 from leakscope.queries.texts import instances
 from leakscope.session import spread, table
@@ -41,7 +42,15 @@ def evidence(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
 
 _CLAMP = lambda c: f"greatest(0, least(1, coalesce({c}, 0)))"
 _BASE = "CASE WHEN p >= 0.95 AND c THEN 'critical' WHEN p >= 0.95 THEN 'high' WHEN p >= 0.8 AND c THEN 'high' WHEN p >= 0.8 THEN 'medium' WHEN greatest(p, s, t) >= 0.5 THEN 'medium' WHEN greatest(p, s, t) > 0 THEN 'low' ELSE 'clean' END"
-_DAY = "CASE WHEN regexp_matches(merge_date, '^\\d{4}-\\d{2}-\\d{2}') THEN try_cast(substring(merge_date, 1, 10) AS DATE) END"
+
+
+def day_sql(c: str) -> str:
+    part = lambda i: f"coalesce(try_cast(nullif(regexp_extract({c}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}[T ](\\d{{2}}):(\\d{{2}})(?::\\d{{2}}(?:\\.\\d+)?)?([+-])(\\d{{2}}):?(\\d{{2}})$', {i}), '') AS INT), 0)"
+    sign = f"CASE WHEN regexp_matches({c}, '-\\d{{2}}:?\\d{{2}}$') AND regexp_matches({c}, '[T ]\\d{{2}}:') THEN -1 ELSE 1 END"
+    return f"CASE WHEN regexp_matches({c}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN try_cast(substring({c}, 1, 10) AS DATE) + floor(({part(1)} * 60 + {part(2)} - ({part(4)} * 60 + {part(5)}) * ({sign})) / 1440.0)::INT END"
+
+
+_DAY = day_sql("merge_date")
 _R = f"x AS (SELECT *, {_CLAMP('patch_exposure')} AS p, {_CLAMP('problem_statement_exposure')} AS s, {_CLAMP('test_patch_exposure')} AS t, repo_in_training_corpus AS c, {_DAY} AS day FROM instance_risk), r1 AS (SELECT *, {_BASE} AS risk_1 FROM x)"
 _R2 = "r2 AS (SELECT *, CASE WHEN coalesce(day >= DATE '2024-03-15', false) AND risk_1 IN ('critical', 'high', 'medium') THEN CASE risk_1 WHEN 'critical' THEN 'high' WHEN 'high' THEN 'medium' ELSE 'low' END ELSE risk_1 END AS risk_2 FROM r1), r3 AS (SELECT *, CASE WHEN codeseal_similarity > 0 AND risk_2 = 'clean' THEN CASE WHEN codeseal_similarity >= 0.3 THEN 'medium' ELSE 'low' END WHEN codeseal_similarity >= 0.3 AND risk_2 = 'low' THEN 'medium' ELSE risk_2 END AS risk_3 FROM r2), r4 AS (SELECT *, CASE WHEN embedding_similarity >= 0.85 AND ngram_overlap_8 < 0.5 AND risk_3 IN ('clean', 'low', 'medium') THEN 'high' ELSE risk_3 END AS risk_4 FROM r3), r5 AS (SELECT *, CASE WHEN independent_hits > 0 AND non_vendor_hits >= 3 THEN 'critical' WHEN independent_hits > 0 AND risk_4 IN ('clean', 'low', 'medium') THEN 'high' ELSE risk_4 END AS risk_5 FROM r4)"
 
@@ -227,7 +236,7 @@ def temporal_counts(spark, sf_dir):
     return risks(spark, sf_dir).agg(n(day < cut, "before"), n(day >= cut, "after"), n(day.isNull(), "unknown"), n(bad & (day < cut), "bad_before"), n(bad & (day >= cut), "bad_after"), n(ind & (day < cut), "independent_before"), n(ind & (day >= cut), "independent_after"))
 
 
-@query("WITH d AS (SELECT DISTINCT instance_id, " + REPO + " AS repo, CASE WHEN regexp_matches(created_at, '^\\d{4}-\\d{2}-\\d{2}') THEN try_cast(substring(created_at, 1, 10) AS DATE) END AS day FROM instances) SELECT min(day)::VARCHAR AS first_day, max(day)::VARCHAR AS last_day, count(*) FILTER (day < DATE '2023-07-01')::BIGINT AS before_v1, count(*) FILTER (day < DATE '2024-03-15')::BIGINT AS before_v2, bool_and(repo IN (SELECT " + REPO + " FROM repos))::INT AS all_listed, count(*) FILTER (repo NOT IN (SELECT " + REPO + " FROM repos))::BIGINT AS unlisted FROM d")
+@query("WITH d AS (SELECT DISTINCT instance_id, " + REPO + " AS repo, " + day_sql("created_at") + " AS day FROM instances) SELECT min(day)::VARCHAR AS first_day, max(day)::VARCHAR AS last_day, count(*) FILTER (day < DATE '2023-07-01')::BIGINT AS before_v1, count(*) FILTER (day < DATE '2024-03-15')::BIGINT AS before_v2, bool_and(repo IN (SELECT " + REPO + " FROM repos))::INT AS all_listed, count(*) FILTER (repo NOT IN (SELECT " + REPO + " FROM repos))::BIGINT AS unlisted FROM d")
 def provenance_facts(spark, sf_dir):
     day = risk.to_date(F.col("created_at"))
     known = table(spark, sf_dir, "repos").select(canonical_repo("repo").alias("repo"), F.lit(True).alias("known")).distinct()
@@ -297,30 +306,17 @@ def _candidates(spark, sf_dir):
     return candidate_files(_searched(spark, sf_dir), _files(spark, sf_dir))
 
 
-@query()
-def verified_replication(spark, sf_dir):
-    """Candidates that hold enough added lines of a group of the patch; the first such group, its lines and where they stand."""
-    return verified_files(_searched(spark, sf_dir), _files(spark, sf_dir), _candidates(spark, sf_dir))
-
-
-@query()
-def replication_rollup(spark, sf_dir):
-    v = verified_files(_searched(spark, sf_dir), _files(spark, sf_dir), _candidates(spark, sf_dir)).where("verified")
-    f = _files(spark, sf_dir).select("doc_id", "file_repo", links.vendor_like(F.col("path"), F.col("file_repo")).alias("vendor"))
-    return v.join(f, "doc_id").groupBy("instance_id").agg(F.count_distinct("file_repo").alias("repos"), F.count_if("vendor").alias("vendor_files"), F.sum("matched").alias("matched_lines"))
-
-
 @query(f"WITH {_IDS} SELECT instance_id, array_to_string(ids, ' ') AS query FROM q")
 def search_queries(spark, sf_dir):
     return search_identifiers(_searched(spark, sf_dir)).select("instance_id", F.array_join("ids", " ").alias("query"))
 
 
 _CH = lambda c: f"list_filter(list_transform(list_filter({lines_sql(c)}, lambda x: starts_with(x, '+') AND NOT starts_with(x, '+++')), lambda x: {strip_sql('substring(x, 2)')}), lambda x: NOT regexp_matches(x, '{diff.BOILERPLATE}') AND NOT regexp_matches(x, '{diff.SIGNATURE}'))"
-_NORM2 = lambda x: f"lower(regexp_replace(regexp_replace(regexp_replace({x}, '#.*$', ''), '//.*$', ''), '[{text.WS}]+', '', 'g'))"
+_NORM2 = lambda x: f"lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '^\ufeff', ''), '#.*$', ''), '//.*$', ''), '[{text.WS}]+', '', 'g'))"
 
 
 def _head_sql(field: str, norm: str) -> str:
-    return f"WITH i AS (SELECT DISTINCT instance_id, {REPO} AS repo, {field}, CASE WHEN regexp_matches(created_at, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN try_cast(substring(created_at, 1, 10) AS DATE) END AS day FROM instances), a AS (SELECT instance_id, repo, day, unnest(list_filter(list_transform({_CH(field)}, lambda x: {norm}), lambda x: x <> '')) AS line FROM i), h AS (SELECT repo, line, min(crawled_at)::DATE AS seen FROM (SELECT {REPO} AS repo, crawled_at, unnest(list_transform({lines_sql('text')}, lambda x: {norm.replace('x,', strip_sql('x') + ',', 1) if norm != 'x' else strip_sql('x')})) AS line FROM documents WHERE text IS NOT NULL AND repo IS NOT NULL) GROUP BY ALL) SELECT instance_id, count(*)::BIGINT AS lines, count(h.line)::BIGINT AS in_head, count(h.line) FILTER (NOT coalesce(seen < day, false))::BIGINT AS head_only FROM a LEFT JOIN h USING (repo, line) GROUP BY instance_id"
+    return f"WITH i AS (SELECT DISTINCT instance_id, {REPO} AS repo, {field}, {day_sql('created_at')} AS day FROM instances), a AS (SELECT instance_id, repo, day, unnest(list_filter(list_transform({_CH(field)}, lambda x: {norm}), lambda x: x <> '')) AS line FROM i), h AS (SELECT repo, line, min(crawled_at)::DATE AS seen FROM (SELECT {REPO} AS repo, crawled_at, unnest(list_transform({lines_sql('text')}, lambda x: {norm.replace('x,', strip_sql('x') + ',', 1) if norm != 'x' else strip_sql('x')})) AS line FROM documents WHERE text IS NOT NULL AND repo IS NOT NULL) GROUP BY ALL) SELECT instance_id, count(*)::BIGINT AS lines, count(h.line)::BIGINT AS in_head, count(h.line) FILTER (NOT coalesce(seen < day, false))::BIGINT AS head_only FROM a LEFT JOIN h USING (repo, line) GROUP BY instance_id"
 
 
 def _head_minus_base(spark, sf_dir, field: str, norm) -> DataFrame:
@@ -337,11 +333,6 @@ def _head_minus_base(spark, sf_dir, field: str, norm) -> DataFrame:
     )
 
 
-def squeezed(x):
-    """Comments to the end of the line and all white space taken out, lower case."""
-    return F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "#.*$", ""), "//.*$", ""), rf"[{text.WS}]+", ""))
-
-
 @query(_head_sql("patch", "x"))
 def head_minus_base_m1(spark, sf_dir):
     return _head_minus_base(spark, sf_dir, "patch", lambda x: x)
@@ -357,23 +348,6 @@ def head_minus_base_m3(spark, sf_dir):
     return _head_minus_base(spark, sf_dir, "test_patch", lambda x: x)
 
 
-_V = "SELECT instance_id, head_only > 0 AS hit, in_head / lines AS part FROM ({}) q"
-
-
-@query(f"WITH i AS (SELECT DISTINCT instance_id FROM instances), m1 AS ({_V.format(_head_sql('patch', 'x'))}), m2 AS ({_V.format(_head_sql('patch', _NORM2('x')))}), m3 AS ({_V.format(_head_sql('test_patch', 'x'))}), c AS (SELECT instance_id, coalesce(m1.hit, false)::INT + coalesce(m2.hit, false)::INT + coalesce(m3.hit, false)::INT AS detected, (m1.hit IS NOT NULL)::INT + (m2.hit IS NOT NULL)::INT + (m3.hit IS NOT NULL)::INT AS run, round(coalesce(m1.part, 0), 6) AS exposure FROM i LEFT JOIN m1 USING (instance_id) LEFT JOIN m2 USING (instance_id) LEFT JOIN m3 USING (instance_id)) SELECT *, CASE WHEN run = 0 THEN 'no_lines' WHEN detected >= 2 OR (detected = 1 AND exposure >= 0.5) THEN 'contaminated' WHEN detected = 1 THEN 'suspect' ELSE 'clean' END AS verdict FROM c")
-def consensus_verdict(spark, sf_dir):
-    """How many of the line methods that could run found lines that appeared after the base, and the verdict on it."""
-    ms = [f(spark, sf_dir).select("instance_id", (F.col("head_only") > 0).alias(f"m{k}"), *([(F.col("in_head") / F.col("lines")).alias("exposure")] if k == 1 else [])) for k, f in ((1, head_minus_base_m1), (2, head_minus_base_m2), (3, head_minus_base_m3))]
-    j = instances(spark, sf_dir)
-    for m in ms:
-        j = j.join(m, "instance_id", "left")
-    hit = sum((F.coalesce(F.col(f"m{k}"), F.lit(False)).cast("int") for k in (1, 2, 3)), F.lit(0))
-    run = sum((F.col(f"m{k}").isNotNull().cast("int") for k in (1, 2, 3)), F.lit(0))
-    j = j.select("instance_id", hit.alias("detected"), run.alias("run"), F.round(F.coalesce("exposure", F.lit(0.0)), 6).alias("exposure"))
-    verdict = F.when(F.col("run") == 0, "no_lines").when((F.col("detected") >= 2) | ((F.col("detected") == 1) & (F.col("exposure") >= 0.5)), "contaminated").when(F.col("detected") == 1, "suspect").otherwise("clean")
-    return j.withColumn("verdict", verdict)
-
-
 @query("SELECT evidence_id, regexp_extract(source_url, '([^/?#]+)/([^/?#]+)/pull/\\d+', 1) AS owner, url_encode(coalesce(evidence_snippet, '')) AS query FROM (SELECT DISTINCT ON (evidence_id) * FROM evidence) WHERE source_url <> ''")
 def search_urls(spark, sf_dir):
     e = evidence(spark, sf_dir, "source_url", "evidence_snippet").where("source_url != ''")
@@ -394,13 +368,14 @@ def exposure_classes(spark, sf_dir):
     return table(spark, sf_dir, "patch_exposure").select("instance_id", "line_overlap", F.round(rate, 6).alias("rate"), match.alias("match"), ((F.col("embedding_similarity") >= 0.85) & (F.col("ngram_overlap_8") < 0.5)).cast("int").alias("paraphrase"))
 
 
-_INNER = lambda c: f"len(regexp_extract_all(lower({c}), '{text.WORD}')) > 2"
+_FILLED = f"{strip_sql('p')} <> '' AND lower({strip_sql('p')}) NOT IN ('nan', 'none', 'null')"
 
 
-@query(f"WITH e AS (SELECT DISTINCT evidence_id, evidence_snippet AS p FROM evidence WHERE evidence_snippet <> '') SELECT evidence_id, doc_id FROM e JOIN documents ON contains(text, p) WHERE {_INNER('p')}")
+@query(f"WITH e AS (SELECT DISTINCT evidence_id, evidence_snippet AS p FROM evidence WHERE evidence_snippet <> '') SELECT evidence_id, doc_id FROM e JOIN documents ON contains(text, p) WHERE {_FILLED}")
 def snippet_hits(spark, sf_dir):
-    """Documents that hold a snippet verbatim."""
+    """Documents that hold a snippet verbatim; blank snippets and nulls written as text are none."""
     p = evidence(spark, sf_dir, F.col("evidence_snippet").alias("pattern")).withColumnRenamed("evidence_id", "id")
+    p = p.where((text.strip("pattern") != "") & ~F.lower(text.strip("pattern")).isin("nan", "none", "null"))
     return substring_join(p, docs(spark, sf_dir)).select(F.col("id").alias("evidence_id"), F.col("text_id").alias("doc_id"))
 
 
@@ -414,7 +389,7 @@ _PHRASE = "trim(substring(trim(regexp_replace(regexp_replace(regexp_replace(subs
 _TALK = ("issue_comment", "forum_post", "mail_thread")
 
 
-@query(f"WITH i AS (SELECT DISTINCT instance_id, {_PHRASE} AS p FROM instances WHERE length(problem_statement) > 50) SELECT instance_id, doc_id FROM i JOIN documents ON contains(text, p) WHERE kind IN {_TALK} AND length(p) >= 30 AND {_INNER('p')}")
+@query(f"WITH i AS (SELECT DISTINCT instance_id, {_PHRASE} AS p FROM instances WHERE length(problem_statement) > 50) SELECT instance_id, doc_id FROM i JOIN documents ON contains(text, p) WHERE kind IN {_TALK} AND length(p) >= 30")
 def issue_phrase_hits(spark, sf_dir):
     """Talk that quotes the beginning of a problem statement."""
     x = F.regexp_replace(F.regexp_replace(F.substring("problem_statement", 1, 200), r"(?s)```.*?(```|$)", " "), r"https?://\S+", " ")
@@ -423,21 +398,6 @@ def issue_phrase_hits(spark, sf_dir):
     return substring_join(p, docs(spark, sf_dir, *_TALK)).select(F.col("id").alias("instance_id"), F.col("text_id").alias("doc_id"))
 
 
-_DENSE = "length(c) - length(translate(c, '(){}[];=<>+-*/|\\`', '')) <= 0.4 * length(c)"
-
-
-@query(f"WITH i AS (SELECT DISTINCT instance_id, {REPO} AS repo, {strip_sql('substring(problem_statement, 1, 200)')} AS c FROM instances WHERE length(problem_statement) > 50), d AS (SELECT doc_id, {REPO} AS drepo, text FROM documents) SELECT instance_id, count(DISTINCT doc_id)::BIGINT AS files FROM i JOIN d ON repo = drepo AND contains(text, c) WHERE length(c) > 30 AND {_DENSE} AND {_INNER('c')} GROUP BY instance_id")
-def statement_m4(spark, sf_dir):
-    """Files of an instance's own repository that hold the beginning of its statement, unless that is code."""
-    c = text.strip(F.substring("problem_statement", 1, 200))
-    i = instances(spark, sf_dir, canonical_repo("repo").alias("repo"), "problem_statement").where(F.length("problem_statement") > 50).select("instance_id", "repo", c.alias("c"))
-    prose = F.length("c") - F.length(F.translate("c", "(){}[];=<>+-*/|\\`", "")) <= 0.4 * F.length("c")
-    p = i.where((F.length("c") > 30) & prose)
-    hits = substring_join(p.select(F.col("instance_id").alias("id"), F.col("c").alias("pattern")), docs(spark, sf_dir))
-    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), canonical_repo("repo").alias("repo"))
-    return hits.join(own, "text_id").join(p.select(F.col("instance_id").alias("id"), "repo"), ["id", "repo"]).groupBy(F.col("id").alias("instance_id")).agg(F.count_distinct("text_id").alias("files"))
-
-
 @query("SELECT DISTINCT source AS name, CASE lower(source) WHEN 'forge_code' THEN '2024-03-15' WHEN 'web_captures' THEN '2024-06-01' END AS cutoff FROM documents WHERE source IS NOT NULL")
 def model_cutoff_lookup(spark, sf_dir):
     """The cutoff of the corpus that each source of documents stands for."""

@@ -46,7 +46,7 @@ def word_shingle_counts(spark, sf_dir):
     return docs(spark, sf_dir, "text").where("text is not null").select("doc_id", F.size(text.word_shingles("text")).cast("long").alias("n_shingles"))
 
 
-_COLLAPSE = rf"regexp_replace(regexp_replace(lower(substring(%s, 1, 200000)), '[{text.WS}]+', ' ', 'g'), '^ +| +$', '', 'g')"
+_COLLAPSE = rf"regexp_replace(regexp_replace(lower(%s), '[{text.WS}]+', ' ', 'g'), '^ +| +$', '', 'g')"
 
 
 @query(f"WITH t AS (SELECT doc_id, {_COLLAPSE % 'text'} AS t FROM documents WHERE text IS NOT NULL), g AS (SELECT doc_id, t, unnest(range(1, length(t) - 1)) AS i FROM t) SELECT doc_id, count(*)::BIGINT AS n, count(DISTINCT substring(t, i::INT, 3))::BIGINT AS n_distinct FROM g GROUP BY doc_id")
@@ -93,19 +93,21 @@ def normalized_pairs(spark, sf_dir):
     return n.select("id", ((F.col("q") != "") & F.contains("s", "q")).cast("int").alias("normalized"))
 
 
-_LL = lambda c: f"list_filter(list_transform({lines_sql(c)}, lambda x: {strip_sql('x')}), lambda x: length(x) >= 10)"
+_ST = lambda c: f"list_transform({lines_sql(c)}, lambda x: {strip_sql('x')})"
+_LL = lambda c: f"list_filter({_ST(c)}, lambda x: length(x) >= 10)"
 
 
-@query(f"WITH {_P}, l AS (SELECT id, {_LL('q')} AS q, list_distinct({_LL('s')}) AS s FROM p) SELECT id, len(q)::BIGINT AS total, len(list_filter(q, lambda x: list_contains(s, x)))::BIGINT AS matched FROM l WHERE len(q) > 0")
+@query(f"WITH {_P}, f AS (SELECT id, {_LL('q')} AS a, list_filter({_ST('q')}, lambda x: x <> '') AS b, list_distinct({_ST('s')}) AS s FROM p), l AS (SELECT id, CASE WHEN len(a) > 0 THEN a ELSE b END AS q, s FROM f) SELECT id, len(q)::BIGINT AS total, len(list_filter(q, lambda x: list_contains(s, x)))::BIGINT AS matched FROM l")
 def line_overlap(spark, sf_dir):
-    long = lambda c: F.filter(F.transform(text.lines(c), text.strip), lambda s: F.length(s) >= 10)
-    p = snippets(spark, sf_dir, "patch", "patch").select("id", long("q").alias("q"), F.array_distinct(long("s")).alias("s")).where(F.size("q") > 0)
+    """Lines of ten characters or more that the source has too; all filled lines where none is that long."""
+    at = lambda c: F.transform(text.lines(c), text.strip)
+    p = snippets(spark, sf_dir, "patch", "patch").select("id", text.long_lines(at("q")).alias("q"), F.array_distinct(at("s")).alias("s"))
     return p.select("id", F.size("q").cast("long").alias("total"), F.size(F.filter("q", lambda x: F.array_contains(F.col("s"), x))).cast("long").alias("matched"))
 
 
 def _overlap_sql(left: str, right: str) -> str:
     """Counts of equal elements, each as often as both sides have it."""
-    return f"a AS (SELECT id, g, count(*) AS n FROM (SELECT id, unnest({left}) AS g FROM t) GROUP BY ALL), b AS (SELECT id, g, count(*) AS n FROM (SELECT id, unnest({right}) AS g FROM t) GROUP BY ALL), o AS (SELECT a.id, sum(a.n)::BIGINT AS total, sum(least(a.n, coalesce(b.n, 0)))::BIGINT AS matched FROM a LEFT JOIN b USING (id, g) GROUP BY a.id)"
+    return f"a AS (SELECT id, g, count(*) AS n FROM (SELECT id, unnest({left}) AS g FROM t) GROUP BY ALL), b AS (SELECT id, g, count(*) AS n FROM (SELECT id, unnest({right}) AS g FROM t) GROUP BY ALL), o AS (SELECT t.id, coalesce(sum(a.n), 0)::BIGINT AS total, coalesce(sum(least(a.n, coalesce(b.n, 0))), 0)::BIGINT AS matched FROM t LEFT JOIN a USING (id) LEFT JOIN b ON b.id = a.id AND b.g = a.g GROUP BY t.id)"
 
 
 _CH = lambda c: f"list_filter(list_transform(list_filter({lines_sql(c)}, lambda x: (starts_with(x, '+') AND NOT starts_with(x, '+++')) OR (starts_with(x, '-') AND NOT starts_with(x, '---'))), lambda x: {strip_sql('substring(x, 2)')}), lambda x: length(x) >= 10 AND NOT regexp_matches(x, '{diff.BOILERPLATE}') AND NOT regexp_matches(x, '{diff.SIGNATURE}'))"
@@ -115,16 +117,16 @@ _CH = lambda c: f"list_filter(list_transform(list_filter({lines_sql(c)}, lambda
 def changed_line_exposure(spark, sf_dir):
     p = snippets(spark, sf_dir, "patch", "patch")
     long = lambda c: F.filter(diff.changed_lines(c), lambda s: F.length(s) >= 10)
-    return exposures(p.select("id", long("q").alias("q"), long("s").alias("s"))).where("total > 0")
+    return exposures(p.select("id", long("q").alias("q"), long("s").alias("s")))
 
 
 _G8 = lambda c: f"CASE WHEN len({c}) >= 8 THEN list_transform(range(1, len({c}) - 6), lambda i: array_to_string({c}[i:i+7], ' ')) ELSE [] END"
 
 
-@query(f"WITH {_P}, k AS (SELECT id, regexp_extract_all(q, '{text.TOKEN}') AS q, regexp_extract_all(s, '{text.TOKEN}') AS s FROM p), t AS (SELECT id, {_G8('q')} AS q, {_G8('s')} AS s FROM k), {_overlap_sql('q', 's')} SELECT id, total, matched, round(matched / total, 6) AS ngram_overlap_8 FROM o")
+@query(f"WITH {_P}, k AS (SELECT id, regexp_extract_all(q, '{text.TOKEN}') AS q, regexp_extract_all(s, '{text.TOKEN}') AS s FROM p), t AS (SELECT id, {_G8('q')} AS q, {_G8('s')} AS s FROM k), {_overlap_sql('q', 's')} SELECT id, total, matched, round(CASE WHEN total > 0 THEN matched / total ELSE 0 END, 6) AS ngram_overlap_8 FROM o")
 def exposure_ngram8(spark, sf_dir):
-    p = snippets(spark, sf_dir, "patch", "patch").select("id", text.grams(text.tokens("q"), 8).alias("q"), text.grams(text.tokens("s"), 8).alias("s"))
-    return exposures(p).where("total > 0").withColumn("ngram_overlap_8", F.round(F.col("matched") / F.col("total"), 6))
+    p = snippets(spark, sf_dir, "patch", "patch").select("id", text.tokens("q").alias("q"), text.tokens("s").alias("s"))
+    return exposures(p, 8).withColumn("ngram_overlap_8", F.when(F.col("total") > 0, F.round(F.col("matched") / F.col("total"), 6)).otherwise(0.0))
 
 
 _SH = lambda c: f"CASE WHEN len({c}) = 0 THEN [] WHEN len({c}) < 4 THEN [array_to_string({c}, ' ')] ELSE list_distinct(list_transform(range(1, len({c}) - 2), lambda i: array_to_string({c}[i:i+3], ' '))) END"
@@ -208,18 +210,29 @@ def _code_sets(spark, sf_dir):
     return text.once(spread(d), "tokens", diff.distinctive_tokens(text.lines("text"))).select(F.col("doc_id").alias("id"), "tokens")
 
 
-_SALTS = "s AS (SELECT i, unhex(x) AS salt FROM (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(minhash.salts(16))) + ") v(i, x))"
+_SALTS = "s AS (SELECT i, unhex(x) AS salt FROM (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(minhash.salts())) + ") v(i, x))"
 _HASH = "array_to_string(list_reverse(list_transform(range(0, 8), lambda b: h[b*2+1:b*2+2])), '')"
+_SIG = f"WITH {_I}, {_PT}, {_SALTS}, d AS (SELECT DISTINCT unnest(t) AS t FROM tk), h AS (SELECT t, i, sha256(salt || encode(t)) AS h FROM d, s), r AS (SELECT t, i, {_HASH} AS h FROM h), u AS (SELECT instance_id, unnest(t) AS t FROM tk), m AS (SELECT instance_id, i, min(h) AS h FROM u JOIN r USING (t) GROUP BY ALL)"
 
 
-@query(f"WITH {_I}, {_PT}, {_SALTS}, d AS (SELECT DISTINCT unnest(t) AS t FROM tk), h AS (SELECT t, i, sha256(salt || encode(t)) AS h FROM d, s), r AS (SELECT t, i, {_HASH} AS h FROM h), u AS (SELECT instance_id, unnest(t) AS t FROM tk), m AS (SELECT instance_id, i, min(h) AS h FROM u JOIN r USING (t) GROUP BY ALL) SELECT instance_id, string_agg(h, ' ' ORDER BY i) AS sig FROM m GROUP BY instance_id")
+@query(f"{_SIG} SELECT instance_id, string_agg(h, ' ' ORDER BY i) AS sig FROM m GROUP BY instance_id")
 def minhash_signature(spark, sf_dir):
-    """The first 16 slots of the signatures, which are those of a signature of 16."""
-    sig = minhash.signatures(_patch_sets(spark, sf_dir), "id", "tokens", 16)
-    return sig.select(F.col("id").alias("instance_id"), F.array_join("sig", " ").alias("sig"))
+    """The signatures of the patches' distinctive tokens, all slots."""
+    sig = minhash.signatures(_patch_sets(spark, sf_dir), "id", "tokens")
+    return sig.select(F.col("id").alias("instance_id"), F.array_join(minhash.hex_hashes(F.col("sig")), " ").alias("sig"))
 
 
-@query()
+@query(f"{_SIG}, b AS (SELECT instance_id, i // {minhash.ROWS} AS band, '(' || string_agg(('0x' || h)::UBIGINT::VARCHAR, ', ' ORDER BY i) || ')' AS t FROM m GROUP BY ALL) SELECT instance_id, band::INT AS band, substring(sha256(t), 1, 16) AS band_hash FROM b")
+def minhash_bands(spark, sf_dir):
+    """The band hashes of each signature."""
+    sig = minhash.signatures(_patch_sets(spark, sf_dir), "id", "tokens")
+    return sig.select(F.col("id").alias("instance_id"), F.posexplode(minhash.band_hashes(F.col("sig"))).alias("band", "band_hash"))
+
+
+_CODE = f"cd AS (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(lower(array_to_string(list_filter(list_transform({lines_sql('text')}, lambda s: {strip_sql('s')}), lambda s: NOT starts_with(s, '#') AND NOT starts_with(s, '//')), ' ')), '[a-z_][\\p{{L}}\\p{{N}}_]{{3,}}')), lambda w: w NOT IN ({_GEN})) AS t FROM documents WHERE kind = 'source_file' AND text IS NOT NULL)"
+
+
+@query(f"WITH {_I}, {_PT}, {_CODE}, a AS (SELECT instance_id, len(t) AS n, unnest(t) AS w FROM tk WHERE len(t) >= 3), b AS (SELECT doc_id, len(t) AS m, unnest(t) AS w FROM cd WHERE len(t) >= 3), c AS (SELECT instance_id, doc_id, n, m, count(*) AS k FROM a JOIN b USING (w) GROUP BY ALL), j AS (SELECT instance_id, doc_id, k / (n + m - k) AS s FROM c WHERE k / (n + m - k) >= 0.1), r AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY s DESC, doc_id) AS rank FROM j) SELECT instance_id, doc_id, round(s, 6) AS similarity, rank::INT AS rank FROM r WHERE rank <= 10")
 def lsh_content_match(spark, sf_dir):
     """Source files whose distinctive tokens resemble those of a patch, the ten most alike of each."""
     m = minhash.content_matches(_patch_sets(spark, sf_dir), _code_sets(spark, sf_dir))
@@ -251,10 +264,10 @@ def repo_semi_join(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(canonical_repo("repo").alias("repo")).distinct().join(known, "repo", "left_semi")
 
 
-@query(f"WITH b AS (SELECT count(DISTINCT pos)::BIGINT AS bits_set FROM {_POS('repos')}) SELECT {_M}::BIGINT AS m, {_K}::BIGINT AS k, bits_set, round(power(bits_set / {_M}, {_K}), 12) AS fill_rate FROM b")
+@query(f"WITH b AS (SELECT count(DISTINCT pos)::BIGINT AS bits_set FROM {_POS('repos')}) SELECT m, k, bits_set, round(power(bits_set / m, k), 12) AS fill_rate, round(power(1 - exp(-k * {BLOOM_N} / m), k), 12) AS expected_rate FROM b, (SELECT m, greatest(1, trunc(m / {BLOOM_N} * ln(2)))::BIGINT AS k FROM (SELECT greatest(64, trunc(-{BLOOM_N} * ln({BLOOM_P}) / power(ln(2), 2)))::BIGINT AS m))")
 def bloom_stats(spark, sf_dir):
     bits = bloom.build(table(spark, sf_dir, "repos").select(canonical_repo("repo").alias("repo")), "repo", _M, _K)
-    return bits.agg(F.count("*").alias("bits_set")).select(F.lit(_M).cast("long").alias("m"), F.lit(_K).cast("long").alias("k"), "bits_set", F.round(F.pow(F.col("bits_set") / F.lit(_M), F.lit(_K)), 12).alias("fill_rate"))
+    return bits.agg(F.count("*").alias("bits_set")).select(F.lit(_M).cast("long").alias("m"), F.lit(_K).cast("long").alias("k"), "bits_set", F.round(F.pow(F.col("bits_set") / F.lit(_M), F.lit(_K)), 12).alias("fill_rate"), F.round(F.lit(bloom.false_positive_rate(BLOOM_N, _M, _K)), 12).alias("expected_rate"))
 
 
 _KEYED = r"""(?i)\b(token|password|passwd|secret|api_key|apikey)(\s*[=:]\s*["'']?)([^\s"'',;)]{6,})"""

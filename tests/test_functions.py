@@ -101,3 +101,27 @@ def test_repo_spellings(spark):
 def test_redaction(spark):
     got = column(spark, ["x ghp_" + "a" * 20, 'password = "hunter22"', "passport no"], text.redact_secrets)
     assert got == ["x [SECRET]", 'password = "[SECRET]"', "passport no"]
+
+
+def test_days_in_utc(spark):
+    from leakscope.functions.risk import to_date
+
+    given = {"2024-03-14T23:30:00-05:00": "2024-03-15", "2024-03-15T01:00:00+02:00": "2024-03-14", "2024-03-15T00:00:00Z": "2024-03-15", "2024-03-15": "2024-03-15", "2024-03-15 23:59:59": "2024-03-15",
+             "2024-03-15T23:30:00.123+0000": "2024-03-15", "15/03/2024": None, "2024-13-45": None, "": None, None: None, "2024-03-15 later": "2024-03-15"}
+    df = spark.createDataFrame([(k,) for k in given], "t string")
+    assert {r.t: r.d for r in df.select("t", to_date(F.col("t")).cast("string").alias("d")).collect()} == given
+
+
+def test_keyed_hashes_and_decoding(spark):
+    import base64
+    import hashlib
+    import hmac
+
+    from leakscope.functions.hashes import decoded, hmac_tag
+
+    texts = ["", "a/b", "é汉😀" * 30]
+    df = spark.createDataFrame([(t, base64.encodebytes(t.encode()).decode()) for t in texts], "t string, b string")
+    for key in ("k", "x" * 100):
+        for r in df.select("t", hmac_tag("t", key).alias("h"), decoded("b").alias("d")).collect():
+            assert r.h == hmac.new(key.encode(), r.t.encode(), hashlib.sha256).hexdigest()[:16] and r.d == r.t
+    assert spark.createDataFrame([("%%%",), (None,)], "b string").select(decoded("b").alias("d")).distinct().collect() == [(None,)]

@@ -99,6 +99,8 @@ def test_sample(spark):
 def test_exposure_counts(spark):
     df = spark.createDataFrame([(1, ["x", "x", "x", "y"], ["x", "x", "z"]), (2, [], ["a"]), (3, ["a"], [])], "id int, q array<string>, s array<string>")
     assert sorted(map(tuple, exposures(df).collect())) == [(1, 4, 2), (2, 0, 0), (3, 1, 0)]
+    two = spark.createDataFrame([(1, ["a", "b", "a", "b", "c"], ["b", "a", "b", "c"]), (2, ["a"], ["a"]), (3, None, ["a", "b"])], "id int, q array<string>, s array<string>")
+    assert sorted(map(tuple, exposures(two, 2).collect())) == [(1, 4, 3), (2, 0, 0), (3, 0, 0)]
     t = spark.createDataFrame([(1, "abcd", "ABCD"), (2, "ab", "abc"), (3, None, "abc"), (4, "aaab", "xyz"), (5, "汉字汉字", "汉字汉")], "id int, q string, s string")
     got = dict(map(tuple, char_cosine(t).collect()))
     assert got[1] == pytest.approx(1) and got[2] is None and got[3] is None and got[4] == 0 and got[5] == pytest.approx(0.5**0.5)
@@ -114,8 +116,12 @@ def test_minhash_definition(spark):
     df = spark.createDataFrame(list(sets.items()), "id string, tokens array<string>")
     salt = [hashlib.sha256(f"leakscope-42-{i}".encode()).digest() for i in range(128)]
     want = {k: [format(min(int.from_bytes(hashlib.sha256(s + t.encode()).digest()[:8], "little") for t in v), "016x") for s in salt] for k, v in sets.items()}
-    assert {r.id: r.sig for r in minhash.signatures(df, "id", "tokens").collect()} == want
-    rows = df.select("id", minhash.signature(F.col("tokens")).alias("sig")).select("id", "sig", minhash.band_hashes(F.col("sig")).alias("b")).collect()
+    made = minhash.signatures(df, "id", "tokens")
+    assert {r.id: r.h for r in made.select("id", minhash.hex_hashes(F.col("sig")).alias("h")).collect()} == want
+    nothing = spark.createDataFrame([("d", []), ("e", None), ("f", [None])], "id string, tokens array<string>")
+    assert minhash.signatures(nothing, "id", "tokens").count() == 0
+    rows = df.join(made.select("id", minhash.band_hashes(F.col("sig")).alias("b")), "id").select("id", minhash.signature(F.col("tokens")).alias("sig"), "b").collect()
+    assert len(rows) == 3
     for r in rows:
         assert r.sig == want[r.id]
         n = [int(x, 16) for x in r.sig]
@@ -174,11 +180,11 @@ def test_stored_index_and_filter(spark, tmp_path):
 def test_substrings(spark):
     from leakscope.operators.substring import substring_join
 
-    patterns = {1: "e quick brown fox ju", 2: "brown", 3: "the lazy dog", 4: "", 5: None, 6: "Quick Brown Fox!", 7: "lazy, dog sleeps", 8: "e quick brown fox ju"}
-    texts = {1: "The quick brown fox jumps", 2: "the lazy dog sleeps", 3: None, 4: "", 5: "Quick Brown Fox! The quick brown fox jumps, so the lazy dog barks"}
+    patterns = {1: "e quick brown fox ju", 2: "brown", 3: "the lazy dog", 4: "", 5: None, 6: "Quick Brown Fox!", 7: "lazy, dog sleeps", 8: "e quick brown fox ju", 9: "敏捷的棕色狐狸", 10: "狐狸", 11: "ไปกัน", 12: "x", 13: "😀é"}
+    texts = {6: "看，敏捷的棕色狐狸跳了", 7: "เราไปกันเถอะ", 8: "a 😀é b", 9: "x", 10: "狐" + "é" * 30_000 + "狐狸", 1: "The quick brown fox jumps", 2: "the lazy dog sleeps", 3: None, 4: "", 5: "Quick Brown Fox! The quick brown fox jumps, so the lazy dog barks"}
     p = spark.createDataFrame(list(patterns.items()), "id int, pattern string")
     t = spark.createDataFrame(list(texts.items()) + [(1, texts[1])], "text_id int, text string")
-    want = {(i, j) for i, a in patterns.items() for j, b in texts.items() if a and b and a in b and len(a.split()) > 2}
+    want = {(i, j) for i, a in patterns.items() for j, b in texts.items() if a and b and a in b}
     assert {tuple(r) for r in substring_join(p, t).collect()} == want and (1, 1) in want
     assert substring_join(p, t.limit(0)).count() == substring_join(p.limit(0), t).count() == 0
 
@@ -200,3 +206,26 @@ def test_repository_is_small():
     out = subprocess.run(["git", "-C", str(Path(__file__).parents[1]), "count-objects", "-v"], capture_output=True, text=True).stdout
     sizes = {k: int(v) for k, v in (x.split(": ") for x in out.splitlines() if "size" in x and "garbage" not in x)}
     assert sum(sizes.values()) < 30_000
+
+
+def test_hot_keys_of_any_number(spark):
+    """Half of all rows in one key, many further heavy keys: the plan finds each of them, and no task holds the hot one."""
+    rows = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 11).cast("string"))).alias("key"), "id")
+    plan = plan_shards(rows, "key", 6)
+    assert len(plan.heavy) > 10
+    keys = rows.select("key").distinct().select("key", plan.routes(F.col("key")).alias("r")).collect()
+    for k in keys:
+        assert sorted(k.r) == sorted(plan.heavy.get(k.key, k.r)) and (k.key in plan.heavy or len(k.r) == 1)
+    sizes = [r.n for r in spread_by_load(rows, "key", plan).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 2 * 40_000 / 6
+    ints = rows.select((F.length("key") - F.length("key") + F.when(F.col("key") == "hot", 70).otherwise(F.col("id") % 11)).alias("key"), "id")
+    got = {r.key: r.n for r in balanced_aggregate(ints, "key", {"p": F.count("*")}, {"n": F.sum("p")}).collect()}
+    assert sum(got.values()) == 40_000 and got[70] == 20_000
+
+
+def test_first_of_each(spark):
+    from leakscope.operators.sampling import first_of_each
+
+    rows = spark.createDataFrame([("a", i) for i in range(500)] + [("b", 3), (None, 9), (None, 1)], "g string, x int")
+    got = sorted(((r.g or "", r.x) for r in first_of_each(rows, "g", ["x"], 3).collect()))
+    assert got == [("", 1), ("", 9), ("a", 0), ("a", 1), ("a", 2), ("b", 3)]

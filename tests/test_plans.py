@@ -53,6 +53,48 @@ def test_copies_behind_the_first_megabyte(spark):
     assert not r.verbatim_match and r.ngram_overlap_8 == 1 and r.jaccard_similarity > 0.5
 
 
+def test_all_signals_reach_the_verdict(spark):
+    """Content, copies elsewhere, the cutoff before and after them, and an instance whose diff is missing."""
+    other = "diff --git a/q.py b/q.py\n+++ b/q.py\n+unrelated = 17\n"
+    ids = ["content", "copies", "late", "gone", "gone_many", "plain"]
+    i, d, m = frames(spark, [(k, "p/q", BODY, "", "", n) for n, k in enumerate(ids)], [("p/q", n, other) for n in (0, 1, 2, 5)])
+    content = spark.createDataFrame([("content", 0.4, 2), ("gone", 0.9, 1)], "instance_id string, similarity double, matches int")
+    copies = spark.createDataFrame([("copies", 1, 1, 0), ("late", 4, 4, 0), ("gone_many", 3, 3, 0)], "instance_id string, independent_hits int, non_vendor_hits int, vendor_like_hits int")
+    dates = spark.createDataFrame([("p/q", 2, "2024-03-14T23:00:00-05:00"), ("p/q", 2, None)], "repo string, pr_number int, merged_at string")
+    risks = audit(i, d, m, merge_dates=dates, content=content, replication=copies).persist()
+    got = {r.instance_id: r for r in risks.collect()}
+    assert {k: r.risk for k, r in got.items()} == {"content": "medium", "copies": "high", "late": "high", "gone": "medium", "gone_many": "critical", "plain": got["plain"].risk}
+    assert {k for k, r in got.items() if r.not_evaluated} == {"gone", "gone_many"} and got["late"].risk_5 == "critical"
+    assert {k: r.top_match for k, r in got.items() if k != "plain"} == {"content": "codeseal_content_hit", "copies": "independent_source_hit", "late": "independent_source_hit", "gone": "codeseal_content_hit", "gone_many": "independent_source_hit"}
+    kinds = {(r.instance_id, r.match_type) for r in evidence_rows(risks).collect()}
+    assert {("content", "codeseal_content_hit"), ("copies", "independent_source_hit"), ("gone_many", "independent_source_hit")} <= kinds
+
+
+def test_circular_match(spark):
+    from leakscope.plans.audit import circular
+
+    rows = [(BODY, BODY), (BODY, "x\n" * 25 + BODY), ("total", "total\nno diff"), ("", BODY), (None, BODY), (BODY, None)]
+    df = spark.createDataFrame(rows, "p string, s string")
+    assert [r[0] for r in df.select(circular(F.col("p"), F.col("s"))).collect()] == [True, False, False, False, False, False]
+
+
+def test_consensus(spark):
+    from leakscope.plans.consensus import consensus
+
+    line = "    total = compute_total(values, weights)"
+    patch = f"diff --git a/m.py b/m.py\n+++ b/m.py\n+{line}\n+    checked = verify_total(total, limit)\n"
+    words = "The total is wrong whenever the weights are given in another order than the values are."
+    rows = [("new", "a/a", patch, "+++ b/t\n+assert compute_total(one, two) == 3\n", words), ("old", "b/b", patch, "", ""), ("nobase", "c/c", patch, "", ""), ("nohead", "d/d", patch, "", ""), ("empty", "a/a", "", "", words), ("half", "e/e", patch, None, None)]
+    i = spark.createDataFrame(rows, "instance_id string, repo string, patch string, test_patch string, problem_statement string").withColumn("day", F.lit("2024-01-10").cast("date"))
+    body = f"def f():\n{line}\n    checked   = verify_total(total, limit)\nassert compute_total(one, two) == 3\n# {words}\n"
+    files = [(1, "a/a", "nothing", "2023-01-01"), (2, "a/a", body, "2024-05-01"), (3, "b/b", body, "2023-01-01"), (4, "c/c", body, "2024-05-01"), (5, "e/e", "x", "2023-01-01"), (6, "e/e", line, "2024-02-01"), (7, None, body, None)]
+    d = spark.createDataFrame(files, "doc_id long, repo string, text string, seen string").withColumn("seen", F.col("seen").cast("date"))
+    got = {r.instance_id: r for r in consensus(i, d).collect()}
+    assert {k: r.verdict for k, r in got.items()} == {"new": "contaminated", "old": "clean", "nobase": "base_not_found_suspect", "nohead": "head_not_found", "empty": "no_lines", "half": "contaminated"}
+    assert (got["new"].m1, got["new"].m2, got["new"].m3, got["new"].m4, got["new"].detected, got["new"].run, got["new"].risk) == (1, 2, 1, 1, 4, 4, "critical")
+    assert got["half"].exposure == 0.5 and got["half"].detected == 2 and got["nobase"].risk == "clean" and consensus(i.limit(0), d).count() == 0
+
+
 def test_threshold_is_checked():
     for bad in (0.05, 1.5):
         with pytest.raises(ValueError):

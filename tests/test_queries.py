@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from leakscope.queries import REGISTRY
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -46,5 +47,20 @@ def test_others_run(spark, name):
     spark.catalog.clearCache()
 
 
+#: Those that collect a bounded plan of loads or a name while they are built.
+PLANNED = {"p2_repo_risk", "p2_found", "repo_concentration", "lsh_content_match", "hit_histogram"}
+
+
+@pytest.mark.parametrize("name", sorted(set(REGISTRY) - PLANNED))
+def test_building_runs_nothing(spark, name):
+    """Building a query reads footers at most: no shuffle is run to look at its result."""
+    spark.sparkContext.setJobGroup(f"build-{name}", name)
+    entry.queries()[name](spark, SF)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(f"build-{name}") for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert all(s is None or s.name.startswith("parquet") for s in stages), [s.name for s in stages if s]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
