@@ -86,13 +86,14 @@ def wide_templates(code: np.ndarray, offsets: np.ndarray, span: int) -> np.ndarr
     return np.where(inside, mix((sums[stop] - sums[:-1]) * down[:n] + (stop - np.arange(n)).astype(U)), ~U(0))
 
 
-def template_anchors(words: np.ndarray, offsets: np.ndarray, names: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+def template_anchors(words: np.ndarray, offsets: np.ndarray, names: np.ndarray, run: int, refilled: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(keys, number of the text) of windows of canonical words of many texts, given as flat words and offsets.
 
     Any ``run`` consecutive windows hold one, the same in every text. The window with the most letters is preferred, since
     it is rarest, then the least hash. Where even that one has fewer than LETTERS letters (fixed phrases, rows of numbers),
-    there are two keys instead: that of the run's words as they stand, for verbatim copies, and, where a placeholder is
-    among them, the least hash of four neighbouring wide templates, for copies with other values. A text gives each key once.
+    there are two keys instead: that of the run's words as they stand, for verbatim copies, and, if ``refilled`` and a
+    placeholder is among them, the least hash of four neighbouring wide templates, for copies with other values. A text gives
+    each key once.
     """
     span = WINDOW + run - 1
     starts = len(words) - span + 1
@@ -116,7 +117,7 @@ def template_anchors(words: np.ndarray, offsets: np.ndarray, names: np.ndarray,
         poor_keys = poor_keys * U(0xC2B2AE3D27D4EB4F) + raw[poor + k]
     slotted = np.concatenate([[0], np.cumsum(code < 8)])
     slotted = slotted[span:] > slotted[:-span]
-    each = np.where(inside & plain & slotted, wide_templates(code, offsets, span)[:starts], ~U(0))
+    each = np.where(inside & plain & slotted, wide_templates(code, offsets, span)[:starts], ~U(0)) if refilled else np.full(starts, ~U(0))
     wide = each.copy()
     for k in range(1, min(4, starts)):
         wide[:-k] = np.where(owner[: starts - k] == owner[k:starts], np.minimum(wide[:-k], each[k:]), wide[:-k])
@@ -147,10 +148,10 @@ def _token_rows(least: int):
     return run
 
 
-def _anchor_rows(names: np.ndarray, run_length: int):
+def _anchor_rows(names: np.ndarray, run_length: int, refilled: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, owners = template_anchors(*flat_binaries(b.column("tokens"), np.uint32), names, run_length)
+            keys, owners = template_anchors(*flat_binaries(b.column("tokens"), np.uint32), names, run_length, refilled)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column("key").take(pa.array(owners))], names=["h", "key"])
 
     return run
@@ -283,9 +284,10 @@ def _alike(rows: list[tuple[tuple, list]], steps: int = SEARCH) -> dict[int, int
     return None
 
 
-def compare(field: Prepared, doc: Prepared, run: int, share: float, least: int) -> tuple[bool, float, float, int, bool]:
+def compare(field: Prepared, doc: Prepared, run: int, share: float, least: int, slots: bool = True) -> tuple[bool, float, float, int, bool]:
     """(leaked, share of windows, share of template windows, changed slots, slots consistent) of one field in one document.
 
+    Without ``slots`` the last two aren't looked at.
     Equal windows have equal templates, so a pair whose templates reach neither bound is settled by these alone.
     """
     both = _member(field.windows, doc.kinds)
@@ -300,13 +302,13 @@ def compare(field: Prepared, doc: Prepared, run: int, share: float, least: int)
     if not leaked and len(field.words) >= run and _longest(_member(field.plain, doc.plain_kinds)) >= need:
         leaked = bool(np.isin(gram_hashes(field.words.astype(U), run), gram_hashes(doc.words.astype(U), run)).any())
     changed, steady = 0, True
-    if not leaked and template >= share:
-        slots, steady = filled_slots(field, doc, np.flatnonzero(both))
-        changed = sum(x != y for x, y in slots.items())
+    if slots and not leaked and template >= share:
+        filled, steady = filled_slots(field, doc, np.flatnonzero(both))
+        changed = sum(x != y for x, y in filled.items())
     return leaked, part, template, changed, steady
 
 
-def _compared(names: np.ndarray, run_words: int, share: float, least: int):
+def _compared(names: np.ndarray, run_words: int, share: float, least: int, slots: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[tuple, Prepared] = {}
 
@@ -319,7 +321,7 @@ def _compared(names: np.ndarray, run_words: int, share: float, least: int):
 
         for b in batches:
             f, d = b.column("f").to_pylist(), b.column("d").to_pylist()
-            out = [compare(prepared("f", i, x), prepared("d", j, y), run_words, share, least) for i, j, x, y in zip(f, d, b.column("tf").to_pylist(), b.column("td").to_pylist())]
+            out = [compare(prepared("f", i, x), prepared("d", j, y), run_words, share, least, slots) for i, j, x, y in zip(f, d, b.column("tf").to_pylist(), b.column("td").to_pylist())]
             cols = list(zip(*out)) or [[]] * 5
             arrays = [pa.array(c, t) for c, t in zip(cols, (pa.bool_(), pa.float64(), pa.float64(), pa.int32(), pa.bool_()))]
             t = pa.RecordBatch.from_arrays([b.column("f"), b.column("d"), *arrays], names=["f", "d", "leaked", "share", "template_share", "changed", "consistent"])
@@ -328,7 +330,7 @@ def _compared(names: np.ndarray, run_words: int, share: float, least: int):
     return run
 
 
-def leak_candidates(items: DataFrame, docs: DataFrame, names: list[str] = (), run: int = 20, share: float = 0.5, least: int = 40) -> tuple[DataFrame, DataFrame, DataFrame]:
+def leak_candidates(items: DataFrame, docs: DataFrame, names: list[str] = (), run: int = 20, share: float = 0.5, least: int = 40, refilled: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(item members, document members, links) of item texts that stand in documents, fully or in part.
 
     ``items`` (item_id, field, text) and ``docs`` (doc_id, text). Members map ids to classes of equal word sequences
@@ -338,7 +340,8 @@ def leak_candidates(items: DataFrame, docs: DataFrame, names: list[str] = (), ru
     ``changed`` counts placeholders filled differently, ``consistent`` says whether each value was always replaced alike.
 
     Candidates share a template window (five words, in which placeholders stand for numbers, units and ``names``) that is first in
-    rank among four consecutive ones. Any copied stretch of eight words has such a window on both sides. At least half
+    rank among four consecutive ones or, where windows say too little, the words of eight as they stand and, if ``refilled``,
+    a wider template; without it only copies with other values are lost, never a ``leaked`` one. Any copied stretch of eight words has such a window on both sides. At least half
     of an item of 40 words cannot be kept without a stretch of eight, whatever is replaced, inserted or moved.
 
     Null ids and texts and texts of under 20 words are ignored; repeated rows count once; hot copies are compared once per
@@ -352,19 +355,19 @@ def leak_candidates(items: DataFrame, docs: DataFrame, names: list[str] = (), ru
     f_rows = f_rows.mapInArrow(_token_rows(short), f"item_id {kinds['item_id']}, field string, key long, tokens binary")
     d_rows = d_rows.mapInArrow(_token_rows(short), f"doc_id {kinds['doc_id']}, key long, tokens binary")
     f_one, d_one = (x.select("key", "tokens").dropDuplicates(["key"]).persist() for x in (f_rows, d_rows))
-    f_anchor, d_anchor = (x.mapInArrow(_anchor_rows(codes, 4), "h long, key long") for x in (f_one, d_one))
+    f_anchor, d_anchor = (x.mapInArrow(_anchor_rows(codes, 4, refilled), "h long, key long") for x in (f_one, d_one))
     pairs = f_anchor.withColumnRenamed("key", "f").join(d_anchor.withColumnRenamed("key", "d"), "h").select("f", "d").distinct()
     links = (
         pairs.join(f_one.select(F.col("key").alias("f"), F.col("tokens").alias("tf")), "f")
         .join(d_one.select(F.col("key").alias("d"), F.col("tokens").alias("td")), "d")
-        .mapInArrow(_compared(codes, run, share, least), "f long, d long, leaked boolean, share double, template_share double, changed int, consistent boolean")
+        .mapInArrow(_compared(codes, run, share, least, refilled), "f long, d long, leaked boolean, share double, template_share double, changed int, consistent boolean")
     )
     return f_rows.select("item_id", "field", F.col("key").alias("f")).distinct(), d_rows.select("doc_id", F.col("key").alias("d")).distinct(), links
 
 
 def leaks(items: DataFrame, docs: DataFrame, names: list[str] = (), **how) -> DataFrame:
     """(doc_id, item_id, field, share): every document that holds a leaked item. See leak_candidates."""
-    f, d, links = leak_candidates(items, docs, names, **how)
+    f, d, links = leak_candidates(items, docs, names, refilled=False, **how)
     return links.where("leaked").join(f, "f").join(d, "d").select("doc_id", "item_id", "field", F.round("share", 6).alias("share"))
 
 
