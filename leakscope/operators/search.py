@@ -51,15 +51,19 @@ def search_identifiers(patches: DataFrame, n: int = 8, most: int = 5) -> DataFra
 def candidate_files(patches: DataFrame, files: DataFrame) -> DataFrame:
     """(instance_id, doc_id) of files of another repository that hold all searched identifiers of a patch.
 
-    An inverted join: identifiers of the patches against distinct words of the files, then a count. The files' words are
-    cut down to identifiers that are searched at all before they meet the patches, so common words never multiply.
+    The files' words are cut down to identifiers that are searched at all. A patch meets only the files that hold its rarest
+    identifier, counted over all files; whether they hold the others is looked up in the file's own set. So a frequent
+    identifier never multiplies, and an identifier that no file has ends the search of its patch. Null ids, patches and texts give nothing.
     """
     queries = search_identifiers(patches).select("instance_id", "repo", F.array_distinct("ids").alias("ids"))
-    terms = queries.select("instance_id", "repo", F.size("ids").alias("need"), F.explode("ids").alias("w"))
+    terms = queries.select("instance_id", "repo", "ids", F.explode("ids").alias("w"))
     words = files.select("doc_id", "file_repo", F.explode(F.array_distinct(F.filter(text.words("text"), distinctive))).alias("w"))
-    hits = terms.join(words.join(terms.select("w").distinct(), "w", "left_semi"), "w")
-    other = hits.where(F.coalesce(F.col("file_repo") != F.col("repo"), F.lit(True)))
-    return other.groupBy("instance_id", "doc_id", "need").agg(F.count("*").alias("n")).where("n = need").select("instance_id", "doc_id")
+    words = words.join(terms.select("w").distinct(), "w", "left_semi").persist()
+    known = terms.join(words.groupBy("w").agg(F.count("*").alias("df")), "w")
+    rarest = known.groupBy("instance_id", "repo", "ids").agg(F.min_by("w", F.struct("df", "w")).alias("w"), F.count("*").alias("n")).where(F.col("n") == F.size("ids"))
+    sets = words.groupBy("doc_id").agg(F.collect_set("w").alias("ws"))
+    pairs = rarest.join(words, "w").where(F.coalesce(F.col("file_repo") != F.col("repo"), F.lit(True))).select("instance_id", "ids", "doc_id")
+    return pairs.join(sets, "doc_id").where(F.size(F.array_intersect("ids", "ws")) == F.size("ids")).select("instance_id", "doc_id").distinct()
 
 
 def verified_files(patches: DataFrame, files: DataFrame, candidates: DataFrame) -> DataFrame:

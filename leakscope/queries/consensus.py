@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leakscope.functions import diff, hashes, links, risk, text
 from leakscope.functions.repos import canonical_repo
-from leakscope.operators.sampling import first_of_each, round_robin_sample
+from leakscope.operators.sampling import first_of_each, round_robin_sample, scan_sample
 from leakscope.operators.search import line_anchor, search_identifiers, verified_files
 from leakscope.plans.audit import circular
 from leakscope.plans.consensus import UNVERIFIABLE, consensus, statement_files
@@ -249,7 +249,7 @@ _MARK = A._MARK
 @query(f"{_REPL}, dd AS (SELECT doc_id, {REPO} AS file_repo, (len(list_intersect(string_split(lower(replace(path, '\\', '/')), '/'), [{_MARK}])) > 0 OR list_contains(string_split(lower(replace(path, '\\', '/')), '/'), split_part({REPO}, '/', -1))) AS vendor FROM documents), gt AS (SELECT instance_id, grp, count(*) AS total FROM g GROUP BY ALL), cn AS (SELECT instance_id, count(*) AS n FROM cand GROUP BY 1) SELECT instance_id, count(DISTINCT file_repo)::BIGINT AS repos, any_value(cn.n)::BIGINT AS candidates, count(*) FILTER (vendor)::BIGINT AS vendor_files, sum(matched)::BIGINT AS matched_lines, sum(total)::BIGINT AS total_lines FROM best JOIN dd USING (doc_id) JOIN gt USING (instance_id, grp) JOIN cn USING (instance_id) WHERE verified GROUP BY instance_id")
 def replication_rollup(spark, sf_dir):
     """Per instance: repositories with a verified copy, candidates, copied dependencies, and lines found of lines asked for."""
-    p, f, c = A._searched(spark, sf_dir), A._files(spark, sf_dir), A._candidates(spark, sf_dir)
+    p, f, c = A._searched(spark, sf_dir), A._files(spark, sf_dir), A._candidates(spark, sf_dir).persist()
     v = verified_files(p, f, c).where("verified")
     marked = f.select("doc_id", "file_repo", links.vendor_like(F.col("path"), F.col("file_repo")).alias("vendor"))
     totals = diff.file_groups(p, "instance_id", "patch", text.collapse).groupBy("instance_id", "grp").agg(F.count("*").alias("total"))
@@ -286,6 +286,13 @@ def language_sample(spark, sf_dir):
     return round_robin_sample(d, "grp", "doc_id", 300).select("doc_id", "grp", "round")
 
 
+@query(f"WITH d AS (SELECT doc_id, concat_ws('/', nullif(lower(trim(lang)), ''), nullif({REPO}, '')) AS grp, row_number() OVER (ORDER BY doc_id) AS line FROM documents ORDER BY doc_id LIMIT 20000), g AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY line) AS gi FROM d), c AS (SELECT *, sum((gi <= 20)::INT) OVER (ORDER BY line) AS cand, sum((gi = 1)::INT) OVER (ORDER BY line) AS groups FROM g), s AS (SELECT min(line) AS stop FROM c WHERE cand >= 20 AND (line >= 4000 OR groups >= 20 OR line >= 20000)), k AS (SELECT doc_id, grp, line FROM c, s WHERE line <= coalesce(stop, 20000) AND gi <= 20), r AS (SELECT doc_id, grp, row_number() OVER (PARTITION BY grp ORDER BY line) AS round, min(line) OVER (PARTITION BY grp) AS first FROM k) SELECT doc_id, grp, round::INT AS round FROM r ORDER BY round, first LIMIT 20")
+def first_lines_sample(spark, sf_dir):
+    """A sample of 20 documents over groups of language and repository that stops reading once it has seen enough."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", F.nullif(F.lower(F.trim("lang")), F.lit("")), F.nullif(canonical_repo("repo"), F.lit(""))).alias("grp"))
+    return scan_sample(d, "grp", "doc_id", 20).select("doc_id", "grp", "round")
+
+
 @query("SELECT instance_id, loaded_at FROM (SELECT DISTINCT ON (instance_id) * FROM instances ORDER BY instance_id, loaded_at) ORDER BY loaded_at, instance_id LIMIT 50")
 def ordered_head(spark, sf_dir):
     """The first 50 instances in the order of their loading."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leakscope.functions import diff, text
 from leakscope.functions.repos import canonical_repo
 from leakscope.operators import bloom, minhash
-from leakscope.operators.exposure import char_cosine, exposures
+from leakscope.operators.exposure import char_cosine, char_gram_sizes, containment_join, exposures
 from leakscope.queries.sqltext import REPO, SQL_HELPERS, lines_sql, strip_sql
 from leakscope.session import spread, table
 
@@ -51,8 +51,7 @@ _COLLAPSE = rf"regexp_replace(regexp_replace(lower(%s), '[{text.WS}]+', ' ', 'g'
 
 @query(f"WITH t AS (SELECT doc_id, {_COLLAPSE % 'text'} AS t FROM documents WHERE text IS NOT NULL), g AS (SELECT doc_id, t, unnest(range(1, length(t) - 1)) AS i FROM t) SELECT doc_id, count(*)::BIGINT AS n, count(DISTINCT substring(t, i::INT, 3))::BIGINT AS n_distinct FROM g GROUP BY doc_id")
 def char3_counts(spark, sf_dir):
-    g = text.once(docs(spark, sf_dir, "text"), "g", text.char_grams("text")).where(F.size("g") > 0)
-    return g.select("doc_id", F.size("g").cast("long").alias("n"), F.size(F.array_distinct("g")).cast("long").alias("n_distinct"))
+    return char_gram_sizes(docs(spark, sf_dir, "text"), "doc_id", "text").where("n > 0").withColumnRenamed("id", "doc_id")
 
 
 @query(f"WITH t AS (SELECT doc_id, {lines_sql('text')} AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(l)::BIGINT AS n_lines, len(list_filter(l, lambda s: {strip_sql('s')} <> ''))::BIGINT AS n_filled, coalesce(list_max(list_transform(l, lambda s: length(s))), 0)::BIGINT AS longest FROM t")
@@ -129,6 +128,13 @@ def exposure_ngram8(spark, sf_dir):
     return exposures(p, 8).withColumn("ngram_overlap_8", F.when(F.col("total") > 0, F.round(F.col("matched") / F.col("total"), 6)).otherwise(0.0))
 
 
+@query(f"WITH i AS (SELECT DISTINCT instance_id, patch FROM instances WHERE patch IS NOT NULL), p AS (SELECT instance_id, regexp_extract_all(patch, '{text.TOKEN}') AS t FROM i), d AS (SELECT doc_id, regexp_extract_all(text, '{text.TOKEN}') AS t FROM documents WHERE text IS NOT NULL), a AS (SELECT instance_id, g, count(*) AS n FROM (SELECT instance_id, unnest({_G8('t')}) AS g FROM p) GROUP BY ALL), b AS (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, unnest({_G8('t')}) AS g FROM d) GROUP BY ALL), n AS (SELECT instance_id, sum(n) AS total FROM a GROUP BY 1), m AS (SELECT instance_id, doc_id, sum(least(a.n, b.n)) AS matched FROM a JOIN b USING (g) GROUP BY ALL) SELECT instance_id, doc_id, total::BIGINT AS total, matched::BIGINT AS matched FROM m JOIN n USING (instance_id) WHERE 2 * matched >= total")
+def ngram8_hits(spark, sf_dir):
+    """Documents that hold at least half of the eight-token runs of a patch, of all patches and all documents."""
+    items = instances(spark, sf_dir, F.col("patch").alias("text")).withColumnRenamed("instance_id", "item_id")
+    return containment_join(items, docs(spark, sf_dir, "text")).withColumnRenamed("item_id", "instance_id")
+
+
 _SH = lambda c: f"CASE WHEN len({c}) = 0 THEN [] WHEN len({c}) < 4 THEN [array_to_string({c}, ' ')] ELSE list_distinct(list_transform(range(1, len({c}) - 2), lambda i: array_to_string({c}[i:i+3], ' '))) END"
 _JAC = f"k AS (SELECT id, regexp_extract_all(lower(q), '{text.TOKEN}') AS q, regexp_extract_all(lower(s), '{text.TOKEN}') AS s, contains(s, q) AS v FROM p), t AS (SELECT id, v, {_SH('q')} AS q, {_SH('s')} AS s FROM k), j AS (SELECT id, v, len(list_intersect(q, s)) AS i, len(q) + len(s) AS n FROM t)"
 

@@ -10,28 +10,90 @@ from leakscope.functions.repos import canonical_repo
 
 #: Names under which datasets keep each column, in order of preference.
 ALIASES = {
-    "instance_id": "instance_id task_id id problem_id".split(),
-    "repo": "repo repository repo_name".split(),
-    "base_commit": "base_commit base_sha commit".split(),
-    "patch": "patch fix_patch gold_patch canonical_solution solution code".split(),
-    "test_patch": "test_patch test tests test_list".split(),
-    "problem_statement": "problem_statement body prompt instruct_prompt text description question".split(),
+    "instance_id": "instance_id id task_id problem_id name".split(),
+    "repo": "repo repository source_repo project".split(),
+    "patch": "patch fix_patch solution canonical_solution gold_patch answer code reference_solution".split(),
+    "problem_statement": "problem_statement body description prompt text question instruct_prompt".split(),
+    "test_patch": "test_patch tests test test_list test_code".split(),
+    "base_commit": "base_commit commit_id base_sha".split(),
     "created_at": "created_at created date".split(),
 }
+#: What each kind of audit can't do without.
+REQUIRED = {"consensus": ("instance_id", "repo", "base_commit", "patch"), "pr_diff": ("instance_id", "repo", "patch"), "solution": ("instance_id", "patch")}
 PR_COLUMNS = "pr_number pull_number number".split()
-URL_COLUMNS = "pr_url pull_request_url html_url url issue_url link".split()
+#: Columns that may hold the link of a pull request, the first that does counts.
+URL_COLUMNS = "pr_url pull_request_url pull_url github_pr_url html_url url".split()
+LANGUAGE_COLUMNS = "language lang".split()
 
 
-def read_rows(spark: SparkSession, path: str, lenient: bool = False, array: bool = False) -> DataFrame:
-    """A Parquet, JSON-lines or JSON-array source by its suffix; malformed lines fail, or are left out if ``lenient``."""
+def _is_array(spark: SparkSession, path: str) -> bool:
+    """Whether the first sign of a JSON file opens an array; only the beginning of the file is read."""
+    first = spark.read.text(path).where("trim(value) != ''").limit(1).collect()
+    return bool(first) and first[0][0].lstrip("\ufeff \t").startswith("[")
+
+
+def read_rows(spark: SparkSession, path: str, lenient: bool = False, array: bool | None = None) -> DataFrame:
+    """A Parquet, JSON-lines or JSON-array source by its suffix; malformed lines fail, or are left out if ``lenient``.
+
+    A .json file is looked at to tell an array from lines, unless ``array`` says which.
+    """
     name = path.rstrip("/").lower()
     if name.endswith(".parquet"):
         return spark.read.parquet(path)
-    if name.endswith((".jsonl", ".ndjson")) or (name.endswith(".json") and not array):
-        return spark.read.option("mode", "DROPMALFORMED" if lenient else "FAILFAST").json(path)
-    if name.endswith(".json"):
-        return spark.read.option("multiLine", True).json(path)
-    raise ValueError(f"unknown format: {path}")
+    if not name.endswith((".jsonl", ".ndjson", ".json")):
+        raise ValueError(f"unknown format: {path}")
+    if name.endswith(".json") and (_is_array(spark, path) if array is None else array):
+        return spark.read.option("multiLine", True).option("mode", "DROPMALFORMED" if lenient else "FAILFAST").json(path)
+    return spark.read.option("mode", "DROPMALFORMED" if lenient else "FAILFAST").json(path)
+
+
+def column_names(spark: SparkSession, path: str) -> list[str]:
+    """The columns of a source; of Parquet from the footer, of JSON from its first lines."""
+    return spark.read.parquet(path).columns if path.rstrip("/").lower().endswith(".parquet") else read_rows(spark, path, lenient=True).columns
+
+
+def data_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length) of the data files under a folder, the largest first; their content isn't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{parquet,jsonl,ndjson,json}").load(folder)
+    return files.select("path", "length").orderBy(F.desc("length"), "path")
+
+
+def largest_file(spark: SparkSession, folder: str) -> str | None:
+    first = data_files(spark, folder).limit(1).collect()
+    return first[0].path if first else None
+
+
+def head(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows in a stated order; without one 'first' means nothing in a distributed table."""
+    if n < 1 or not order:
+        raise ValueError("a positive number of rows and an order are needed")
+    return rows.orderBy(*order).limit(n)
+
+
+def sample_size(text: str | int | None) -> int | None:
+    """A number of rows to sample, None for all of them; zero, negative and other texts are refused."""
+    if text is None or str(text).strip() == "":
+        return None
+    if not str(text).strip().isdigit() or int(text) < 1:
+        raise ValueError("a sample must be a positive whole number")
+    return int(text)
+
+
+def check_required(columns: list[str], kind: str, declared: dict[str, str] | None = None) -> None:
+    """Raises with the names that an audit of the ``kind`` misses under any alias."""
+    found = resolve(columns, declared)
+    missing = [c for c in REQUIRED[kind] if c not in found]
+    if missing:
+        raise ValueError(f"{kind} needs columns for {', '.join(missing)}")
+
+
+def group_key(df: DataFrame) -> Column:
+    """Language and repository of raw rows, as far as there are columns for them; '__all__' if there is nothing."""
+    one = lambda names: F.coalesce(*[F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in names if c in df.columns], F.lit(None).cast("string"))
+    repo = one(["repo", "repository", "source_repo"])
+    org = one(["org"])
+    repo = F.when(org.isNotNull() & ~repo.contains("/"), F.concat(org, F.lit("/"), repo)).otherwise(repo)
+    return F.coalesce(F.nullif(F.concat_ws("/", one([*LANGUAGE_COLUMNS, "_language"]), repo), F.lit("")), F.lit("__all__"))
 
 
 def read_shards(spark: SparkSession, paths: list[str], **how) -> DataFrame:

@@ -229,3 +229,27 @@ def test_first_of_each(spark):
     rows = spark.createDataFrame([("a", i) for i in range(500)] + [("b", 3), (None, 9), (None, 1)], "g string, x int")
     got = sorted(((r.g or "", r.x) for r in first_of_each(rows, "g", ["x"], 3).collect()))
     assert got == [("", 1), ("", 9), ("a", 0), ("a", 1), ("a", 2), ("b", 3)]
+
+
+def test_containment_of_runs(spark):
+    import random
+    from collections import Counter
+
+    from leakscope.operators.exposure import containment_join
+
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    items = {f"i{k}": " ".join(r.choices(words, k=r.randrange(0, 60))) for k in range(25)} | {"rep": "a b " * 30, "none": None, "short": "a b c"}
+    docs = {k: " ".join(r.choices(words, k=40)) for k in range(20)}
+    for k, t in enumerate(list(items.values())[:20]):
+        w = t.split()
+        docs[100 + k] = " ".join(docs[k].split()[:20] + w[r.randrange(0, 5) : len(w) - r.randrange(0, 25)] + docs[k].split()[20:])
+    docs |= {200: "a b " * 9, 201: "a b " * 40, 202: None, 203: ""}
+    def grams(t):
+        w = (t or "").split()
+        return Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    want = {(i, d, sum(grams(t).values()), sum((grams(t) & grams(u)).values())) for i, t in items.items() for d, u in docs.items() if grams(t) and 2 * sum((grams(t) & grams(u)).values()) >= sum(grams(t).values())}
+    i = spark.createDataFrame([*items.items(), ("rep", items["rep"])], "item_id string, text string")
+    d = spark.createDataFrame([*docs.items(), (None, "x")], "doc_id long, text string")
+    assert {tuple(x) for x in containment_join(i, d).collect()} == want and ("rep", 201) in {x[:2] for x in want} and len(want) > 5
+    assert containment_join(i.limit(0), d).count() == 0

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from leakscope.plans import report as R
 from leakscope.plans.audit import AuditConfig, audit, evidence_rows
-from leakscope.sources.instances import find_dataset, normalise, read_rows, read_shards, resolve, whole_number
+from leakscope.sources.instances import check_required, column_names, find_dataset, group_key, head, largest_file, normalise, read_rows, read_shards, resolve, sample_size, whole_number
 from leakscope.streaming.replication import watch_files
 
 I = "instance_id string, repo string, patch string, test_patch string, problem_statement string, pr_number int"
@@ -110,7 +110,13 @@ def test_reports(spark, tmp_path):
     assert "a\\|b" in R.markdown(made) and "t &lt;1&gt;" in R.page(made)
     assert R.read_facts(spark, str(path)).select("instance_id").first()[0] == "a|b"
     assert [f["section"] for f in R.findings(made)][:2] == ["risk", "source"] and R.findings(made | {"total": 0}) == []
-    assert "Nothing was audited" in R.markdown(made | {"total": 0})
+    assert "Nothing was audited" in R.markdown(made | {"total": 0}) and "Nothing was audited" in R.page(made | {"total": 0})
+    assert made["times"] == {"before": 0, "after": 0, "unknown": 1, "cutoff": "2024-03-15"} and len(made["histogram"]) == 7
+    full = made | {"deep": [{"instance_id": "<i>", "repo": "o/r", "risk": "high", "hits": 9}], "histogram": {"1-5": 2}, "not_evaluated": 1, "dropped": 3}
+    assert "&lt;i&gt;" in R.page(full) and "## Most copied" in R.markdown(full) and len(R.limitations(full)) == 4 and len(R.recommendations(full)) == 2
+    assert [R.safe_url(u) for u in ("https://a.example/b?c", "javascript:x", "http://a b", None, " HTTPS://A.B/c ")] == ["https://a.example/b?c", "", "", "", "HTTPS://A.B/c"]
+    assert R.summary_lines(made)[0].startswith("t <1>: 1 instances") and R.summary_lines(made | {"total": 0}) == ["t <1>: nothing was audited"]
+    assert [(r.name, r.total) for r in R.read_history(spark, str(tmp_path)).collect()] == [("t <1>", 1)]
     with pytest.raises(ValueError):
         path.write_text("{}") and R.read_json(path)
 
@@ -135,6 +141,21 @@ def test_layouts(spark, tmp_path):
     assert read_rows(spark, str(bad), lenient=True).count() == 1
     with pytest.raises(Exception):
         read_rows(spark, str(bad)).collect()
+    (tmp_path / "d.json").write_text('\n [{"id": "1"},\n {"id": "2"}]')
+    (tmp_path / "e.json").write_text('{"id": "1"}\n{"id": "2"}\n{"id": "3"}\n')
+    assert read_rows(spark, str(tmp_path / "d.json")).count() == 2 and read_rows(spark, str(tmp_path / "e.json")).count() == 3
+    assert largest_file(spark, str(tmp_path)).endswith("b.jsonl") and column_names(spark, str(tmp_path / "d.json")) == ["id"]
+    assert [sample_size(x) for x in ("5", " ", None, 7)] == [5, None, None, 7]
+    for wrong in ("0", "-3", "x", 0):
+        with pytest.raises(ValueError):
+            sample_size(wrong)
+    with pytest.raises(ValueError, match="base_commit"):
+        check_required(["id", "project", "answer"], "consensus")
+    check_required(["id", "project", "answer"], "pr_diff")
+    assert resolve(["task_id", "id", "prompt", "description", "test", "tests"]) == {"instance_id": "id", "problem_statement": "description", "test_patch": "tests"}
+    keys = spark.createDataFrame([("py", "o", "r"), ("", "", "p/q"), (None, None, None)], "lang string, org string, repo string")
+    assert [r[0] for r in keys.select(group_key(keys)).collect()] == ["py/o/r", "p/q", "__all__"]
+    assert [r.x for r in head(spark.range(20).withColumnRenamed("id", "x"), ["x"], 3).collect()] == [0, 1, 2]
     with pytest.raises(ValueError):
         read_rows(spark, "x.csv")
     with pytest.raises(ValueError):
