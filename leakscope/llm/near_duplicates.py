@@ -162,16 +162,16 @@ def near_duplicate_pairs(texts: DataFrame, ident: str, text: str, words: int = 5
 
 
 def near_duplicate_groups(texts: DataFrame, ident: str, text: str, words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """One row per id that has a class: (id, class_id, class_size, links, group_id).
+    """One row per id and class: (id, class_id, class_size, links, group_id).
 
-    ``links`` counts the classes its class is linked to; ``group_id`` is the least class reachable over links.
+    A class is named by the least of its ids, a group by the least of all ids reachable over links. ``links`` counts the
+    classes its class is linked to. See near_duplicate_classes.
     """
     members, links = near_duplicate_classes(texts, ident, text, words, threshold)
     links = links.persist()
-    sizes = members.groupBy("fp").agg(F.count("*").alias("class_size"))
+    sizes = members.groupBy("fp").agg(F.count("*").alias("class_size"), F.min("id").alias("class_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("links"))
     roots = connected_components(links).withColumnRenamed("node", "fp")
-    classes = sizes.join(degree, "fp", "left").join(roots, "fp", "left")
-    return members.join(classes, "fp").select(
-        "id", F.col("fp").alias("class_id"), "class_size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "fp").alias("group_id")
-    )
+    classes = sizes.join(degree, "fp", "left").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).persist()
+    groups = classes.groupBy("root").agg(F.min("class_id").alias("group_id"))
+    return members.join(classes.join(groups, "root"), "fp").select("id", "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("links"), "group_id")

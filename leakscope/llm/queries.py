@@ -39,7 +39,7 @@ def p1_found(spark, sf_dir):
 
 
 def p1_groups(spark, sf_dir):
-    return near_duplicate_groups(table(spark, sf_dir, "instances"), "instance_id", "patch", words=3, threshold=0.6)
+    return near_duplicate_groups(table(spark, sf_dir, "instances"), "instance_id", "patch", words=3, threshold=0.6).withColumnRenamed("id", "instance_id")
 
 
 def p3_found(spark, sf_dir):
@@ -127,6 +127,8 @@ def _grams(words: str, n: int) -> str:
 
 SQL: dict[str, str] = {
     "p1_found": f"WITH i AS (SELECT DISTINCT instance_id, {_W % 'patch'} AS w FROM instances), s AS (SELECT instance_id, {_grams('w', 3)} AS g FROM i), n AS (SELECT instance_id, len(g) AS n FROM s), u AS (SELECT instance_id, unnest(g) AS g FROM s), c AS (SELECT a.instance_id AS x, b.instance_id AS y, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.instance_id < b.instance_id GROUP BY ALL) SELECT x AS instance_id_a, y AS instance_id_b FROM c JOIN n a ON a.instance_id = x JOIN n b ON b.instance_id = y WHERE k >= 0.6 * (a.n + b.n - k)",
+    "p1_groups": f"WITH RECURSIVE i AS (SELECT DISTINCT instance_id, {_W % 'patch'} AS w FROM instances), s AS (SELECT instance_id, list_sort({_grams('w', 3)}) AS g FROM i WHERE len(w) >= 3), k AS (SELECT min(instance_id) AS class_id, count(*) AS class_size, g FROM s GROUP BY g), u AS (SELECT class_id, len(g) AS n, unnest(g) AS g FROM k), c AS (SELECT a.class_id AS x, b.class_id AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.class_id <> b.class_id GROUP BY ALL), e AS (SELECT x, y FROM c WHERE k >= 0.6 * (n + m - k)), r AS (SELECT class_id AS x, class_id AS y FROM k UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y), t AS (SELECT x, min(y) AS group_id FROM r GROUP BY x), d AS (SELECT x, count(*) AS links FROM e GROUP BY x) SELECT instance_id, class_id, class_size::BIGINT AS class_size, coalesce(links, 0)::BIGINT AS links, group_id FROM s JOIN k USING (g) JOIN t ON t.x = class_id LEFT JOIN d ON d.x = class_id",
+    "p5_shared": "WITH i AS (SELECT DISTINCT instance_id, patch, md5(patch) AS p FROM instances WHERE length(patch) >= 200), t AS (SELECT p, any_value(patch) AS patch, count(*) AS copies FROM i GROUP BY p), u AS (SELECT p, k, md5(substring(patch, k::INT, 200)) AS h FROM (SELECT p, patch, unnest(range(1, length(patch) - 198)) AS k FROM t)), s AS (SELECT h FROM u GROUP BY h HAVING count(DISTINCT p) > 1), v AS (SELECT p, k, lead(k) OVER w AS after, lag(k) OVER w AS before FROM u JOIN s USING (h) WINDOW w AS (PARTITION BY p ORDER BY k)), c AS (SELECT p, sum(least(200, coalesce(after - k, 200))) AS shared, count(*) FILTER (before IS NULL OR k - before > 200) AS stretches FROM v GROUP BY p) SELECT instance_id, length(i.patch)::INT AS n_chars, CASE WHEN copies > 1 THEN length(i.patch) ELSE shared END::BIGINT AS shared_chars, round(CASE WHEN copies > 1 THEN length(i.patch) ELSE shared END / length(i.patch), 6) AS shared_share, CASE WHEN copies > 1 THEN 1 ELSE stretches END::BIGINT AS stretches FROM i JOIN t USING (p) LEFT JOIN c USING (p) WHERE copies > 1 OR shared IS NOT NULL",
     "p3_found": "WITH i AS (" + " UNION ".join(f"SELECT DISTINCT instance_id, '{f}' AS field, {_W % f} AS w FROM instances" for f in FIELDS) + f"), d AS (SELECT doc_id, {_W % 'text'} AS w FROM documents), fi AS (SELECT instance_id, field, len(w) AS nw, {_grams('w', 5)} AS g, {_grams('w', 20)} AS h FROM i), fd AS (SELECT doc_id, {_grams('w', 5)} AS g, {_grams('w', 20)} AS h FROM d), a AS (SELECT instance_id, field, len(g) AS n, unnest(g) AS g FROM fi WHERE nw >= 40), b AS (SELECT doc_id, unnest(g) AS g FROM fd), x AS (SELECT doc_id, instance_id, field FROM a JOIN b USING (g) GROUP BY doc_id, instance_id, field, n HAVING 2 * count(*) >= n), y AS (SELECT DISTINCT doc_id, instance_id, field FROM (SELECT instance_id, field, unnest(h) AS h FROM fi) JOIN (SELECT doc_id, unnest(h) AS h FROM fd) USING (h)) SELECT * FROM x UNION SELECT * FROM y",
     "p5_found": "WITH i AS (SELECT DISTINCT instance_id, patch FROM instances WHERE length(patch) >= 200), u AS (SELECT DISTINCT instance_id, md5(substring(patch, k::INT, 200)) AS h FROM (SELECT instance_id, patch, unnest(range(1, length(patch) - 198)) AS k FROM i)) SELECT DISTINCT a.instance_id AS instance_id_a, b.instance_id AS instance_id_b FROM u a JOIN u b ON a.h = b.h AND a.instance_id < b.instance_id",
 }

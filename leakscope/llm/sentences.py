@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,22 +42,67 @@ _SPACE = re.compile(r"\s*")
 _WORD = re.compile(r"\S+")
 
 #: Fixed lists of abbreviations by language. ``never`` doesn't end a sentence, ``number`` doesn't before a digit,
-#: ``end`` may: it does before a capital, a quotation or a name in code.
+#: ``end`` may: it does before a capital, a quotation or a name in code. ``early`` are those after which a clause that has just
+#: begun goes on, whatever follows. ``split`` has first parts of abbreviations written in parts with what follows them, and
+#: ``second`` such pairs that never end a sentence.
 ABBREVIATIONS = {
-    "en": {"never": "e.g i.e cf v vs viz Mr Mrs Ms Dr Prof St Gen Rev Hon Mt al", "number": "No Nos Fig Figs fig figs sec Sec secs ref Ref refs approx Vol vol p pp ch Ch eq Eq Art art par", "end": "etc Inc Ltd Co Corp Bros Jr Sr U.S U.K a.m p.m A.M P.M dept est"},
-    "de": {"never": "bzw vgl z.B d.h u.a s.o sog evtl ggf inkl zzgl Hr Fr Dipl Ing", "number": "Nr Abb Kap Bd Tab Abs ca S Art Ziff", "end": "usw etc GmbH"},
-    "fr": {"never": "p.ex c.-à-d cf MM Mme Mlle Me", "number": "art env fig chap n nº p vol", "end": "etc"},
-    "es": {"never": "p.ej p.ex EE Sr Sra Srta D Dña ej ex", "number": "núm aprox pág págs art fig cap vol n.º", "end": "etc UU EE.UU Ud Uds"},
-    "ru": {"never": "т.е т.к т.н См см напр им ул е", "number": "рис ок стр гл табл п пп ст", "end": "г гг др т.д т.п руб тыс млн"},
+    "en": {"never": "e.g i.e cf v vs viz Mr Mrs Ms Dr Prof St Gen Rev Hon Mt al", "number": "No Nos Fig Figs fig figs sec Sec secs ref Ref refs approx ca Vol vol p pp ch Ch eq Eq Art art par", "end": "etc Inc Ltd Co Corp Bros Jr Sr U.S U.K a.m p.m A.M P.M dept est", "early": "a.m p.m A.M P.M U.S U.K", "split": {"U": "S K", "a": "m", "e": "g", "i": "e"}, "second": "e.g i.e"},
+    "de": {"never": "bzw vgl z.B d.h u.a s.o sog evtl ggf inkl zzgl Hr Fr Dipl Ing Dr Prof St", "number": "Nr Abb Kap Bd Tab Abs ca S Art Ziff Vol", "end": "usw etc GmbH", "split": {"z": "B", "d": "h", "u": "a Ä", "s": "o u"}, "second": "z.B d.h u.a s.o"},
+    "fr": {"never": "p.ex c.-à-d cf MM Mme Mlle Me Dr Prof St", "number": "art env fig chap n nº p vol", "end": "etc", "split": {"p": "ex", "c": "-à-d"}, "second": "p.ex"},
+    "es": {"never": "p.ej p.ex EE Sr Sra Srta D Dña ej ex Dr Dra Prof", "number": "núm aprox pág págs art fig cap vol n.º", "end": "etc UU EE.UU Ud Uds", "early": "UU EE.UU", "split": {"p": "ej ex", "EE": "UU"}, "second": "p.ej p.ex"},
+    "ru": {"never": "т.е т.к т.н См см напр им ул е", "number": "рис ок стр гл табл п пп ст", "end": "г гг др т.д т.п руб тыс млн", "early": "г гг", "split": {"т": "е д п к н", "и": "т"}, "second": "т.е т.к т.н"},
+    "hi": {"never": "डॉ प्रो पं", "number": "नं सं", "end": ""},
+    "ar": {"never": "د أ", "number": "ص", "end": ""},
+    "th": {"never": "ดร พ.ศ ค.ศ น.ส", "number": "", "end": ""},
 }
-_NEVER = frozenset(w for x in ABBREVIATIONS.values() for w in x["never"].split())
-_NUMBER = frozenset(w for x in ABBREVIATIONS.values() for w in x["number"].split())
-_END = frozenset(w for x in ABBREVIATIONS.values() for w in x["end"].split())
-#: Those after which a clause that has just begun goes on, whatever follows.
-_EARLY = frozenset("a.m p.m A.M P.M г гг U.S U.K UU EE.UU".split())
-#: First parts of abbreviations written in parts, and what follows them.
-_SPLIT = {"z": "B", "d": "h", "u": "a Ä", "s": "o u", "p": "ej ex", "т": "е д п к н", "и": "т", "c": "-à-d", "U": "S K", "a": "m", "EE": "UU", "e": "g", "i": "e"}
-_SECOND_NEVER = frozenset([("z", "B"), ("d", "h"), ("u", "a"), ("p", "ej"), ("p", "ex"), ("т", "е"), ("т", "к"), ("т", "н"), ("e", "g"), ("i", "e"), ("s", "o")])
+#: Fixed lists of frequent words by which the languages of Latin letters are told apart.
+FREQUENT = {
+    "en": "the and of to is that in it for with was on not this are be we you from when but which have",
+    "de": "der die das und ist nicht ein eine mit auf für den dem zu von wird werden nur bei auch wenn seit sich hat als noch nach im am",
+    "fr": "le la les et est une des dans pour que pas avec sur au aux ce cette quand mais qui nous vous",
+    "es": "el los las y es una de en para que con por del se pero cuando como más está son lo",
+}
+_BY_WORD: dict[str, list[str]] = {}
+for _lang, _ws in FREQUENT.items():
+    for _w in _ws.split():
+        _BY_WORD.setdefault(_w, []).append(_lang)
+_LETTERS = re.compile(r"[^\W\d_]+")
+_SCRIPTS = (("ru", re.compile("[а-яё]", re.I)), ("hi", re.compile("[ऀ-ॿ]")), ("ar", re.compile("[؀-ۿ]")), ("th", re.compile("[฀-๿]")))
+#: Least share of a language among the frequent words for its abbreviations to count.
+SPOKEN = 0.1
+
+
+def languages(text: str) -> frozenset[str]:
+    """The languages a text is written in, by its scripts and its frequent words; all of them if nothing tells.
+
+    A text may quote another language, so each with a share of SPOKEN counts.
+    """
+    hits = dict.fromkeys(FREQUENT, 0)
+    for w in _LETTERS.findall(text.lower()):
+        for lang in _BY_WORD.get(w, ()):
+            hits[lang] += 1
+    total = sum(hits.values())
+    found = {lang for lang, n in hits.items() if n and n >= SPOKEN * total}
+    if not text.isascii():
+        found |= {lang for lang, script in _SCRIPTS if script.search(text)}
+    return frozenset(found or ABBREVIATIONS)
+
+
+class Suppression:
+    """The abbreviations of some languages."""
+
+    def __init__(self, langs: frozenset[str]):
+        lists = [x for lang, x in ABBREVIATIONS.items() if lang in langs]
+        words = lambda kind: frozenset(w for x in lists for w in x.get(kind, "").split())
+        self.never, self.number, self.end, self.early = (words(k) for k in ("never", "number", "end", "early"))
+        self.split: dict[str, set[str]] = {}
+        for x in lists:
+            for first, rest in x.get("split", {}).items():
+                self.split.setdefault(first, set()).update(rest.split())
+        self.second = frozenset(tuple(w.split(".", 1)) for w in words("second"))
+
+
+suppression = lru_cache(maxsize=256)(Suppression)
 _SECOND = re.compile(r"([^\W\d_]+)\.\s+([^\W\d_]+)\Z")
 #: Month names that follow an ordinal with a full stop.
 _MONTHS = frozenset("Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember januar februar marts april maj juni juli august september oktober november december".split())
@@ -107,7 +153,7 @@ def _glued(text: str, stop: int, nxt: int, end: int, opened: set[int]) -> bool:
     return ch.isalpha() and not ch.islower() and not ch.isascii()
 
 
-def _ends_at_stop(text: str, stop: int, nxt: int, end: int, begin: int) -> bool:
+def _ends_at_stop(text: str, stop: int, nxt: int, end: int, begin: int, rules: Suppression) -> bool:
     """Whether the full stop at ``stop``, followed by blanks up to ``nxt``, ends the sentence that began at ``begin``."""
     m = _LAST_WORD.search(text, max(begin, stop - 24), stop)
     word = re.split(r"['’](?=[^\W\d_]{2})", m.group())[-1] if m else ""
@@ -117,26 +163,26 @@ def _ends_at_stop(text: str, stop: int, nxt: int, end: int, begin: int) -> bool:
         if word.isdigit():
             if follows and follows.group() in _MONTHS:
                 return False
-        elif word in _SPLIT and follows and follows.group() in _SPLIT[word].split():
+        elif follows and follows.group() in rules.split.get(word, ()):
             return False
         two = _SECOND.search(text, max(begin, stop - 24), stop)
         second = two and two.groups()
-        if second in _SECOND_NEVER:
+        if second in rules.second:
             return False
-        early = word in _EARLY or (second and "".join((second[0], ".", second[1])) in _EARLY)
-        may_end = word in _END or (second and f"{second[0]}.{second[1]}" in _END)
+        early = word in rules.early or (second and ".".join(second) in rules.early)
+        may_end = word in rules.end or (second and ".".join(second) in rules.end)
         if may_end or early:
             if early and len(_WORD.findall(text, begin, stop)) <= 4:
                 return False
             return not _goes_on(text, nxt, end)
-        if word in _NEVER or (word in _NUMBER and ch.isdigit()):
+        if word in rules.never or (word in rules.number and ch.isdigit()):
             return False
         if len(word) == 1 and word.isupper() and word.isascii() and ch.isupper() and not (m.start() > begin and text[m.start() - 1] in "`_"):
             return False
     return not _goes_on(text, nxt, end)
 
 
-def _paragraph(text: str, start: int, end: int, ends: list[int]) -> None:
+def _paragraph(text: str, start: int, end: int, ends: list[int], rules: Suppression) -> None:
     """Ends of the sentences of one paragraph, whose last character is at ``end - 1``."""
     spans = _pairs(text, start, end) if _OPENER.search(text, start, end) else []
     begin, skip, k = start, start, 0
@@ -174,7 +220,7 @@ def _paragraph(text: str, start: int, end: int, ends: list[int]) -> None:
             if nxt == stop:
                 if not _glued(text, at, nxt, end, {a for a, _ in spans}):
                     continue
-            elif not _ends_at_stop(text, at, nxt, end, begin):
+            elif not _ends_at_stop(text, at, nxt, end, begin, rules):
                 continue
         elif set(mark) <= {".", "…"}:
             if nxt == stop or text[at - 1 : at].isspace() or not text[nxt].isupper() or _CODE.match(text, nxt, end):
@@ -195,9 +241,10 @@ def sentence_ends(text: str) -> list[int]:
 
     Blank lines end a sentence; a heading and a list item are one each; a single line break in a paragraph ends none.
     Blank texts have none. Marks inside a matched quotation or bracket end nothing; the sentence goes on after it, unless
-    it closed with a final mark and a new one visibly begins.
+    it closed with a final mark and a new one visibly begins. Abbreviations are those of the languages the text is written in.
     """
     ends: list[int] = []
+    rules = suppression(languages(text))
     first = last = -1
     item = False
 
@@ -207,7 +254,7 @@ def sentence_ends(text: str) -> list[int]:
             if item:
                 ends.append(last)
             else:
-                _paragraph(text, first, last, ends)
+                _paragraph(text, first, last, ends, rules)
         first, item = -1, False
 
     for m in _LINE.finditer(text):

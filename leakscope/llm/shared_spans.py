@@ -178,23 +178,133 @@ def shared_span_pairs(texts: DataFrame, ident: str, text: str, length: int = 200
     return across.union(within).distinct()
 
 
+#: Different surroundings of one anchor that a task compares in memory; those of a more common one are spread over all tasks.
+VARIANTS = 4096
+
+
+def _block_rows(k: int, length: int):
+    """(h, fp, pos, left, right) of each anchor of a text that other texts have too, with what may belong to a stretch around it."""
+    reach = length - k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hs, fps, at, left, right = [], [], [], [], []
+            for fp, text, wanted in zip(b.column("fp").to_pylist(), b.column("t").to_pylist(), b.column("hs").to_pylist()):
+                h, pos = anchors(code_points(text), k, length)
+                keep = np.isin(h.view(np.int64), np.array(wanted, np.int64))
+                for x, p in zip(h[keep].view(np.int64).tolist(), pos[keep].tolist()):
+                    hs.append(x)
+                    fps.append(fp)
+                    at.append(p)
+                    left.append(text[max(0, p - reach) : p])
+                    right.append(text[p + k : p + length])
+            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(fps, pa.int64()), pa.array(at, pa.int32()), pa.array(left, pa.string()), pa.array(right, pa.string())], names=["h", "fp", "pos", "left", "right"])
+
+    return run
+
+
+def _shared_offsets(h: np.ndarray, low: np.ndarray, high: np.ndarray, left: list[str], right: list[str], reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest offset at which a window around an anchor also stands in another text; -1 if none does.
+
+    At offset o the window has o characters before the anchor and reach - o behind it. Equal windows are found by hashes
+    of both parts, which grow by a character a step, for all rows at once.
+    """
+    n = len(h)
+    chars = np.zeros((2, n, reach), np.uint64)
+    size = np.zeros((2, n), np.int64)
+    for i, (x, y) in enumerate(zip(left, right)):
+        x, y = code_points(x)[::-1], code_points(y)
+        size[:, i] = len(x), len(y)
+        chars[0, i, : len(x)], chars[1, i, : len(y)] = x, y
+    parts = np.zeros((2, reach + 1, n), U)
+    for o in range(reach):
+        parts[:, o + 1] = mix((parts[:, o] + chars[:, :, o] + U(1)) * U(0x9E3779B97F4A7C15))
+    first, last = np.full(n, -1), np.full(n, -1)
+    for o in range(reach + 1):
+        rows = np.flatnonzero((size[0] >= o) & (size[1] >= reach - o))
+        if not len(rows):
+            continue
+        key = mix(h[rows].view(U) + mix(parts[0, o, rows] + U(o))) + parts[1, reach - o, rows]
+        order = np.argsort(key, kind="stable")
+        start = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+        differ = np.minimum.reduceat(low[rows][order], start) != np.maximum.reduceat(high[rows][order], start)
+        hit = rows[order][np.repeat(differ, np.diff(np.r_[start, len(rows)]))]
+        first[hit] = np.where(first[hit] < 0, o, first[hit])
+        last[hit] = o
+    return first, last
+
+
+def _compare_variants(k: int, length: int):
+    """Rows sorted by anchor; whole anchors are compared together, the last one waits for the next batch."""
+
+    def done(table: pa.Table) -> pa.RecordBatch:
+        cols = {c: table.column(c).to_numpy() for c in ("h", "low", "high")}
+        first, last = _shared_offsets(cols["h"], cols["low"], cols["high"], table.column("left").to_pylist(), table.column("right").to_pylist(), length - k)
+        keep = np.flatnonzero(last >= 0)
+        return pa.RecordBatch.from_arrays([table.column("v").combine_chunks().take(pa.array(keep)), pa.array(first[keep].astype(np.int32)), pa.array(last[keep].astype(np.int32))], names=["v", "first", "last"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            h = t.column("h").to_numpy()
+            cut = int(np.searchsorted(h, h[-1])) if len(h) else 0
+            if cut:
+                yield done(t.slice(0, cut))
+            held = t.slice(cut)
+        if held is not None and held.num_rows:
+            yield done(held)
+
+    return run
+
+
+def shared_spans(texts: DataFrame, ident: str, text: str, length: int = 200, k: int = 128) -> tuple[DataFrame, DataFrame]:
+    """(members, spans): members as in shared_span_classes, spans (fp, s, e) cover all that a class of texts shares with others.
+
+    Linear in the text however many texts share a block: no pair of texts is ever made. Any stretch of ``length`` holds an
+    anchor, the same in every text. The surroundings of the anchors that several classes have are the reference blocks,
+    one for each different content, so copies of a common block fold into one with partial aggregation. A block of several
+    classes is shared as a whole. The others, at the ends of shared stretches, are compared with the blocks of their anchor
+    only, by hashes of their windows; where an anchor has more than VARIANTS blocks, window by window in one aggregate.
+    """
+    reach = length - k
+    src = spread(texts.select(F.col(ident).alias("id"), F.col(text).alias("t")).where("id is not null").where(F.length("t") >= length)).withColumn("fp", F.xxhash64("t"))
+    one = src.select("fp", "t").dropDuplicates(["fp"]).persist()
+    rows = one.mapInArrow(_anchor_rows(k, length), "h long, fp long")
+    shared = rows.groupBy("h").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low != high").select("h")
+    mine = rows.join(shared, "h").groupBy("fp").agg(F.collect_set("h").alias("hs"))
+    blocks = one.join(mine, "fp").select("fp", "t", "hs").mapInArrow(_block_rows(k, length), "h long, fp long, pos int, left string, right string").withColumn("v", F.xxhash64("h", "left", "right")).persist()
+    variants = blocks.groupBy("h", "v", "left", "right").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).persist()
+    whole = variants.where("low != high").select("v", F.greatest(F.lit(0), F.lit(reach) - F.length("right")).alias("first"), F.length("left").alias("last")).where("first <= last")
+    counts = variants.groupBy("h").agg(F.count("*").alias("n"), F.count_if(F.col("low") == F.col("high")).alias("single")).where("n > 1 and single > 0").select("h", "n")
+    open_ = variants.join(counts, "h")
+    few = open_.where(F.col("n") <= VARIANTS).select("h", "v", "low", "high", "left", "right").repartition("h").sortWithinPartitions("h").mapInArrow(_compare_variants(k, length), "v long, first int, last int")
+    offsets = F.explode(F.sequence(F.greatest(F.lit(0), F.lit(reach) - F.length("right")), F.length("left")))
+    many = open_.where((F.col("n") > VARIANTS) & (F.length("left") + F.length("right") >= reach)).select("h", "v", "low", "high", "left", "right", offsets.alias("o"))
+    window = F.xxhash64("h", "o", F.substr("left", F.length("left") - F.col("o") + 1), F.substr("right", F.lit(1), F.lit(reach) - F.col("o")))
+    many = many.select("v", "o", "low", "high", window.alias("w"))
+    hot = many.groupBy("w").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("w")
+    most = many.select("v", "o", "w").join(hot, "w").groupBy("v").agg(F.min("o").alias("first"), F.max("o").alias("last"))
+    found = whole.union(few).union(most).groupBy("v").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    spans = blocks.select("fp", "v", "pos").join(found, "v").select("fp", (F.col("pos") - F.col("last")).alias("s"), (F.col("pos") + F.lit(length) - F.col("first")).alias("e"))
+    return src.select("id", "fp", F.length("t").alias("n")).distinct(), spans.distinct()
+
+
 def shared_share(texts: DataFrame, ident: str, text: str, length: int = 200) -> DataFrame:
-    """(id, n_chars, shared_chars, shared_share, partners) of each id that shares a stretch with another.
+    """(id, n_chars, shared_chars, shared_share, stretches) of each id that shares a stretch with another.
 
-    ``shared_chars`` counts the characters inside any shared stretch once; ``partners`` counts other classes of texts.
-    A text that stands under several ids is shared as a whole.
+    ``shared_chars`` counts the characters inside any shared stretch once; ``stretches`` the parts of the text they form.
+    A text that stands under several ids is shared as a whole. See shared_spans for what is ignored and how it scales.
     """
-    members, links = shared_span_classes(texts, ident, text, length)
-    links = links.persist()
-    spans = links.select(F.col("a").alias("fp"), F.explode("sa").alias("x")).union(links.select(F.col("b").alias("fp"), F.explode("sb").alias("x"))).select("fp", "x.s", "x.e").distinct()
+    members, spans = shared_spans(texts, ident, text, length)
     before = Window.partitionBy("fp").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     covered = (
-        spans.withColumn("done", F.coalesce(F.max("e").over(before), F.lit(0)))
+        spans.withColumn("done", F.coalesce(F.max("e").over(before), F.lit(-1)))
         .groupBy("fp")
-        .agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("s", "done"))).alias("shared"))
+        .agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("s", "done"))).alias("shared"), F.count_if(F.col("s") > F.col("done")).alias("stretches"))
     )
-    partners = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("partners"))
     sizes = members.groupBy("fp").agg(F.count("*").alias("copies"))
-    rows = members.join(sizes, "fp").join(covered, "fp", "left").join(partners, "fp", "left").where("copies > 1 or shared is not null")
-    shared = F.when(F.col("copies") > 1, F.col("n")).otherwise(F.col("shared")).cast("long")
-    return rows.select("id", F.col("n").alias("n_chars"), shared.alias("shared_chars"), F.round(shared / F.col("n"), 6).alias("shared_share"), F.coalesce("partners", F.lit(0)).alias("partners"))
+    rows = members.join(sizes, "fp").join(covered, "fp", "left").where("copies > 1 or shared is not null")
+    copied = F.col("copies") > 1
+    shared = F.when(copied, F.col("n")).otherwise(F.col("shared")).cast("long")
+    return rows.select("id", F.col("n").alias("n_chars"), shared.alias("shared_chars"), F.round(shared / F.col("n"), 6).alias("shared_share"), F.when(copied, 1).otherwise(F.col("stretches")).cast("long").alias("stretches"))

@@ -144,6 +144,28 @@ def test_shared_spans_as_by_brute_force(spark):
         assert shares.get(k, 0) == sum(cover)
 
 
+@pytest.mark.parametrize("variants", [4096, 3])
+def test_common_block_of_many_texts(spark, monkeypatch, variants):
+    """A header in each text, parts of it in some, a block twice in one text only: no pair is made, coverage is exact."""
+    monkeypatch.setattr("leakscope.llm.shared_spans.VARIANTS", variants)
+    r = random.Random(11)
+    noise = lambda n: "".join(r.choices("abcdefgh é汉😀", k=n))
+    head, own = noise(420), noise(300)
+    values = [noise(r.randrange(0, 150)) + head[r.randrange(0, 60) : r.randrange(300, 421)] + noise(r.randrange(0, 150)) for _ in range(40)]
+    values += [own + noise(40) + own, head[:199] + noise(300), noise(250) + head[150:], values[0]]
+    ids = {f"d{i:03}": v for i, v in enumerate(values)}
+    sets = {k: {v[i : i + 200] for i in range(len(v) - 199)} for k, v in ids.items()}
+    got = {x.id: x for x in shared_share(frame(spark, values), "id", "t", 200).collect()}
+    for k, v in ids.items():
+        others = set().union(*(s for j, s in sets.items() if j != k))
+        cover = [False] * len(v)
+        for i in range(len(v) - 199):
+            if v[i : i + 200] in others:
+                cover[i : i + 200] = [True] * 200
+        assert (got[k].shared_chars if k in got else 0) == sum(cover)
+        assert (got[k].stretches if k in got else 0) == sum(b and not a for a, b in zip([False, *cover], cover))
+
+
 def leak_brute(items, docs):
     out = set()
     for (i, f), t in items.items():

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leakscope.llm.mixing import BUCKETS, fit_classifier, mix, mixture_report
 from leakscope.llm.packing import best_fit_decreasing, exchange_report, lower_bound, pack, packing_report
 from leakscope.llm.personal_data import LIKELY, candidates, learn, personal_candidates, personal_data, redacted
-from leakscope.llm.sentences import sentence_ends, sentences
+from leakscope.llm.sentences import ABBREVIATIONS, languages, sentence_ends, sentences
 from leakscope.llm.tokens import default_tokenizer, encoding, token_counts
 
 
@@ -50,6 +50,22 @@ def test_sentences(text, want):
     assert cut(text) == want
 
 
+@pytest.mark.parametrize("text,want", [
+    ("He gave it to Me. Then the man left with it.", ["He gave it to Me.", "Then the man left with it."]),
+    ("Le dossier de Me. Durand est dans la salle. Fin.", ["Le dossier de Me. Durand est dans la salle.", "Fin."]),
+    ("Das ist die Datei z. B. für den Test. Gut.", ["Das ist die Datei z. B. für den Test.", "Gut."]),
+    ("The end of z. But not that.", ["The end of z.", "But not that."]),
+    ("ดร. สมชาย", ["ดร. สมชาย"]),
+])
+def test_abbreviations_by_language(text, want):
+    assert cut(text) == want
+
+
+def test_languages():
+    assert languages("the cat is on the mat") == {"en"} and languages("der Hund und die Katze") == {"de"} and "ru" in languages("это он") and languages("x = 1") == frozenset(ABBREVIATIONS)
+    assert languages("the end of this and that. Das ist nicht die Datei, auch nicht der Ordner.") == {"en", "de"}
+
+
 def test_sentence_rows(spark):
     df = spark.createDataFrame([(1, "A b. C d.", 5), (1, "A b. C d.", 5), (2, None, 5), (None, "x.", 5), (3, " ", 5), (4, "x " * 50_000 + ". Y.", 5)], "doc_id long, body string, number int")
     got = defaultdict(list)
