@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from leakscope.functions import text
 
 
-def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
+def runs(hashes: np.ndarray, n: int) -> np.ndarray:
     """One hash for each n consecutive ones."""
     if n == 1 or len(hashes) < n:
         return hashes if n == 1 else hashes[:0]
@@ -35,7 +35,7 @@ def _overlaps(n: int):
         for b in batches:
             total, matched = [], []
             for q, s in zip(_lists(b.column("q")), _lists(b.column("s"))):
-                q, s = _runs(q, n), _runs(s, n)
+                q, s = runs(q, n), runs(s, n)
                 (x, i), (y, j) = np.unique(q, return_counts=True), np.unique(s, return_counts=True)
                 _, at, to = np.intersect1d(x, y, assume_unique=True, return_indices=True)
                 total.append(len(q))

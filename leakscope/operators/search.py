@@ -55,7 +55,7 @@ def candidate_files(patches: DataFrame, files: DataFrame) -> DataFrame:
     identifier, counted over all files; whether they hold the others is looked up in the file's own set. So a frequent
     identifier never multiplies, and an identifier that no file has ends the search of its patch. Null ids, patches and texts give nothing.
     """
-    queries = search_identifiers(patches).select("instance_id", "repo", F.array_distinct("ids").alias("ids"))
+    queries = search_identifiers(patches).select("instance_id", "repo", F.array_distinct("ids").alias("ids")).persist()
     terms = queries.select("instance_id", "repo", "ids", F.explode("ids").alias("w"))
     words = files.select("doc_id", "file_repo", F.explode(F.array_distinct(F.filter(text.words("text"), distinctive))).alias("w"))
     words = words.join(terms.select("w").distinct(), "w", "left_semi").persist()

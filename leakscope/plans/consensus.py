@@ -32,10 +32,10 @@ def statement_files(instances: DataFrame, files: DataFrame) -> DataFrame:
     ``instances`` has (instance_id, problem_statement), ``files`` (doc_id, text).
     """
     c = instances.select(F.col("instance_id").alias("id"), statement_chunk(F.col("problem_statement")).alias("pattern")).where("pattern is not null")
-    d = files.select(F.col("doc_id").alias("text_id"), "text")
-    bare = d.select("text_id", text.collapse(F.translate("text", "#/", "  ")).alias("text"))
-    hits = substring_join(c, d).union(substring_join(c.select("id", text.collapse("pattern").alias("pattern")), bare))
-    return hits.distinct().select(F.col("id").alias("instance_id"), F.col("text_id").alias("doc_id"))
+    bare = lambda x: text.collapse(F.translate(x, "#/", "  "))
+    match = lambda t, p: F.contains(t, p) | F.contains(bare(t), text.collapse(p))
+    hits = substring_join(c, files.select(F.col("doc_id").alias("text_id"), "text"), match=match, form=bare)
+    return hits.select(F.col("id").alias("instance_id"), F.col("text_id").alias("doc_id"))
 
 
 def line_methods(instances: DataFrame, files: DataFrame) -> DataFrame:
