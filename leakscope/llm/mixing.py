@@ -233,8 +233,8 @@ def _mixture(documents: DataFrame, targets: DataFrame, ident: str, text: str, so
         x = sums(_expected(n, caps, start, moves))
         off, matrix = x[:n] - want, x[n:].reshape(n, n)
         if moves and np.square(off).sum() > last:
-            moves.pop()  # the last step led away
-            break
+            moves[-1] = moves[-1] / 2  # it led too far
+            continue
         fitted = x[:n]
         if np.abs(off).max() <= 1e-3 * size or (moves and np.square(off).sum() > 0.99 * last):
             break
