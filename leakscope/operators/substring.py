@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from leakscope.functions import text as T
 from leakscope.operators.exposure import runs
+from leakscope.session import small
 
 #: Characters of the keys of patterns without a whole word inside.
 CHARS = 4
@@ -44,7 +45,8 @@ def substring_join(patterns: DataFrame, texts: DataFrame, words: int = 3, match:
     aren't used; a pattern with fewer inner words is keyed by all it has. One without any, such as a phrase in a script
     that doesn't part words, is keyed by one run of CHARS of its characters, or by all of them if it is shorter; texts are cut into
     such runs only if there are such patterns. Equal patterns and texts are compared once. Nulls and empty strings
-    match nothing.
+    match nothing. The keys of few patterns are broadcast (see session.small), so that the windows of the texts never leave their
+    task; those of many meet them in a shuffle.
 
     ``match`` (text, pattern) may decide by another form of both, as long as it keeps the words and ``form`` of a
     pattern stands in ``form`` of every text that it matches.
@@ -54,21 +56,21 @@ def substring_join(patterns: DataFrame, texts: DataFrame, words: int = 3, match:
     sized = q.where(F.size("w") > 0).withColumn("n", F.least(F.size("w"), F.lit(words)))
     windows = sized.select("p", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))).alias("k"))
     best = Window.partitionBy("p").orderBy(F.desc(F.length("k")), "k")
-    keyed = windows.withColumn("r", F.row_number().over(best)).where("r = 1").select("p", "n", F.xxhash64(F.split("k", " ")).alias("k"))
+    keyed = windows.withColumn("r", F.row_number().over(best)).where("r = 1").select(F.xxhash64("p").alias("h"), "n", F.xxhash64(F.split("k", " ")).alias("k"))
     t = texts.select("text_id", F.col("text").alias("t")).where("t != ''").distinct()
     every = T.once(t, "w", T.words("t"))
     run = lambda a, n: F.transform(F.sequence(F.lit(1), F.size(a) - n + 1), lambda i: F.xxhash64(F.slice(a, i, n)))
     lengths = F.explode(F.sequence(F.lit(1), F.lit(words)))
     grams = every.select("text_id", "w", lengths.alias("n")).where(F.size("w") >= F.col("n"))
     keys = grams.select("text_id", "n", F.explode(F.array_distinct(run(F.col("w"), F.col("n")))).alias("k"))
-    by_word = keys.join(keyed, ["n", "k"]).select("text_id", "p")
+    by_word = keys.join(small(keyed, patterns), ["n", "k"]).select("text_id", "h")
 
     shape = lambda c: F.col(c) if form is None else form(F.col(c))
     bare = q.where(F.size("w") == 0).select("p", shape("p").alias("f")).withColumn("n", F.least(F.length("f"), F.lit(CHARS))).where("n > 0")
-    marks = _char_runs(bare.select(F.col("p").alias("id"), "f", F.array("n").alias("sizes"))).select(F.col("id").alias("p"), "n", F.array_min("ks").alias("k"))
+    marks = _char_runs(bare.select(F.col("p").alias("id"), "f", F.array("n").alias("sizes"))).select(F.xxhash64("id").alias("h"), "n", F.array_min("ks").alias("k"))
     sizes = bare.agg(F.collect_set("n").alias("sizes"))  # one row of at most CHARS numbers
     cut = t.join(F.broadcast(sizes), F.size("sizes") > 0).select(F.col("text_id").alias("id"), shape("t").alias("f"), "sizes")
-    by_char = _char_runs(cut).select(F.col("id").alias("text_id"), "n", F.explode("ks").alias("k")).join(marks, ["n", "k"]).select("text_id", "p")
+    by_char = _char_runs(cut).select(F.col("id").alias("text_id"), "n", F.explode("ks").alias("k")).join(small(marks, patterns), ["n", "k"]).select("text_id", "h")
 
-    pairs = by_word.union(by_char).distinct()
+    pairs = by_word.union(by_char).distinct().join(q.select(F.xxhash64("p").alias("h"), "p"), "h").select("text_id", "p")
     return pairs.join(t, "text_id").where(match(F.col("t"), F.col("p"))).join(p, "p").select("id", "text_id").distinct()

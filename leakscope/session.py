@@ -59,6 +59,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+#: Greatest size, by the statistics of its files, of a table whose keys are broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(keys: DataFrame, source: DataFrame) -> DataFrame:
+    """``keys``, a few numbers for each row of ``source``, with a broadcast hint if the statistics call that small.
+
+    They are those of the plan, so nothing runs; a larger source, or one of unknown size, is joined by a shuffle.
+    """
+    size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return F.broadcast(keys) if size <= BROADCAST_BYTES else keys
+
+
 def text_or_empty(col):
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
