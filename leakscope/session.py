@@ -68,7 +68,7 @@ def small(keys: DataFrame, source: DataFrame) -> DataFrame:
 
     They are those of the plan, so nothing runs; a larger source, or one of unknown size, is joined by a shuffle.
     """
-    size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(keys) if size <= BROADCAST_BYTES else keys
 
 
